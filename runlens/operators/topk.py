@@ -21,18 +21,27 @@ def _starts(pdf: pd.DataFrame, columns: Sequence[str], previous: tuple | None) -
     return new
 
 
-def topk_admission(points: DataFrame, k: int, keys: Sequence[str] = ("run_id", "metric"), bits: int = DEFAULT_BITS) -> DataFrame:
+def topk_admission(
+    points: DataFrame,
+    k: int,
+    keys: Sequence[str] = ("run_id", "metric"),
+    bits: int = DEFAULT_BITS,
+    kept_before: DataFrame | None = None,
+) -> DataFrame:
     """Flag each score that was among the k best when it arrived: fewer than k seen, or it strictly beats the worst kept.
 
     ``worst`` is the worst kept score it had to beat (NULL while fewer than k are kept). A series is cut
     into blocks of positions. The k best scores of each block are enough to know the kept set at the start of
     every block; the blocks are then scanned independently, in order, with k numbers of state.
+    ``kept_before(keys, value)`` holds scores kept from earlier data.
     """
     keys = list(keys)
     rows = points.select(*keys, F.col("pos").cast("long").alias("pos"), clean("value").alias("value")).where("value is not null")
     rows = rows.withColumn(BLOCK, block_of("pos", bits))
     rank = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(F.desc("value"), "pos"))
     best = rows.withColumn("_rk", rank).where(F.col("_rk") <= k).select(*keys, BLOCK, "value")
+    if kept_before is not None:
+        best = best.unionByName(kept_before.select(*keys, F.lit(-1).cast("long").alias(BLOCK), F.col("value").cast("double")))
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
 
     def entry_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +64,8 @@ def topk_admission(points: DataFrame, k: int, keys: Sequence[str] = ("run_id", "
                 elif value > kept[0]:
                     heapq.heapreplace(kept, value)
             last_key, last_block = tuple(pdf[keys].iloc[-1]), tuple(pdf[[*keys, BLOCK]].iloc[-1])
-            yield pdf.iloc[at][[*keys, BLOCK]].assign(_kept=sets)
+            if at:
+                yield pdf.iloc[at][[*keys, BLOCK]].assign(_kept=sets)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -88,3 +98,50 @@ def topk_admission(points: DataFrame, k: int, keys: Sequence[str] = ("run_id", "
         .mapInPandas(scan, f"{key_fields}, pos long, value double, admitted boolean, worst double")
     )
     return out.withColumn("worst", F.when(~F.isnan("worst"), F.col("worst")))
+
+
+def assign_slots(admitted: DataFrame, k: int, keys: Sequence[str] = ("run_id", "metric"), kept_before: DataFrame | None = None) -> DataFrame:
+    """Slot each admitted score is stored in: slots fill from 0, then the worst one is reused (lowest slot on ties).
+
+    Takes admitted rows only. ``kept_before(keys, slot, value)`` holds the slots as earlier data left them. One
+    series is walked in order by one task, so feed it piecewise (one micro-batch at a time) when it is long.
+    """
+    keys = list(keys)
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in admitted.select(*keys).schema.fields)
+    rows = admitted.select(*keys, "pos", "value", F.lit(None).cast("int").alias("old_slot"))
+    if kept_before is not None:
+        old = kept_before.select(*keys, F.lit(-1).cast("long").alias("pos"), "value", F.col("slot").alias("old_slot"))
+        rows = rows.unionByName(old)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        slots: dict[int, float] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = _starts(pdf, keys, last)
+            out, known = [], pdf["old_slot"].notna().to_numpy()
+            for i, (value, old) in enumerate(zip(pdf["value"], pdf["old_slot"])):
+                if new[i]:
+                    slots = {}
+                if known[i]:
+                    slot = int(old)
+                elif len(slots) < k:
+                    slot = len(slots)
+                else:
+                    slot = min(slots, key=lambda s: (slots[s], s))
+                slots[slot] = value
+                out.append(slot)
+            last = tuple(pdf[keys].iloc[-1])
+            yield pdf[[*keys, "pos", "value"]].assign(slot=out)[~known]
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "pos", "old_slot")
+    return ordered.mapInPandas(walk, f"{key_fields}, pos long, value double, slot int")
+
+
+def kept_slots(slotted: DataFrame, keys: Sequence[str] = ("run_id", "metric"), kept_before: DataFrame | None = None) -> DataFrame:
+    """What each slot holds in the end: its last write."""
+    rows = slotted.select(*keys, "slot", "pos", "value")
+    if kept_before is not None:
+        rows = rows.unionByName(kept_before.select(*keys, "slot", F.lit(-1).cast("long").alias("pos"), "value"))
+    return rows.groupBy(*keys, "slot").agg(F.max_by("value", "pos").alias("value"))

@@ -1,6 +1,6 @@
 """All registered queries. Importing a catalog module registers its queries."""
 
-from runlens.plans import catalog_reduce  # noqa: F401
+from runlens.plans import catalog_config, catalog_curves, catalog_jobs, catalog_logs, catalog_reduce, catalog_stats  # noqa: F401
 from runlens.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -113,7 +113,7 @@ def apply_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame) ->
     regexes = {a: patterns.where(F.col("action") == a).select("_res").scalar() for a in ("cancel", "find")}
     by_regex = None
     for action, found in regexes.items():
-        hit = watched.withColumn("_res", found).where(F.exists("_res", lambda p: F.col("submit_line").rlike(p)))
+        hit = watched.withColumn("_res", found).where(F.exists("_res", lambda p: F.rlike("submit_line", p)))
         part = hit.select("job_id", F.lit(action).alias("action"))
         by_regex = part if by_regex is None else by_regex.unionByName(part)
     parts = [by_id.select("job_id", "action"), by_url.select("job_id", "action"), by_regex]

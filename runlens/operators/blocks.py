@@ -1,9 +1,9 @@
 """Order-dependent work on groups of any size.
 
-A run, log or file may hold a large share of all rows, so nothing here sorts a whole group in one task.
-A group is cut into blocks of neighbouring order values (at most ``2**bits`` of them). Rows are processed
-per (group, block); what a block needs to know about the blocks before it comes from a small per-block
-summary that is joined back on the same (group, block) key. Each full-width row is shuffled once.
+A run, log or file may hold a large share of all rows, so nothing here sorts a huge group in one task. Groups
+above ``HOT_ROWS`` rows are cut into blocks of neighbouring order values and processed per (group, block).
+What a block needs to know about the blocks before it comes from a small per-block summary. Smaller groups
+are one block and take no part in that; when no group is huge, adaptive execution drops the extra branch.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BITS = 16
+HOT_ROWS = 1 << 20
 BLOCK = "_block"
 
 
@@ -23,9 +24,18 @@ def block_of(order: str | Column, bits: int = DEFAULT_BITS) -> Column:
     return F.shiftright(order.cast("long"), bits)
 
 
-def before_block(keys: Sequence[str]):
-    """All blocks of the same group that come before the current one."""
-    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int | None = None) -> DataFrame:
+    """Add ``_block``: the given block for rows of huge groups, NULL for all others.
+
+    There are at most (rows / ``hot_rows``) huge groups, so their keys are small enough to broadcast. Without
+    keys the whole table is one group and always cut.
+    """
+    if not keys:
+        return df.withColumn(BLOCK, block)
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), list(keys), "left")
+    return marked.withColumn(BLOCK, F.when(F.col("_hot"), block)).drop("_hot")
 
 
 def join_block_prefix(
@@ -34,20 +44,21 @@ def join_block_prefix(
     totals: dict[str, Column],
     prefix: dict[str, str],
 ) -> DataFrame:
-    """Give each row what happened in earlier blocks of its group.
+    """Give each row of a cut group what happened in the group's earlier blocks.
 
-    ``df`` carries ``_block``. ``totals`` are per-block aggregates; ``prefix`` names how each is carried
-    over the earlier blocks: ``sum`` or ``last`` (last non-null).
+    ``df`` carries ``_block``. ``totals`` are per-block aggregates; ``prefix`` names how each is carried over
+    the earlier blocks: ``sum`` (0 where there are none) or ``last`` (last non-null).
     """
-    summary = df.groupBy(*keys, BLOCK).agg(*[agg.alias(name) for name, agg in totals.items()])
-    w = before_block(keys)
-    carried = []
+    summary = df.where(F.col(BLOCK).isNotNull()).groupBy(*keys, BLOCK).agg(*[agg.alias(n) for n, agg in totals.items()])
+    w = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried, known = [], F.lit(False)
     for name, how in prefix.items():
-        if how == "sum":
-            carried.append(F.coalesce(F.sum(name).over(w), F.lit(0)).alias(name))
-        else:
-            carried.append(F.last(name, ignorenulls=True).over(w).alias(name))
-    return df.join(summary.select(*keys, BLOCK, *carried), [*keys, BLOCK])
+        value = F.sum(name).over(w) if how == "sum" else F.last(name, ignorenulls=True).over(w)
+        carried.append(value.alias(name))
+        known = known | F.col(name).isNotNull()
+    entries = summary.select(*keys, BLOCK, *carried).where(known)
+    out = df.join(entries, [*keys, BLOCK], "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n, how in prefix.items() if how == "sum"})
 
 
 def dense_positions(
@@ -56,21 +67,22 @@ def dense_positions(
     order_by: Sequence[str | Column],
     block: Column,
     name: str = "pos",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its group's order.
 
-    ``block`` must be a coarsening of the leading order column, so that blocks sort like rows do.
+    ``block`` must be a coarsening of the leading order columns, so that blocks sort like rows do.
     """
-    d = join_block_prefix(df.withColumn(BLOCK, block), keys, {"_off": F.count(F.lit(1))}, {"_off": "sum"})
+    d = join_block_prefix(with_blocks(df, keys, block, hot_rows), keys, {"_off": F.count(F.lit(1))}, {"_off": "sum"})
     rn = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order_by))
     return d.withColumn(name, rn + F.col("_off") - 1).drop(BLOCK, "_off")
 
 
 def running_count(
-    df: DataFrame, keys: Sequence[str], order: str, flag: Column, name: str, bits: int = DEFAULT_BITS
+    df: DataFrame, keys: Sequence[str], order: str, flag: Column, name: str, bits: int = DEFAULT_BITS, hot_rows: int | None = None
 ) -> DataFrame:
     """Number of rows up to and including this one for which ``flag`` holds, within the group."""
-    d = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")).withColumn(BLOCK, block_of(order, bits))
+    d = with_blocks(df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")), keys, block_of(order, bits), hot_rows)
     d = join_block_prefix(d, keys, {"_off": F.sum("_flag")}, {"_off": "sum"})
     w = Window.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn(name, F.sum("_flag").over(w) + F.col("_off")).drop("_flag", "_off", BLOCK)

@@ -16,8 +16,8 @@ from runlens.operators.blocks import (
     DEFAULT_BITS,
     block_of,
     dense_positions,
-    join_block_prefix,
     running_count,
+    with_blocks,
 )
 from runlens.plans.spec import Capture, Rule
 
@@ -43,7 +43,7 @@ def is_restart(line: Column) -> Column:
 
 
 def longest_section(
-    lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS
+    lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS, hot_rows: int | None = None
 ) -> DataFrame:
     """Lines of each log's longest section; the last one of equally long sections.
 
@@ -54,7 +54,7 @@ def longest_section(
     keys = list(keys)
     narrow = lines.select(*keys, "line_no", marker.alias("_m"))
     sections = (
-        running_count(narrow, keys, "line_no", F.col("_m"), "_section", bits)
+        running_count(narrow, keys, "line_no", F.col("_m"), "_section", bits, hot_rows)
         .groupBy(*keys, "_section")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("line_no").alias("_from"), F.max("line_no").alias("_to"))
     )
@@ -221,16 +221,18 @@ def mode_args(lines: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     return lines.where(F.col("line").startswith("Namespace")).select(*keys, F.col("line_no").alias("seq"), parse_namespace(F.col("line")).alias("args"))
 
 
-def parse_mode_log(lines: DataFrame, keys: Sequence[str] = ("file",), bits: int = DEFAULT_BITS) -> DataFrame:
+def parse_mode_log(
+    lines: DataFrame, keys: Sequence[str] = ("file",), bits: int = DEFAULT_BITS, hot_rows: int | None = None
+) -> DataFrame:
     """``(step, test_avg)`` rows from a log of training and evaluation phases.
 
     ``Train:`` arms training; the next step line then sets the step and disarms it. ``Eval:`` arms evaluation;
     the next score line emits a row, disarms it and clears the step. While training is armed, score lines
     are not looked at.
 
-    Only the last relevant event before a line matters for each flag, so windows decide them. What holds at
-    the start of a block is one of (training armed?) x (evaluation armed?): each block is summarised for all
-    four cases and the summaries are chained per log.
+    Only the last relevant event before a line matters for each flag, so windows decide them. Huge logs are cut
+    into blocks. What holds at the start of a block is one of (training armed?) x (evaluation armed?): each
+    block is summarised for all four cases and the summaries are chained per log.
     """
     keys = list(keys)
     line = F.col("line")
@@ -245,8 +247,8 @@ def parse_mode_log(lines: DataFrame, keys: Sequence[str] = ("file",), bits: int
         lines.where(~line.startswith("Namespace"))
         .select(*keys, "line_no", kind.alias("kind"), number.alias("x"))
         .where("kind is not null")
-        .withColumn(BLOCK, block_of("line_no", bits))
     )
+    rows = with_blocks(rows, keys, block_of("line_no", bits), hot_rows)
     before = Window.partitionBy(*keys, BLOCK).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     k = F.col("kind")
     last = lambda cond: F.last(F.when(cond, k), ignorenulls=True).over(before)
@@ -265,7 +267,7 @@ def parse_mode_log(lines: DataFrame, keys: Sequence[str] = ("file",), bits: int
     w = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     cases = [(t, e) for t in (0, 1) for e in (0, 1)]
     pick = lambda cond, value: F.max_by(F.when(cond, value), F.when(cond, F.col("line_no")))
-    blocks = rows.groupBy(*keys, BLOCK).agg(
+    blocks = rows.where(F.col(BLOCK).isNotNull()).groupBy(*keys, BLOCK).agg(
         pick(k.isin("T", "S"), k).alias("_l"),
         *[pick((k == "E") | F.col(f"_seen{t}"), k).alias(f"_l{t}") for t in (0, 1)],
         *[pick(event(t, e), mark).alias(f"_v{t}{e}") for t, e in cases],
@@ -278,7 +280,8 @@ def parse_mode_log(lines: DataFrame, keys: Sequence[str] = ("file",), bits: int
         chosen = F.when((F.col("_t") == bool(t)) & (F.col("_e") == bool(e)), F.col(f"_v{t}{e}")).otherwise(chosen)
     blocks = blocks.withColumn("_v", chosen).withColumn("_step", F.last("_v", ignorenulls=True).over(w))
 
-    state = rows.join(blocks.select(*keys, BLOCK, "_t", "_e", "_step"), [*keys, BLOCK])
+    state = rows.join(blocks.select(*keys, BLOCK, "_t", "_e", "_step"), [*keys, BLOCK], "left")
+    state = state.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_t", "_e")})
     choose = lambda name: F.when(F.col("_t"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     state = state.withColumn("_is_step", choose("_step")).withColumn(
         "_emit", choose("_seen") & F.coalesce(choose("_ea") == "E", F.col("_e"))

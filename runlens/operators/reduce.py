@@ -30,6 +30,37 @@ def _per_metric(options: dict[str, MetricOptions], default: MetricOptions, field
     return expr
 
 
+def ranked_points(
+    points: DataFrame, keys: Sequence[str], default: MetricOptions, options: dict[str, MetricOptions] | None
+) -> DataFrame:
+    """The best points of each series with their ``_rank``, as many as the largest ``topk_mean`` asks for."""
+    options = options or {}
+    k_max = max([default.topk_mean, *[o.topk_mean for o in options.values()]])
+    sign = F.when(_per_metric(options, default, "descending"), F.lit(-1)).otherwise(F.lit(1))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("value") * sign, F.col("pos") * sign))
+    known = points.select(*keys, F.col("pos").cast("long").alias("pos"), clean("value").alias("value")).where("value is not null")
+    return known.withColumn("_rank", rank).where(F.col("_rank") <= k_max)
+
+
+def best_points(
+    points: DataFrame, default: MetricOptions, options: dict[str, MetricOptions] | None = None, keys: Sequence[str] = ("run_id",)
+) -> DataFrame:
+    """Mergeable form of a reduction: per series its best points (``top``) and its length."""
+    keys = [*keys, "metric"]
+    lengths = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
+    top = ranked_points(points, keys, default, options).groupBy(*keys).agg(F.collect_list(F.struct("pos", "value")).alias("top"))
+    return lengths.join(top, keys, "left").select(*keys, "top", "len")
+
+
+def from_best_points(state: DataFrame, default: MetricOptions, options: dict[str, MetricOptions] | None = None) -> DataFrame:
+    """The reduction that ``best_points`` rows stand for."""
+    options = options or {}
+    keys = ["run_id", "metric"]
+    points = state.select(*keys, F.inline("top"))
+    reduced = reduce_series(points, default, options).drop("len")
+    return state.select(*keys, "len").join(reduced, keys, "left").select(*keys, *REDUCED)
+
+
 def reduce_series(
     points: DataFrame,
     default: MetricOptions = MetricOptions(),
@@ -52,22 +83,13 @@ def reduce_series(
     if metrics is not None:
         points = points.where(F.col("metric").isin(list(metrics)))
     k = _per_metric(options, default, "topk_mean")
-    k_max = max([default.topk_mean, *[o.topk_mean for o in options.values()]])
-    sign = F.when(_per_metric(options, default, "descending"), F.lit(-1)).otherwise(F.lit(1))
-
     lengths = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
-    rank = F.row_number().over(
-        Window.partitionBy(*keys).orderBy(F.col("_value") * sign, F.col("pos") * sign)
-    )
     top = (
-        points.select(*keys, F.col("pos").cast("long").alias("pos"), clean("value").alias("_value"))
-        .where(F.col("_value").isNotNull())
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= k_max)
+        ranked_points(points, keys, default, options)
         .groupBy(*keys)
         .agg(
-            F.avg(F.when(F.col("_rank") <= k, F.col("_value"))).alias("topk_mean"),
-            F.max(F.when(F.col("_rank") == 1, F.col("_value"))).alias("best"),
+            F.avg(F.when(F.col("_rank") <= k, F.col("value"))).alias("topk_mean"),
+            F.max(F.when(F.col("_rank") == 1, F.col("value"))).alias("best"),
             F.max(F.when(F.col("_rank") == 1, F.col("pos"))).alias("best_idx"),
         )
     )

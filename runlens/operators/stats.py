@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, with_halo
 from runlens.operators.reduce import clean
 
+SMALL_GROUPS = 1000
 # Fixed value: added under the root of the standard error.
 VARIANCE_FLOOR = 1e-6
 # Fixed value: below this, norms and covariance count as zero.
@@ -24,6 +25,9 @@ def describe_values(df: DataFrame, value: str, by: Sequence[str] = (), accuracy:
     The median takes two passes. A mergeable quantile sketch brackets it; the second pass counts the rows
     below the bracket and, by distinct value, the few rows inside. Ranks are then read off the bracket. A
     group is never sorted or collected as a whole. A bracket that misses the median is an error.
+
+    Up to ``SMALL_GROUPS`` groups, the first pass runs at once and its few rows are broadcast; with more groups
+    the passes are joined by key.
     """
     v = clean(value)
     rows = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
@@ -36,8 +40,12 @@ def describe_values(df: DataFrame, value: str, by: Sequence[str] = (), accuracy:
     # a hidden constant key lets the ungrouped case join without a cross product
     if not key:
         rows, sketch, key = rows.withColumn("_one", F.lit(1)), sketch.withColumn("_one", F.lit(1)), ["_one"]
+    found = sketch.limit(SMALL_GROUPS + 1).collect()
+    small = len(found) <= SMALL_GROUPS
+    if small:
+        sketch = df.sparkSession.createDataFrame(found, sketch.schema)
     brackets = sketch.select(*key, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    near = rows.join(F.broadcast(brackets) if not by else brackets, key)
+    near = rows.join(F.broadcast(brackets) if small else brackets, key)
     # rows outside the bracket fall into one bucket on each side
     bucketed = near.where(F.col("_v") <= F.col("_hi")).withColumn(
         "_inside", F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.blocks import BLOCK, DEFAULT_BITS, block_of
+from runlens.operators.blocks import BLOCK, DEFAULT_BITS, block_of, with_blocks
 from runlens.operators.reduce import clean
 
 
@@ -27,21 +27,25 @@ def topk_admission(
     keys: Sequence[str] = ("run_id", "metric"),
     bits: int = DEFAULT_BITS,
     kept_before: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Flag each score that was among the k best when it arrived: fewer than k seen, or it strictly beats the worst kept.
 
-    ``worst`` is the worst kept score it had to beat (NULL while fewer than k are kept). A series is cut
+    ``worst`` is the worst kept score it had to beat (NULL while fewer than k are kept). Huge series are cut
     into blocks of positions. The k best scores of each block are enough to know the kept set at the start of
     every block; the blocks are then scanned independently, in order, with k numbers of state.
     ``kept_before(keys, value)`` holds scores kept from earlier data.
     """
     keys = list(keys)
     rows = points.select(*keys, F.col("pos").cast("long").alias("pos"), clean("value").alias("value")).where("value is not null")
-    rows = rows.withColumn(BLOCK, block_of("pos", bits))
+    # block -1 stands for a series that is not cut, block -2 for scores kept earlier
+    rows = with_blocks(rows, keys, block_of("pos", bits), hot_rows).withColumn(BLOCK, F.coalesce(BLOCK, F.lit(-1).cast("long")))
     rank = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(F.desc("value"), "pos"))
-    best = rows.withColumn("_rk", rank).where(F.col("_rk") <= k).select(*keys, BLOCK, "value")
+    best = rows.where(F.col(BLOCK) >= 0).withColumn("_rk", rank).where(F.col("_rk") <= k).select(*keys, BLOCK, "value")
     if kept_before is not None:
-        best = best.unionByName(kept_before.select(*keys, F.lit(-1).cast("long").alias(BLOCK), F.col("value").cast("double")))
+        best = best.unionByName(kept_before.select(*keys, F.lit(-2).cast("long").alias(BLOCK), F.col("value").cast("double")))
+        first = rows.where(F.col(BLOCK) < 0).select(*keys, BLOCK, F.lit(float("-inf")).alias("value")).distinct()
+        best = best.unionByName(first.join(kept_before.select(*keys), keys, "left_semi"))
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
 
     def entry_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,7 +51,7 @@ def j03(spark, sf):
     points = fx.points(spark, sf)
     parts = [points.where("pos >= 3"), points.where("pos < 3")]
     feed(spark, base, parts, lambda s: live_points.live_leaderboard(s, f"{base}/out", f"{base}/cp", BEST))
-    wide = wide_metrics(live_points.read_leaderboard(spark, f"{base}/out"), METRICS)
+    wide = wide_metrics(live_points.read_leaderboard(spark, f"{base}/out", BEST), METRICS)
     board = fx.trials(spark, sf).select("run_id", "p_status", "p_priority").join(wide, "run_id", "left")
     out = groups.group_mean_std(board, ["p_status", "p_priority"], ["price", "price_len"])
     return out.withColumns(r6("price_mean", "price_std", "price_len_mean", "price_len_std"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 BATCH = "batch_id"
+SNAPSHOT = 50
 
 
 def start(
@@ -42,3 +43,21 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in (*keys, BATCH)]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_r"))
     return newest.select(*keys, "_r.*")
+
+
+def read_state(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], batch_id: int | None = None) -> DataFrame:
+    """State per key as the batches before ``batch_id`` left it (the newest state without one).
+
+    Every ``SNAPSHOT`` batches the whole state is written, so only the partitions since then are read.
+    """
+    rows = read_before(spark, path, schema, batch_id)
+    if batch_id is not None:
+        rows = rows.where(F.col(BATCH) >= max(batch_id - 1, 0) // SNAPSHOT * SNAPSHOT)
+    return latest(rows, keys)
+
+
+def write_state(changed: DataFrame, before: DataFrame, path: str, keys: list[str], batch_id: int) -> None:
+    """Write the keys a batch changed; at a snapshot, all others as well."""
+    if batch_id % SNAPSHOT == 0 and batch_id > 0:
+        changed = changed.unionByName(before.join(changed.select(*keys), keys, "left_anti").select(*changed.columns))
+    write_batch(changed, path, batch_id)

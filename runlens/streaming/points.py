@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.operators.reduce import reduce_series
+from runlens.operators.reduce import best_points, from_best_points
 from runlens.operators.stats import CORR_STATE, cross_corr_sums, merge_corr_sums, value_stats
 from runlens.operators.topk import assign_slots, kept_slots, topk_admission
 from runlens.plans.spec import MetricOptions
-from runlens.streaming.core import BATCH, latest, read_before, start, write_batch
+from runlens.streaming.core import BATCH, latest, read_before, read_state, start, write_batch, write_state
 
 REFRESH = "60 seconds"
-POINTS_SCHEMA = "run_id bigint, metric string, pos bigint, value double"
-REDUCED_SCHEMA = "run_id bigint, metric string, topk_mean double, best double, best_idx bigint, len bigint"
+BOARD_SCHEMA = "run_id bigint, metric string, top array<struct<pos:bigint,value:double>>, len bigint"
 
 
 def _schema(spark, ddl: str):
@@ -29,22 +28,32 @@ def live_leaderboard(
 ) -> StreamingQuery:
     """Keep the reduced metrics of every run current while points arrive.
 
-    Each batch appends its points and reduces again only the runs it touched.
+    The state of a series is its length and its best points. A batch is cut to its own best points first and
+    then merged with the state of the series it touched; stored points are not read again.
     """
+    keys = ["run_id", "metric"]
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(batch.select("run_id", "metric", "pos", "value"), f"{out}/points", batch_id)
-        stored = read_before(spark, f"{out}/points", _schema(spark, POINTS_SCHEMA), batch_id + 1)
-        touched = stored.where(F.col(BATCH) == batch_id).select("run_id").distinct()
-        write_batch(reduce_series(stored.drop(BATCH).join(touched, "run_id", "left_semi"), default, options), f"{out}/reduced", batch_id)
+        before = read_state(spark, out, _schema(spark, BOARD_SCHEMA), keys, batch_id)
+        fresh = best_points(batch, default, options)
+        touched = before.join(fresh.select(*keys), keys, "left_semi")
+        old = touched.select(*keys, F.explode_outer("top").alias("_p"), "len")
+        new = fresh.select(*keys, F.explode_outer("top").alias("_p"), "len")
+        both = old.unionByName(new)
+        lengths = touched.select(*keys, "len").unionByName(fresh.select(*keys, "len")).groupBy(*keys).agg(F.sum("len").alias("len"))
+        merged = best_points(both.where("_p is not null").select(*keys, "_p.pos", "_p.value"), default, options).drop("len")
+        write_state(lengths.join(merged, keys, "left").select(*keys, "top", "len"), before, out, keys, batch_id)
 
     return start(points, process, checkpoint, every)
 
 
-def read_leaderboard(spark, out: str) -> DataFrame:
-    """Newest reduction of each run and metric, to be grouped like a batch result."""
-    return latest(read_before(spark, f"{out}/reduced", _schema(spark, REDUCED_SCHEMA)), ["run_id", "metric"])
+def read_leaderboard(
+    spark, out: str, default: MetricOptions = MetricOptions(), options: dict[str, MetricOptions] | None = None
+) -> DataFrame:
+    """Current reduction of each run and metric, to be grouped like a batch result."""
+    state = read_state(spark, out, _schema(spark, BOARD_SCHEMA), ["run_id", "metric"])
+    return from_best_points(state, default, options)
 
 
 def live_value_stats(
@@ -94,7 +103,7 @@ def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str |
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = latest(read_before(spark, f"{out}/slots", _schema(spark, slot_schema), batch_id), keys)
+        state = read_state(spark, f"{out}/slots", _schema(spark, slot_schema), keys, batch_id)
         touched = batch.select(*keys).distinct()
         kept = state.join(touched, keys, "left_semi").select(*keys, F.inline("slots"))
         flagged = topk_admission(batch, k, keys, kept_before=kept)
@@ -104,7 +113,7 @@ def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str |
         write_batch(slotted, f"{out}/admitted", batch_id)
         slotted = read_before(spark, f"{out}/admitted", slotted.schema).where(F.col(BATCH) == batch_id)
         now = kept_slots(slotted, keys, kept).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("slots"))
-        write_batch(now, f"{out}/slots", batch_id)
+        write_state(now, state, f"{out}/slots", keys, batch_id)
 
     return start(points, process, checkpoint, every)
 

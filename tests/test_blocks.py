@@ -28,8 +28,8 @@ def test_dense_positions_and_running_count(spark):
     rng = random.Random(3)
     rows = [(rng.choice([0, 0, 0, 1, 2]), i * 3, rng.random() < 0.3) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, o bigint, f boolean")
-    got = {(r.k, r.o): r.pos for r in dense_positions(df, ["k"], ["o"], block_of("o", 4)).collect()}
-    counts = {(r.k, r.o): r.c for r in running_count(df, ["k"], "o", F.col("f"), "c", bits=4).collect()}
+    got = {(r.k, r.o): r.pos for r in dense_positions(df, ["k"], ["o"], block_of("o", 4), hot_rows=30).collect()}
+    counts = {(r.k, r.o): r.c for r in running_count(df, ["k"], "o", F.col("f"), "c", bits=4, hot_rows=30).collect()}
     seen, flags = {}, {}
     for k, o, f in rows:
         assert got[k, o] == seen.get(k, 0)
@@ -90,7 +90,7 @@ def test_longest_section_blocks(spark):
         rows += [(folder, i, "mark" if folder != "no-marker" and rng.random() < 0.1 else "row") for i in range(n)]
     df = spark.createDataFrame(rows, "folder string, line_no bigint, line string")
     got = {}
-    for r in logs.longest_section(df, F.col("line") == "mark", bits=3).collect():
+    for r in logs.longest_section(df, F.col("line") == "mark", bits=3, hot_rows=50).collect():
         got.setdefault(r.folder, []).append(r.line_no)
     for folder in {r[0] for r in rows}:
         lines = [r[2] for r in rows if r[0] == folder]
@@ -126,9 +126,9 @@ def test_mode_log_blocks(spark):
         logs_by_file[f] = [rng.choice(kinds).format(rng.randint(1, 99) / 4) for _ in range(n)]
     rows = [(f, i, line) for f, lines in logs_by_file.items() for i, line in enumerate(lines)]
     df = spark.createDataFrame(rows, "file int, line_no bigint, line string")
-    for bits in (1, 3, 16):
+    for bits, hot in ((1, 10), (3, 100), (16, 1000)):
         got = {}
-        for r in logs.parse_mode_log(df, bits=bits).orderBy("file", "seq").collect():
+        for r in logs.parse_mode_log(df, bits=bits, hot_rows=hot).orderBy("file", "seq").collect():
             got.setdefault(r.file, []).append((r.seq, r.step, r.test_avg))
         for f, lines in logs_by_file.items():
             assert got.get(f, []) == reference_modes(lines), (bits, f)
@@ -152,8 +152,8 @@ def reference_topk(values, k):
 def test_topk_admission_and_slots(spark):
     rows, df = hot_points(spark)
     for k in (1, 3):
-        for bits in (2, 16):
-            flagged = topk.topk_admission(df, k, bits=bits)
+        for bits, hot in ((2, 3), (4, 50), (16, 1000)):
+            flagged = topk.topk_admission(df, k, bits=bits, hot_rows=hot)
             flags = {(r.run_id, r.pos): r.admitted for r in flagged.collect()}
             slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k).collect()}
             for (run, _), v in series(rows).items():
@@ -167,3 +167,17 @@ def test_step_gaps_blocks(spark):
     df = spark.createDataFrame(rows, "s string, line_no bigint, us bigint").withColumn("ts", F.timestamp_micros("us"))
     got = {r.line_no: r.gap_ms for r in stats.step_gaps(df, ["s"], bits=2).collect()}
     assert got == {i: 0.0 if i == 0 else float(i * i - (i - 1) * (i - 1)) for i in range(50)}
+
+
+def test_topk_continues_from_kept_scores(spark):
+    rows, df = hot_points(spark, seed=21)
+    k = 3
+    early, late = df.where("pos < 4"), df.where("pos >= 4")
+    first = topk.topk_admission(early, k)
+    kept = topk.kept_slots(topk.assign_slots(first.where("admitted"), k))
+    for hot in (3, 1000):
+        flagged = topk.topk_admission(late, k, bits=3, kept_before=kept, hot_rows=hot)
+        slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k, kept_before=kept).collect()}
+        for (run, _), v in series(rows).items():
+            want = reference_topk(v, k)
+            assert [slots.get((run, i)) for i in range(4, len(v))] == want[4:], (hot, run)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.grid import grid_rows
@@ -27,6 +27,11 @@ def group_mean_std(df: DataFrame, groups: Sequence[str], values: Sequence[str])
     return df.dropna(subset=list(groups)).groupBy(*groups).agg(*aggs)
 
 
+def group_agg(df: DataFrame, groups: Sequence[str], **aggs: Column) -> DataFrame:
+    """Group by the parameters with the caller's own aggregates (built-in, or grouped-aggregate pandas UDFs)."""
+    return df.dropna(subset=list(groups)).groupBy(*groups).agg(*[a.alias(name) for name, a in aggs.items()])
+
+
 def format_mean_std(mean: Column, std: Column, n: Column | None = None, precision: int = 3, latex: bool = False) -> Column:
     """``m ± s [n]`` or ``$m\\pm s$``. Runs on aggregated rows only; Python rounding, missing prints ``nan``."""
 

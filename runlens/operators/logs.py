@@ -20,6 +20,7 @@ from runlens.operators.blocks import (
     with_blocks,
 )
 from runlens.plans.spec import Capture, Rule
+from runlens.session import cut
 
 # Texts a log uses to mark a (re)start, and the scheduler's preemption warnings.
 JOB_START = "===*** Job start ***==="
@@ -42,16 +43,14 @@ def is_restart(line: Column) -> Column:
     return line.contains(JOB_START) | (line.contains(PREEMPT_TAG) & ~line.contains(PREEMPT_SKIP) & signal)
 
 
-def longest_section(
+def longest_ranges(
     lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS, hot_rows: int | None = None
 ) -> DataFrame:
-    """Lines of each log's longest section; the last one of equally long sections.
+    """First and last line number of each log's longest section (``_from``, ``_to``), the last of equally long ones.
 
-    A marker line opens a section; lines before the first marker form one. Sections are found on line numbers
-    alone. The lines are then matched by (log, block of lines), so one huge log is read by many tasks.
+    A marker line opens a section; lines before the first marker form one. Only line numbers are looked at.
     """
     marker = is_restart(F.col("line")) if marker is None else marker
-    keys = list(keys)
     narrow = lines.select(*keys, "line_no", marker.alias("_m"))
     sections = (
         running_count(narrow, keys, "line_no", F.col("_m"), "_section", bits, hot_rows)
@@ -59,44 +58,63 @@ def longest_section(
         .agg(F.count(F.lit(1)).alias("_n"), F.min("line_no").alias("_from"), F.max("line_no").alias("_to"))
     )
     pick = sections.groupBy(*keys).agg(F.max(F.struct("_n", "_section", "_from", "_to")).alias("_s"))
-    ranges = pick.select(*keys, "_s._from", "_s._to").withColumn(
-        BLOCK, F.explode(F.sequence(block_of("_from", bits), block_of("_to", bits)))
-    )
+    return pick.select(*keys, "_s._from", "_s._to")
+
+
+def within_ranges(rows: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS) -> DataFrame:
+    """Rows whose line number lies in their log's range; joined per block of lines, so a huge log spreads out."""
+    per_block = ranges.withColumn(BLOCK, F.explode(F.sequence(block_of("_from", bits), block_of("_to", bits))))
     inside = F.col("line_no").between(F.col("_from"), F.col("_to"))
-    return lines.withColumn(BLOCK, block_of("line_no", bits)).join(ranges, [*keys, BLOCK]).where(inside).drop(BLOCK, "_from", "_to")
+    return rows.withColumn(BLOCK, block_of("line_no", bits)).join(per_block, [*keys, BLOCK]).where(inside).drop(BLOCK, "_from", "_to")
+
+
+def longest_section(
+    lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS, hot_rows: int | None = None
+) -> DataFrame:
+    """Lines of each log's longest section."""
+    return within_ranges(lines, longest_ranges(lines, marker, keys, bits, hot_rows), keys, bits)
 
 
 def _captured(rule: Rule, capture: Capture) -> Column:
     return capture.expr(F.col("line")) if capture.expr else F.regexp_extract("line", rule.pattern, capture.group)
 
 
-def extract_events(lines: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS) -> DataFrame:
-    """Points from every line that matches a rule: ``(keys, key, pos, value, text, failed)``.
+def capture_events(lines: DataFrame, matchers: Sequence[Sequence[Rule]], keys: Sequence[str] = ("folder",)) -> DataFrame:
+    """Every capture of every rule, in one scan: ``(keys, line_no, act, matcher, key, value, text, failed)``.
 
-    One line may feed several rules and one rule several keys, in rule order. ``value`` is the number of a
-    numeric capture (``failed`` if it is none), ``text`` the raw capture. Lines are scanned once.
+    ``value`` is the number of a numeric capture (``failed`` if it is none), ``text`` the raw capture. ``act``
+    keeps the order of rules and captures on one line.
     """
     items = []
-    for rule in rules:
-        hit = F.col("line").rlike(rule.pattern)
-        for cap in rule.captures:
-            raw = _captured(rule, cap)
-            number = raw.try_cast("double") if cap.type != "string" else F.lit(None).cast("double")
-            failed = number.isNull() if cap.type != "string" else F.lit(False)
-            items.append(
-                F.when(
-                    hit,
-                    F.struct(
-                        F.lit(len(items)).alias("act"), F.lit(cap.key).alias("key"), number.alias("value"),
-                        raw.cast("string").alias("text"), failed.alias("failed"),
-                    ),
+    for m, rules in enumerate(matchers):
+        for rule in rules:
+            hit = F.col("line").rlike(rule.pattern)
+            for cap in rule.captures:
+                raw = _captured(rule, cap)
+                number = raw.try_cast("double") if cap.type != "string" else F.lit(None).cast("double")
+                failed = number.isNull() if cap.type != "string" else F.lit(False)
+                event = F.struct(
+                    F.lit(len(items)).alias("act"), F.lit(m).alias("matcher"), F.lit(cap.key).alias("key"),
+                    number.alias("value"), raw.cast("string").alias("text"), failed.alias("failed"),
                 )
-            )
-    rows = lines.select(*keys, "line_no", F.explode(F.array_compact(F.array(*items))).alias("_e")).select(*keys, "line_no", "_e.*")
+                items.append(F.when(hit, event))
+    rows = lines.select(*keys, "line_no", F.explode(F.array_compact(F.array(*items))).alias("_e"))
+    return rows.select(*keys, "line_no", "_e.*")
+
+
+def _number_events(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
     out = dense_positions(rows, [*keys, "key"], ["line_no", "act"], block_of("line_no", bits))
     return out.select(*keys, "key", "pos", "value", "text", "failed")
 
 
+def extract_events(lines: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS) -> DataFrame:
+    """Points from every line that matches a rule: ``(keys, key, pos, value, text, failed)``.
+
+    One line may feed several rules and one rule several keys, in rule order.
+    """
+    return _number_events(capture_events(lines, [rules], keys), keys, bits)
+
+
 def extract_first(lines: DataFrame, rule: Rule, keys: Sequence[str] = ("folder",), explode_rows: bool = False) -> DataFrame:
     """Captures of the first matching line per log. With ``explode_rows``, list captures become rows."""
     captured = []
@@ -116,20 +134,23 @@ def extract_first(lines: DataFrame, rule: Rule, keys: Sequence[str] = ("folder",
     return first
 
 
-def merge_matchers(parts: Sequence[DataFrame], keys: Sequence[str] = ("folder",)) -> DataFrame:
-    """Combine event tables: a later one replaces the series of an equal key.
+def merge_matchers(
+    lines: DataFrame, matchers: Sequence[Sequence[Rule]], keys: Sequence[str] = ("folder",), ranges: DataFrame | None = None,
+    bits: int = DEFAULT_BITS,
+) -> DataFrame:
+    """Points of several matchers: for each log and key, those of the last matcher that has the key.
 
-    A matcher with a failed capture in a log contributes nothing for that log (see ``match_failures``).
+    A matcher with a failed capture in a log contributes nothing for that log (see ``match_failures``). With
+    ``ranges``, only lines inside their log's range count. The captures, a small part of the log, are
+    checkpointed once; what follows reads them, not the log.
     """
     keys = list(keys)
-    tagged = None
-    for i, part in enumerate(parts):
-        part = part.withColumn("_matcher", F.lit(i))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    failed = tagged.where("failed").select(*keys, "_matcher").distinct()
-    good = tagged.join(failed, [*keys, "_matcher"], "left_anti")
-    winner = good.groupBy(*keys, "key").agg(F.max("_matcher").alias("_matcher"))
-    return good.join(winner, [*keys, "key", "_matcher"], "left_semi").drop("_matcher")
+    events = capture_events(lines, matchers, keys)
+    events = cut(within_ranges(events, ranges, keys, bits) if ranges is not None else events)
+    series = events.groupBy(*keys, "matcher", "key").agg(F.bool_or("failed").alias("failed"))
+    failed = series.where("failed").select(*keys, "matcher").distinct()
+    winner = series.join(failed, [*keys, "matcher"], "left_anti").groupBy(*keys, "key").agg(F.max("matcher").alias("matcher"))
+    return _number_events(events.join(winner, [*keys, "key", "matcher"], "left_semi"), keys, bits)
 
 
 def match_failures(part: DataFrame, keys: Sequence[str] = ("folder",)) -> DataFrame:

@@ -63,8 +63,7 @@ u as (select *, 0 as m from v union all select *, 1 from c),
 w as (select *, max(m) over (partition by folder, key) as best from u)
 select folder, key, row_number() over (partition by folder, key order by line_no) - 1 as pos, value from w where m = best""")
 def c04(spark, sf):
-    parts = [logs.extract_events(lines(spark, sf), [rule]) for rule in (VIEW, CLICK, BROKEN)]
-    return logs.merge_matchers(parts).select("folder", "key", "pos", "value")
+    return logs.merge_matchers(lines(spark, sf), [[VIEW], [CLICK], [BROKEN]]).select("folder", "key", "pos", "value")
 
 
 @query("c04_match_failures", "select folder, 'kind' as key, count(*) as n_failed from v_log where event_type = 'purchase' group by folder")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators rely on for large, skewed inputs.
 RECOMMENDED = {
@@ -33,8 +33,8 @@ def apply_runtime_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written intermediates, below the cluster's shared checkpoint folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
     A machine-local folder is used only when the setting is missing and Spark runs in one process.
     """
@@ -43,4 +43,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="runlens-")
-    return f"{base.rstrip('/')}/runlens/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written intermediates, below the shared folder."""
+    return f"{shared_dir(spark)}/runlens/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a table that several branches of a plan read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -11,9 +11,9 @@ SCHEMA = "jobs array<struct<job_id: bigint, state: struct<current: string>, subm
 MANIFEST = "jobs array<struct<id: bigint, job_idx: bigint>>"
 
 
-def read_job_accounting(spark: SparkSession, path: str) -> DataFrame:
-    """Job table from accounting JSON documents ``{"jobs": [...]}``."""
-    entries = spark.read.schema(SCHEMA).json(path, multiLine=True).select(F.inline("jobs"))
+def read_job_accounting(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """Job table from accounting JSON ``{"jobs": [...]}``: one document per file, or one per line."""
+    entries = spark.read.schema(SCHEMA).json(path, multiLine=one_document).select(F.inline("jobs"))
     return job_fields(entries.select("job_id", F.col("state.current").alias("state"), "submit_line"))
 
 

@@ -12,6 +12,7 @@ from runlens.operators.reduce import best_points, from_best_points
 from runlens.operators.stats import CORR_STATE, cross_corr_sums, merge_corr_sums, value_stats
 from runlens.operators.topk import assign_slots, kept_slots, topk_admission
 from runlens.plans.spec import MetricOptions
+from runlens.session import cut
 from runlens.streaming.core import BATCH, latest, read_before, read_state, start, write_batch, write_state
 
 REFRESH = "60 seconds"
@@ -36,7 +37,7 @@ def live_leaderboard(
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = read_state(spark, out, _schema(spark, BOARD_SCHEMA), keys, batch_id)
-        fresh = best_points(batch, default, options)
+        fresh = cut(best_points(batch, default, options))
         touched = before.join(fresh.select(*keys), keys, "left_semi")
         old = touched.select(*keys, F.explode_outer("top").alias("_p"), "len")
         new = fresh.select(*keys, F.explode_outer("top").alias("_p"), "len")

@@ -30,7 +30,7 @@ PREEMPT_SIGNALS = ("SIGTERM", "SIGUSR1", "SIGCONT")
 TRACKING_PREFIX = "wandb: 🚀 View run at "
 # Lines that redirect a log to its sweep folder.
 SWEEP_DIR = r"Sweep output dir\s*:\s*(.*)$"
-SWEEP_DIR_FALLBACK = r"sweep output dir : (.*)$"
+SWEEP_DIR_REQUIRED = r"sweep output dir : (.*)$"
 # Line formats of tagged JSON logs and mode logs.
 TAGGED = r"(?s)^\s*([0-9]+:|)\s*(args|stats):(.*)$"
 MODE_STEP = r"^Total step: ([\d\.]+)M"
@@ -172,12 +172,19 @@ def tracking_url(lines: DataFrame, keys: Sequence[str] = ("folder",), prefix: st
     return lines.groupBy(*keys).agg(F.min_by(F.when(starts, url), F.when(starts, F.col("line_no"))).alias("url"))
 
 
-def resolve_sweep_dir(lines: DataFrame, keys: Sequence[str] = ("folder",), pattern: str = SWEEP_DIR) -> DataFrame:
-    """Folder named by the first redirect line of each log; the log's own path without one."""
+def resolve_sweep_dir(
+    lines: DataFrame, keys: Sequence[str] = ("folder",), pattern: str = SWEEP_DIR, required: bool = False
+) -> DataFrame:
+    """Folder named by the first redirect line of each log; without one, the log's own path, or an error if ``required``.
+
+    ``SWEEP_DIR_REQUIRED`` is the stricter form of the line that logs given in place of a folder must hold.
+    """
     hit = F.col("line").rlike(pattern)
     target = F.regexp_extract("line", pattern, 1)
     first = lines.groupBy(*keys).agg(F.min_by(F.when(hit, target), F.when(hit, F.col("line_no"))).alias("_t"))
-    return first.select(*keys, F.coalesce("_t", F.col(keys[0]).cast("string")).alias("sweep_dir"))
+    own = F.col(keys[0]).cast("string")
+    missing = F.raise_error(F.concat(F.lit("no sweep folder named in "), own)).cast("string") if required else own
+    return first.select(*keys, F.coalesce("_t", missing).alias("sweep_dir"))
 
 
 def align_dicts(records: DataFrame, keys: Sequence[str] = ("run_id",), values: str = "values") -> DataFrame:

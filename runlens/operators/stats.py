@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, with_halo
@@ -107,9 +107,9 @@ def value_stats_text(stats: DataFrame, by: Sequence[str], global_counter: int, m
 
 def counter_share(events: DataFrame, key: str) -> DataFrame:
     """How often each key occurred, of how many in total."""
-    total = events.where(F.col(key).isNotNull()).agg(F.count(F.lit(1))).scalar()
     counts = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("total", total).withColumn("share", F.col("n") / F.col("total"))
+    # the subquery reads the same shuffled counts
+    return counts.withColumn("total", counts.agg(F.sum("n")).scalar()).withColumn("share", F.col("n") / F.col("total"))
 
 
 def step_gaps(marks: DataFrame, session: Sequence[str], ts: str = "ts", order: str = "line_no", bits: int = DEFAULT_BITS) -> DataFrame:

@@ -56,20 +56,20 @@ def topk_admission(
                 continue
             new_key = _starts(pdf, keys, last_key)
             new_block = _starts(pdf, [*keys, BLOCK], last_block)
-            at, sets = [], []
+            at, scores = [], []
             for i, value in enumerate(pdf["value"]):
                 if new_key[i]:
                     kept = []
                 elif new_block[i]:
-                    at.append(i)
-                    sets.append(list(kept))
+                    at += [i] * len(kept)
+                    scores += kept
                 if len(kept) < k:
                     heapq.heappush(kept, value)
                 elif value > kept[0]:
                     heapq.heapreplace(kept, value)
             last_key, last_block = tuple(pdf[keys].iloc[-1]), tuple(pdf[[*keys, BLOCK]].iloc[-1])
             if at:
-                yield pdf.iloc[at][[*keys, BLOCK]].assign(_kept=sets)
+                yield pdf.iloc[at][[*keys, BLOCK]].assign(value=scores)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -78,26 +78,28 @@ def topk_admission(
             if not len(pdf):
                 continue
             new = _starts(pdf, [*keys, BLOCK], last)
+            own = (pdf["pos"] >= 0).to_numpy()
             admitted, worst = [], []
-            for i, (value, entry) in enumerate(zip(pdf["value"], pdf["_kept"])):
-                if new[i]:
-                    kept = [] if entry is None else [float(v) for v in entry]
-                    heapq.heapify(kept)
+            for value, begins, is_own in zip(pdf["value"], new, own):
+                if begins:
+                    kept = []
                 full = len(kept) == k
                 ok = not full or value > kept[0]
-                admitted.append(ok)
-                worst.append(kept[0] if full else np.nan)
+                if is_own:
+                    admitted.append(ok)
+                    worst.append(kept[0] if full else np.nan)
                 if ok:
                     heapq.heapreplace(kept, value) if full else heapq.heappush(kept, value)
             last = tuple(pdf[[*keys, BLOCK]].iloc[-1])
-            yield pdf[[*keys, "pos", "value"]].assign(admitted=admitted, worst=worst)
+            yield pdf[own][[*keys, "pos", "value"]].assign(admitted=admitted, worst=worst)
 
     entries = best.repartition(*keys).sortWithinPartitions(*keys, BLOCK).mapInPandas(
-        entry_sets, f"{key_fields}, {BLOCK} long, _kept array<double>"
+        entry_sets, f"{key_fields}, {BLOCK} long, value double"
     )
+    # the scores a block starts with come first, at position -1
+    seeded = rows.unionByName(entries.withColumn("pos", F.lit(-1).cast("long")))
     out = (
-        rows.join(entries, [*keys, BLOCK], "left")
-        .repartition(*keys, BLOCK)
+        seeded.repartition(*keys, BLOCK)
         .sortWithinPartitions(*keys, BLOCK, "pos")
         .mapInPandas(scan, f"{key_fields}, pos long, value double, admitted boolean, worst double")
     )

@@ -8,7 +8,6 @@ from runlens.operators import curves, files, grid, quality, reduce, topk
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog_reduce import BEST, r6
 from runlens.plans.registry import query
-from runlens.plans.spec import MetricOptions
 
 GRID = [5.0 * i for i in range(0, 12)]
 

@@ -30,18 +30,19 @@ def feed(spark: SparkSession, base: str, parts: Sequence[DataFrame], launch: Cal
 @query("j01_track_jobs", """
 select job_id, case when job_id % 11 = 0 then 'USER_CANCELLED' when state = 'PENDING' then 'COMPLETED' else state end as state,
        case when job_id % 11 = 0 or state = 'PENDING' then 'finished' else 'retry' end as action
-from v_jobs where state <> 'RUNNING' or job_id % 11 = 0""")
+from v_jobs join v_trials on run_id = job_id and p_seed <> '4' where state <> 'RUNNING' or job_id % 11 = 0""")
 def j01(spark, sf):
     base = work_dir(spark, "j01")
     j = fx.jobs(spark, sf).select("job_id", "state")
     rows = lambda cond, state, seq: j.where(cond).select("job_id", state.alias("state"), F.lit(seq).cast("long").alias("seq"))
     same = F.col("state")
+    tracked = fx.trials(spark, sf).where("p_seed <> '4'").select(F.col("run_id").alias("job_id"))
     parts = [
         rows("job_id % 11 = 0", F.lit(live_jobs.USER_CANCEL), 0).unionByName(rows("state <> 'PENDING'", same, 1)),
         rows("true", F.when(same == "PENDING", "COMPLETED").otherwise(same), 2),
         rows("state = 'FAILED'", F.lit("COMPLETED"), 3),
     ]
-    feed(spark, base, parts, lambda s: live_jobs.track_jobs(s, f"{base}/out", f"{base}/cp"))
+    feed(spark, base, parts, lambda s: live_jobs.track_jobs(s, f"{base}/out", f"{base}/cp", tracked))
     return live_jobs.read_finished(spark, f"{base}/out")
 
 

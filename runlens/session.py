@@ -27,8 +27,18 @@ def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def apply_runtime_settings(spark: SparkSession) -> SparkSession:
-    for key, value in RECOMMENDED.items():
+def sizing(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle settings for an input size: enough partitions that one fits in a task's memory; AQE merges small ones."""
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
+def apply_runtime_settings(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    for key, value in {**RECOMMENDED, **(sizing(input_bytes) if input_bytes else {})}.items():
         spark.conf.set(key, value)
     return spark
 

@@ -15,10 +15,13 @@ USER_CANCEL = "USER_CANCELLED"
 FINISHED_SCHEMA = "job_id bigint, state string, action string"
 
 
-def track_jobs(status: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def track_jobs(
+    status: DataFrame, out: str, checkpoint: str, tracked: DataFrame | None = None, every: str | None = None
+) -> StreamingQuery:
     """Finish each tracked job at its first terminal state: ``finished``, or ``retry`` when it failed or was cancelled.
 
-    ``status(job_id, state, seq)`` are polled rows, repeated at will. A job the user cancelled is finished
+    ``status(job_id, state, seq)`` are polled rows, repeated at will; without ``tracked(job_id)`` all of them are
+    tracked. A job the user cancelled is finished
     first and never retried. Per batch the first terminal row of a job is a partial aggregate; jobs already
     finished by earlier batches are left out by an anti join with the written results.
     """
@@ -27,6 +30,8 @@ def track_jobs(status: DataFrame, out: str, checkpoint: str, every: str | None =
         spark = batch.sparkSession
         ends = batch.where(F.col("state").isin(DONE, *BROKEN, USER_CANCEL))
         rank = F.when(F.col("state") == USER_CANCEL, 0).otherwise(1)
+        if tracked is not None:
+            ends = ends.join(tracked.select("job_id"), "job_id", "left_semi")
         first = ends.groupBy("job_id").agg(F.min_by("state", F.struct(F.col("seq"), rank.alias("r"))).alias("state"))
         done = read_before(spark, out, spark.createDataFrame([], FINISHED_SCHEMA).schema, batch_id)
         fresh = first.join(done.select("job_id"), "job_id", "left_anti")

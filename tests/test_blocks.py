@@ -100,7 +100,7 @@ def test_longest_section_blocks(spark):
         assert sorted(got[folder]) == list(range(a, b))
 
 
-def reference_modes(lines):
+def plain_modes(lines):
     train = evaluating = False
     step, out = None, []
     for i, line in enumerate(lines):
@@ -131,10 +131,10 @@ def test_mode_log_blocks(spark):
         for r in logs.parse_mode_log(df, bits=bits, hot_rows=hot).orderBy("file", "seq").collect():
             got.setdefault(r.file, []).append((r.seq, r.step, r.test_avg))
         for f, lines in logs_by_file.items():
-            assert got.get(f, []) == reference_modes(lines), (bits, f)
+            assert got.get(f, []) == plain_modes(lines), (bits, f)
 
 
-def reference_topk(values, k):
+def plain_topk(values, k):
     slots, out = [], []
     for v in values:
         if len(slots) < k:
@@ -157,7 +157,7 @@ def test_topk_admission_and_slots(spark):
             flags = {(r.run_id, r.pos): r.admitted for r in flagged.collect()}
             slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k).collect()}
             for (run, _), v in series(rows).items():
-                want = reference_topk(v, k)
+                want = plain_topk(v, k)
                 assert [flags[run, i] for i in range(len(v))] == [w is not None for w in want]
                 assert [slots.get((run, i)) for i in range(len(v))] == want
 
@@ -179,5 +179,5 @@ def test_topk_continues_from_kept_scores(spark):
         flagged = topk.topk_admission(late, k, bits=3, kept_before=kept, hot_rows=hot)
         slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k, kept_before=kept).collect()}
         for (run, _), v in series(rows).items():
-            want = reference_topk(v, k)
+            want = plain_topk(v, k)
             assert [slots.get((run, i)) for i in range(4, len(v))] == want[4:], (hot, run)

@@ -294,3 +294,11 @@ def test_tracking_url_and_errors(spark):
     df = spark.createDataFrame(rows, "folder string, line_no bigint, line string")
     assert {r.folder: r.url for r in logs.tracking_url(df).collect()} == {"a": "http://u/1", "b": None}
     assert logs.error_tail(df).first().errors == ["Error 2", "Error 3", "Error 4"]
+
+
+def test_resolve_sweep_dir(spark):
+    rows = [("/a.log", 0, "x"), ("/a.log", 1, "Sweep output dir : /s/1"), ("/a.log", 2, "Sweep output dir : /s/2"), ("/b.log", 0, "x")]
+    df = spark.createDataFrame(rows, "folder string, line_no bigint, line string")
+    assert {r.folder: r.sweep_dir for r in logs.resolve_sweep_dir(df).collect()} == {"/a.log": "/s/1", "/b.log": "/b.log"}
+    with pytest.raises(Exception, match="no sweep folder"):
+        logs.resolve_sweep_dir(df, pattern=logs.SWEEP_DIR_REQUIRED, required=True).collect()

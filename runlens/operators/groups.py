@@ -42,7 +42,8 @@ def format_mean_std(mean: Column, std: Column, n: Column | None = None, precisio
         return pd.Series([rf"${a:.{precision}f}\pm {b:.{precision}f}$" for a, b in zip(m, s)], dtype="object")
 
     nan = F.lit(float("nan"))
-    m, s = F.coalesce(mean, nan), F.coalesce(std, nan)
+    # the last bits of a distributed sum depend on its order; without them, ties print the same every time
+    m, s = F.coalesce(F.round(mean, 9), nan), F.coalesce(F.round(std, 9), nan)
     if latex:
         return F.pandas_udf(tex, "string")(m, s)
     return F.pandas_udf(plain, "string")(m, s, n)

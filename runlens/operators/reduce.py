@@ -52,13 +52,36 @@ def best_points(
     return lengths.join(top, keys, "left").select(*keys, "top", "len")
 
 
-def from_best_points(state: DataFrame, default: MetricOptions, options: dict[str, MetricOptions] | None = None) -> DataFrame:
-    """The reduction that ``best_points`` rows stand for."""
+def _best_first(default: MetricOptions, options: dict[str, MetricOptions]) -> tuple[Column, Column]:
+    """``top`` with its best points first, as ``(v, p)`` with both signs turned for descending metrics; and the sign."""
+    sign = F.when(_per_metric(options, default, "descending"), F.lit(-1)).otherwise(F.lit(1))
+    return F.array_sort(F.transform("top", lambda e: F.struct((e["value"] * sign).alias("v"), (e["pos"] * sign).alias("p")))), sign
+
+
+def merge_best_points(
+    states: DataFrame, default: MetricOptions, options: dict[str, MetricOptions] | None = None, keys: Sequence[str] = ("run_id",)
+) -> DataFrame:
+    """Add up ``best_points`` rows of the same series; only a few short arrays meet per series."""
+    options = options or {}
+    k_max = max([default.topk_mean, *[o.topk_mean for o in options.values()]])
+    both = states.groupBy(*keys, "metric").agg(F.flatten(F.collect_list("top")).alias("top"), F.sum("len").alias("len"))
+    ordered, sign = _best_first(default, options)
+    back = F.transform(F.slice(ordered, 1, k_max), lambda e: F.struct((e["p"] * sign).alias("pos"), (e["v"] * sign).alias("value")))
+    return both.select(*keys, "metric", back.alias("top"), "len")
+
+
+def from_best_points(
+    state: DataFrame, default: MetricOptions, options: dict[str, MetricOptions] | None = None, keys: Sequence[str] = ("run_id",)
+) -> DataFrame:
+    """The reduction that ``best_points`` rows stand for, row by row."""
     options = options or {}
-    keys = ["run_id", "metric"]
-    points = state.select(*keys, F.inline("top"))
-    reduced = reduce_series(points, default, options).drop("len")
-    return state.select(*keys, "len").join(reduced, keys, "left").select(*keys, *REDUCED)
+    ordered, sign = _best_first(default, options)
+    best = F.slice(ordered, F.lit(1), _per_metric(options, default, "topk_mean"))
+    mean = F.try_divide(F.aggregate(best, F.lit(0.0), lambda acc, e: acc + e["v"]), F.size(best)) * sign
+    first = F.get(ordered, F.lit(0))
+    return state.select(
+        *keys, "metric", mean.alias("topk_mean"), (first["v"] * sign).alias("best"), (first["p"] * sign).alias("best_idx"), "len"
+    )
 
 
 def reduce_series(

@@ -75,8 +75,8 @@ def e03(spark, sf):
 
 
 @query("e03_group_report_text", """
-select p_status, p_year, printf('%.3f ± %.3f [%d]', avg(price), coalesce(stddev_samp(price), 'nan'::double), count(price)) as price,
-       printf('$%.3f\\pm %.3f$', avg(qty), coalesce(stddev_samp(qty), 'nan'::double)) as qty
+select p_status, p_year, printf('%.3f ± %.3f [%d]', round(avg(price), 9), coalesce(round(stddev_samp(price), 9), 'nan'::double), count(price)) as price,
+       printf('$%.3f\\pm %.3f$', round(avg(qty), 9), coalesce(round(stddev_samp(qty), 9), 'nan'::double)) as qty
 from v_board group by p_status, p_year""")
 def e03_text(spark, sf):
     out = groups.group_mean_std(board(spark, sf), ["p_status", "p_year"], ["price", "qty"])
@@ -187,7 +187,7 @@ def e10_wide(spark, sf):
 
 
 @query("e10_pivot_latex", rf"""with {PIVOT_CELLS},
-t as (select *, '$' || printf('%.2f', coalesce(mean, 'nan'::double)) || '\pm ' || printf('%.2f', coalesce(std, 'nan'::double)) || '$' as cell from filled)
+t as (select *, '$' || printf('%.2f', coalesce(round(mean, 9), 'nan'::double)) || '\pm ' || printf('%.2f', coalesce(round(std, 9), 'nan'::double)) || '$' as cell from filled)
 select 0 as line_no, string_agg('& ' || p_year || ' ', '' order by _col) || '\\ ' as line from t where _row = 0
 union all
 select _row + 1, p_status || string_agg('& ' || cell, '' order by _col) || '\\ ' from t group by _row, p_status""")

@@ -28,13 +28,14 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def read_before(spark: SparkSession, path: str, schema: T.StructType, batch_id: int | None = None) -> DataFrame:
+def read_before(spark: SparkSession, path: str, schema: T.StructType | str, batch_id: int | None = None) -> DataFrame:
     """Rows of the batches before ``batch_id`` (all of them without one); empty if nothing is written yet."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
     try:
         rows = spark.read.schema(full).option("basePath", path).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], full)
+        return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in full.fields])
     return rows if batch_id is None else rows.where(F.col(BATCH) < batch_id)
 
 
@@ -45,7 +46,7 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return newest.select(*keys, "_r.*")
 
 
-def read_state(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], batch_id: int | None = None) -> DataFrame:
+def read_state(spark: SparkSession, path: str, schema: T.StructType | str, keys: list[str], batch_id: int | None = None) -> DataFrame:
     """State per key as the batches before ``batch_id`` left it (the newest state without one).
 
     Every ``SNAPSHOT`` batches the whole state is written, so only the partitions since then are read.

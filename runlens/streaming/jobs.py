@@ -33,7 +33,7 @@ def track_jobs(
         if tracked is not None:
             ends = ends.join(tracked.select("job_id"), "job_id", "left_semi")
         first = ends.groupBy("job_id").agg(F.min_by("state", F.struct(F.col("seq"), rank.alias("r"))).alias("state"))
-        done = read_before(spark, out, spark.createDataFrame([], FINISHED_SCHEMA).schema, batch_id)
+        done = read_before(spark, out, FINISHED_SCHEMA, batch_id)
         fresh = first.join(done.select("job_id"), "job_id", "left_anti")
         write_batch(fresh.withColumn("action", F.when(F.col("state").isin(*BROKEN), "retry").otherwise("finished")), out, batch_id)
 
@@ -41,7 +41,7 @@ def track_jobs(
 
 
 def read_finished(spark, out: str) -> DataFrame:
-    return read_before(spark, out, spark.createDataFrame([], FINISHED_SCHEMA).schema).drop("batch_id")
+    return read_before(spark, out, FINISHED_SCHEMA).drop("batch_id")
 
 
 def watch_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

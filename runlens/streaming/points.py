@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.operators.reduce import best_points, from_best_points
+from runlens.operators.reduce import best_points, from_best_points, merge_best_points
 from runlens.operators.stats import CORR_STATE, cross_corr_sums, merge_corr_sums, value_stats
 from runlens.operators.topk import assign_slots, kept_slots, topk_admission
 from runlens.plans.spec import MetricOptions
@@ -17,10 +17,7 @@ from runlens.streaming.core import BATCH, latest, read_before, read_state, start
 
 REFRESH = "60 seconds"
 BOARD_SCHEMA = "run_id bigint, metric string, top array<struct<pos:bigint,value:double>>, len bigint"
-
-
-def _schema(spark, ddl: str):
-    return spark.createDataFrame([], ddl).schema
+SLOTS_SCHEMA = "run_id bigint, metric string, slots array<struct<slot:int,value:double>>"
 
 
 def live_leaderboard(
@@ -36,15 +33,10 @@ def live_leaderboard(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = read_state(spark, out, _schema(spark, BOARD_SCHEMA), keys, batch_id)
+        before = read_state(spark, out, BOARD_SCHEMA, keys, batch_id)
         fresh = cut(best_points(batch, default, options))
-        touched = before.join(fresh.select(*keys), keys, "left_semi")
-        old = touched.select(*keys, F.explode_outer("top").alias("_p"), "len")
-        new = fresh.select(*keys, F.explode_outer("top").alias("_p"), "len")
-        both = old.unionByName(new)
-        lengths = touched.select(*keys, "len").unionByName(fresh.select(*keys, "len")).groupBy(*keys).agg(F.sum("len").alias("len"))
-        merged = best_points(both.where("_p is not null").select(*keys, "_p.pos", "_p.value"), default, options).drop("len")
-        write_state(lengths.join(merged, keys, "left").select(*keys, "top", "len"), before, out, keys, batch_id)
+        old = before.join(fresh.select(*keys), keys, "left_semi").select(*keys, "top", "len")
+        write_state(merge_best_points(old.unionByName(fresh), default, options), before, out, keys, batch_id)
 
     return start(points, process, checkpoint, every)
 
@@ -53,7 +45,7 @@ def read_leaderboard(
     spark, out: str, default: MetricOptions = MetricOptions(), options: dict[str, MetricOptions] | None = None
 ) -> DataFrame:
     """Current reduction of each run and metric, to be grouped like a batch result."""
-    state = read_state(spark, out, _schema(spark, BOARD_SCHEMA), ["run_id", "metric"])
+    state = read_state(spark, out, BOARD_SCHEMA, ["run_id", "metric"])
     return from_best_points(state, default, options)
 
 
@@ -90,7 +82,7 @@ def live_cross_corr(features: DataFrame, left: str, right: str, out: str, checkp
 
 
 def read_corr_sums(spark, out: str) -> DataFrame:
-    return merge_corr_sums(read_before(spark, out, _schema(spark, CORR_STATE)))
+    return merge_corr_sums(read_before(spark, out, CORR_STATE))
 
 
 def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -100,11 +92,10 @@ def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str |
     ordered here. Admission is decided per block of positions; only admitted scores walk through the slots.
     """
     keys = ["run_id", "metric"]
-    slot_schema = "run_id bigint, metric string, slots array<struct<slot:int,value:double>>"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = read_state(spark, f"{out}/slots", _schema(spark, slot_schema), keys, batch_id)
+        state = read_state(spark, f"{out}/slots", SLOTS_SCHEMA, keys, batch_id)
         touched = batch.select(*keys).distinct()
         kept = state.join(touched, keys, "left_semi").select(*keys, F.inline("slots"))
         flagged = topk_admission(batch, k, keys, kept_before=kept)

@@ -302,3 +302,12 @@ def test_resolve_sweep_dir(spark):
     assert {r.folder: r.sweep_dir for r in logs.resolve_sweep_dir(df).collect()} == {"/a.log": "/s/1", "/b.log": "/b.log"}
     with pytest.raises(Exception, match="no sweep folder"):
         logs.resolve_sweep_dir(df, pattern=logs.SWEEP_DIR_REQUIRED, required=True).collect()
+
+
+def test_best_points_merge_like_one_pass(spark):
+    p = points(spark, {(1, "a"): [3.0, 1.0, 3.0, 2.0, 0.5], (1, "b"): [1.0, 1.0, 5.0], (2, "a"): [None, None], (3, "b"): [4.0]})
+    default, options = MetricOptions(topk_mean=2), {"b": MetricOptions(topk_mean=3, descending=True)}
+    parts = [reduce.best_points(p.where(c), default, options) for c in ("pos < 2", "pos >= 2")]
+    merged = reduce.from_best_points(reduce.merge_best_points(parts[0].unionByName(parts[1]), default, options), default, options)
+    whole = reduce.reduce_series(p, default, options)
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)

@@ -20,7 +20,7 @@ def overrides(spark, sf):
     return fx.trials(spark, sf).select("run_id", items.alias("overrides"))
 
 
-@query("b01_explode_config", f"select run_id, {JSON_CONFIG} as config_json, p_status as override_p_status, p_seed as override_p_seed, null as override_nope from v_trials")
+@query("b01_explode_config", f"select run_id, {JSON_CONFIG} as config_json, p_status as override_p_status, p_seed as override_p_seed, cast(null as varchar) as override_nope from v_trials")
 def b01(spark, sf):
     out = cfg.explode_config(overrides(spark, sf), params=["p_status", "p_seed", "nope"])
     return out.drop("overrides", "config")
@@ -56,7 +56,7 @@ def b05(spark, sf):
     return fx.trials(spark, sf).select("run_id", cfg.config_string(more).alias("config"))
 
 
-@query("b06_config_columns", "select run_id, p_status, p_year, null as nope from v_trials")
+@query("b06_config_columns", "select run_id, p_status, p_year, cast(null as varchar) as nope from v_trials")
 def b06(spark, sf):
     text = fx.trials(spark, sf).select("run_id", cfg.config_string("config").alias("text"))
     return cfg.config_columns(text, "text", ["p_status", "p_year", "nope"])
@@ -213,7 +213,7 @@ def i12(spark, sf):
     return fx.features(spark, sf).select("vec_id", bits.alias("bits"))
 
 
-@query("i13_json_field", "select event_id, cast(json_extract(props, '$.k') as bigint) as k, null as missing, null as broken from events")
+@query("i13_json_field", "select event_id, cast(json_extract(props, '$.k') as bigint) as k, cast(null as varchar) as missing, cast(null as varchar) as broken from events")
 def i13(spark, sf):
     return fx.table(spark, sf, "events").select(
         "event_id", fn.json_field(F.col("props"), "k", "bigint").alias("k"), fn.json_field(F.col("props"), "nope").alias("missing"),

@@ -311,3 +311,20 @@ def test_best_points_merge_like_one_pass(spark):
     merged = reduce.from_best_points(reduce.merge_best_points(parts[0].unionByName(parts[1]), default, options), default, options)
     whole = reduce.reduce_series(p, default, options)
     assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_exact_median_joined_by_key(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SMALL_GROUPS", 0)
+    rng = np.random.default_rng(11)
+    rows = [(g, float(v)) for g in range(5) for v in np.round(rng.normal(size=10 + 40 * g), 1)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r["median"] for r in stats.describe_values(df, "v", ["g"], accuracy=50).collect()}
+    for g in range(5):
+        assert got[g] == pytest.approx(float(np.median([v for k, v in rows if k == g])))
+
+
+def test_sizing():
+    from runlens.session import sizing
+
+    assert sizing(0)["spark.sql.shuffle.partitions"] == "200"
+    assert sizing(100 << 40)["spark.sql.shuffle.partitions"] == str((100 << 40) // (256 << 20))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.session import work_dir
+from runlens.session import ship_package, work_dir
 
 #: A word is a run of characters other than ASCII whitespace.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +16,7 @@ BROADCAST_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, langid, mixing, shards, simhash, toxicity
+from runlens.llm import chat, decontam, langid, mixing, shards, simhash, toxicity
 from runlens.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,24 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query(
+    "op4_decontamination",
+    r"""
+    with dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents),
+    iw as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from benchmark),
+    ds as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from dw),
+    si as (select distinct item_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from iw),
+    n as (select item_id, count(*) as q from si group by item_id),
+    m as (select doc_id, item_id, count(*) as shared from ds join si using (s) group by doc_id, item_id)
+    select doc_id, item_id, shared, q as item_shingles, shared / q as containment from m join n using (item_id) where shared * 10 >= q * 8
+    """,
+)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op7_shards")
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(read(spark, sf_dir, "documents"))

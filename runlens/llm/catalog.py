@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontam, langid, mixing, shards, simhash, toxicity
+from runlens.llm import chat, decontam, langid, linededup, mixing, shards, simhash, toxicity, urlfilter
 from runlens.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,12 +91,58 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: The rules of the query: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query(
+    "op5_url_filter",
+    """
+    with r(host, path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    s as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+    h as (select page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) as raw from s),
+    p as (select page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1), '') as path from h),
+    m as (select page_id, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
+        from p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by page_id)
+    select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') as verdict from p left join m using (page_id)
+    """,
+)
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op7_shards")
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query(
+    "op8_line_dedup",
+    r"""
+    with l as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
+    e as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from l),
+    o as (select *, sum(length(line) + 1) over (partition by doc_id order by pos) - length(line) - 1 as start,
+        lower(trim(regexp_replace(line, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g'))) as norm from e),
+    f as (select *, len(regexp_extract_all(norm, '[^\x20\x09-\x0D]+')) >= 5 as long from o),
+    k as (select *, case when long then first_value(doc_id) over w end as kept, case when long then row_number() over w > 1 else false end as gone
+        from f window w as (partition by norm, long order by doc_id, pos))
+    select doc_id, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as clean_text,
+        string_agg(start::bigint || '+' || length(line), ',' order by pos) filter (gone) as removed_spans,
+        string_agg(distinct kept::varchar, ',' order by kept::varchar) filter (gone) as kept_doc_ids
+    from k group by doc_id having count(*) filter (gone) > 0
+    """,
+)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that loses a line."""
+    found = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("removed") > 0)
+    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))), ",")
+    ids = F.array_join(F.sort_array(F.transform("kept_doc_ids", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "clean_text", spans.alias("removed_spans"), ids.alias("kept_doc_ids"))
+
+
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn, rows = mixing.mix(read(spark, sf_dir, "documents"))

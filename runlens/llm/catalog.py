@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontam, langid, linededup, mixing, shards, simhash, toxicity, urlfilter
+from runlens.llm import chat, decontam, embed_dedup, langid, linededup, mixing, shards, simhash, toxicity, urlfilter
 from runlens.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op6_embeddings")
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op7_shards")
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(read(spark, sf_dir, "documents"))

@@ -64,7 +64,7 @@ def _split(blocks: DataFrame, depth: int, seed: int) -> DataFrame:
 def plan(sized: DataFrame, depth: int = DEPTH, seed: int = SEED, **shares) -> tuple[DataFrame, DataFrame]:
     """Blocks drawn by the mix, and their rows.
 
-    ``sized`` has doc_id, source, size. Returns (taken blocks: source, block, pass, shard, quota, whole) and the rows
+    ``sized`` has doc_id, text_hash, source, size. Returns (taken blocks: source, block, pass, shard, quota, whole) and the rows
     with source_size, target and block.
     """
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -74,7 +74,7 @@ def plan(sized: DataFrame, depth: int = DEPTH, seed: int = SEED, **shares) -> tu
     sources = saved(goal.join(per_source.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_blocks", F.greatest(F.floor(F.col("_rows") / rows_each), F.lit(1))), "mix-sources")
     of = sources.select(F.col("source").alias("_s"), "source_size", "target", "_blocks")
     rows = sized.join(of, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = saved(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_blocks"))).drop("_blocks"), "mix-rows")
+    rows = saved(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("_blocks"))).drop("_blocks"), "mix-rows")
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     passes = blocks.withColumn("pass", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
         "_goal", F.when(F.col("pass") == 1, F.least("target", "source_size")).otherwise(F.greatest(F.col("target") - F.col("source_size"), F.lit(0.0)))
@@ -86,7 +86,7 @@ def plan(sized: DataFrame, depth: int = DEPTH, seed: int = SEED, **shares) -> tu
 
 
 def draw(taken: DataFrame, rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per drawn copy: doc_id, source, size, pass, shard, place.
+    """One row per drawn copy: doc_id, text_hash, source, size, pass, shard, place.
 
     Whole blocks give all their rows. Of the one block of each source and pass that its quota cuts, rows in random
     order are taken up to the place nearest to the quota. ``place`` sorts a shard into its random order.
@@ -95,9 +95,9 @@ def draw(taken: DataFrame, rows: DataFrame, seed: int = SEED) -> DataFrame:
     hit = F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))
     whole = rows.join(b.where("whole"), hit)
     part = rows.join(b.where("not whole"), hit)
-    order = Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64("doc_id", F.lit(seed), "pass", F.lit("part")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed), "pass", F.lit("part")), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = part.withColumn("_upto", F.sum("size").over(order)).where(F.col("_upto") - F.col("size") / 2 <= F.col("quota")).drop("_upto")
-    return whole.union(part).withColumn("place", F.xxhash64("doc_id", "pass", "shard", F.lit(seed))).drop("_s", "_b", "quota", "whole", "block")
+    return whole.union(part).withColumn("place", F.xxhash64("doc_id", "text_hash", "pass", "shard", F.lit(seed))).drop("_s", "_b", "quota", "whole", "block")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> tuple[DataFrame, DataFrame]:
@@ -106,6 +106,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     NULL texts have size 0 and are never drawn, as other texts without a word. A NULL source is a source. Repeated
     rows are drawn each for itself. An empty table gives empty results. Reruns draw the same.
     """
-    sized = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"))
+    sized = saved(rows, "mix-sizes")
     taken, rows = plan(sized, **options)
     return draw(taken, rows), rows
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of the mix, a twice-drawn document twice, by shard and in each shard's random order.
+
+    A row is told by its id and text; repeated rows are one row here. The order is laid by ranges of (shard, place),
+    so a shard may be any number of tasks.
+    """
+    own = docs.withColumn("_row_hash", F.coalesce(F.xxhash64(text), F.lit(0))).dropDuplicates([doc_id, "_row_hash"])
+    drawn, _ = mix(own.drop("_row_hash"), doc_id, source, text, **options)
+    d = drawn.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "shard", "place")
+    rows = own.join(d, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_row_hash") == F.col("_h"))).drop("_d", "_h", "_row_hash")
+    return rows.repartitionByRange(F.col("shard"), F.col("place")).sortWithinPartitions("shard", "place").select(docs.columns)

@@ -169,11 +169,10 @@ def assign(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
     Repeated rows each get a slot. NULL ids are allowed. An empty table gives an empty result; then, and with fewer
     groups than shards, some shards stay empty. Columns in ``extra`` are carried along.
     """
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.col(text)).alias("text_crc32"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), *(extra or []),
-    )
-    rows = saved(rows, "shard-rows")
-    groups = saved(rows.groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
-    _, cuts = capacity_and_cuts(groups, shards)
+    hashed = F.coalesce(F.xxhash64(text), F.lit(0)).alias("h")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size")
+    sizes = saved(docs.select(hashed, size).groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
+    _, cuts = capacity_and_cuts(sizes, shards)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), size, F.crc32(F.col(text)).alias("text_crc32"), hashed, *(extra or []))
+    rows = rows if extra else saved(rows, "shard-rows")
     return slots(rows.withColumn("shard", shard_of(F.col("h"), cuts).cast("int"))).drop("h")

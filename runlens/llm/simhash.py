@@ -138,15 +138,25 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) per row: the smallest id reachable by links between fingerprints.
+    """(doc_id, text_hash, fp, component, component_id) per row: the smallest id reachable by links between fingerprints.
 
-    Equal fingerprints are one node, so copies cost nothing beyond their row. NULL ids get their group's smallest
-    id, NULL if it has none. Repeated rows stay; an empty table gives an empty result; further columns are not read.
+    ``component`` is the smallest fingerprint of the group. Equal fingerprints are one node, so copies cost nothing
+    beyond their row. NULL ids get their group's smallest id, NULL if it has none. Repeated rows stay; an empty table
+    gives an empty result; further columns are not read.
     """
-    prints = saved(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text").drop("_text"), "fingerprints")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), F.col(text).alias("_text"))
+    prints = saved(fingerprints(rows, "_text").drop("_text"), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     groups = components(links(prints)).withColumnRenamed("node", "fp")
     labelled = least.join(groups, "fp", "left").select("fp", "_least", F.coalesce("component", "fp").alias("component"))
     of_group = labelled.groupBy("component").agg(F.min("_least").alias("component_id"))
-    # only groups of several fingerprints differ from their fingerprint's own smallest id
-    return prints.join(labelled.join(of_group, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labelled.join(of_group, "component").drop("_least"), "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of one document of each group: the smallest id, NULL last; of one id the smallest text hash. Repeats go."""
+    found = simhash_components(docs, doc_id, text)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")).alias("_b"))
+    keep = best.select(F.col("_b.doc_id").alias("_keep_id"), F.col("_b.text_hash").alias("_keep_hash"))
+    rows = docs.withColumn("_hash", F.coalesce(F.xxhash64(text), F.lit(0))).dropDuplicates([doc_id, "_hash"])
+    return rows.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi").select(docs.columns)

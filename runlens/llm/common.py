@@ -27,6 +27,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have (Spark doesn't tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side whose counted rows are within the bound; else leave the join to the shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

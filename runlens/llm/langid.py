@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import fold_of
+from runlens.llm.common import fold_of, fresh
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred, score (probability of the chosen language) and ambiguous.
 
     NULL texts and texts without a letter get ``und``, score 0 and are not ambiguous. With one learned language
-    every other text gets it; with none all are ``und``.
+    every other text gets it; with none all are ``und``. Columns with the names of results are replaced.
     """
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -154,4 +154,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": close})
 
     found = F.pandas_udf(predicted, "lang_pred string, score double, ambiguous boolean")
-    return docs.withColumn("_found", found(F.col(text))).select(*docs.columns, "_found.*")
+    own, kept = fresh(docs, "_found"), [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
+    return docs.withColumn(own, found(F.col(text))).select(*kept, f"{own}.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WORD, saved
+from runlens.llm.common import WORD, fresh, saved
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -118,8 +118,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     A row is told by its id and text; repeated rows are one row here. The order is laid by ranges of (shard, place),
     so a shard may be any number of tasks.
     """
-    own = docs.withColumn("_row_hash", F.coalesce(F.xxhash64(text), F.lit(0))).dropDuplicates([doc_id, "_row_hash"])
-    drawn, _ = mix(own.drop("_row_hash"), doc_id, source, text, **options)
-    d = drawn.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "shard", "place")
-    rows = own.join(d, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_row_hash") == F.col("_h"))).drop("_d", "_h", "_row_hash")
-    return rows.repartitionByRange(F.col("shard"), F.col("place")).sortWithinPartitions("shard", "place").select(docs.columns)
+    row_hash, d_id, d_hash, shard, place = (fresh(docs, f"_{name}") for name in ("row_hash", "drawn_id", "drawn_hash", "shard", "place"))
+    own = docs.withColumn(row_hash, F.coalesce(F.xxhash64(text), F.lit(0))).dropDuplicates([doc_id, row_hash])
+    drawn, _ = mix(own.select(doc_id, source, text), doc_id, source, text, **options)
+    d = drawn.select(F.col("doc_id").alias(d_id), F.col("text_hash").alias(d_hash), F.col("shard").alias(shard), F.col("place").alias(place))
+    rows = own.join(d, F.col(doc_id).eqNullSafe(F.col(d_id)) & (F.col(row_hash) == F.col(d_hash)))
+    return rows.repartitionByRange(F.col(shard), F.col(place)).sortWithinPartitions(shard, place).select(docs.columns)

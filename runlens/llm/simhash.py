@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import saved
+from runlens.llm.common import fresh, saved
 from runlens.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -158,5 +158,6 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = simhash_components(docs, doc_id, text)
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")).alias("_b"))
     keep = best.select(F.col("_b.doc_id").alias("_keep_id"), F.col("_b.text_hash").alias("_keep_hash"))
-    rows = docs.withColumn("_hash", F.coalesce(F.xxhash64(text), F.lit(0))).dropDuplicates([doc_id, "_hash"])
-    return rows.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi").select(docs.columns)
+    own = fresh(docs, "_hash")
+    rows = docs.withColumn(own, F.coalesce(F.xxhash64(text), F.lit(0))).dropDuplicates([doc_id, own])
+    return rows.join(keep, rows[doc_id].eqNullSafe(keep["_keep_id"]) & (rows[own] == keep["_keep_hash"]), "left_semi").select(docs.columns)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.operators.keys import join_keys
+
 DEFAULT_BITS = 16
 HOT_ROWS = 1 << 20
 BLOCK = "_block"
@@ -27,14 +29,14 @@ def block_of(order: str | Column, bits: int = DEFAULT_BITS) -> Column:
 def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int | None = None) -> DataFrame:
     """Add ``_block``: the given block for rows of huge groups, NULL for all others.
 
-    There are at most (rows / ``hot_rows``) huge groups, so their keys are small enough to broadcast. Without
-    keys the whole table is one group and always cut.
+    There are at most (rows / ``hot_rows``) huge groups; adaptive execution broadcasts their keys when they are small.
+    A NULL key is a group. Without keys the whole table is one group and always cut.
     """
     if not keys:
         return df.withColumn(BLOCK, block)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), list(keys), "left")
+    marked = join_keys(df, hot.select(*keys, F.lit(True).alias("_hot")), keys, "left")
     return marked.withColumn(BLOCK, F.when(F.col("_hot"), block)).drop("_hot")
 
 
@@ -57,7 +59,7 @@ def join_block_prefix(
         carried.append(value.alias(name))
         known = known | F.col(name).isNotNull()
     entries = summary.select(*keys, BLOCK, *carried).where(known)
-    out = df.join(entries, [*keys, BLOCK], "left")
+    out = join_keys(df, entries, [*keys, BLOCK], "left")
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n, how in prefix.items() if how == "sum"})
 
 

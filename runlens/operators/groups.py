@@ -8,11 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.grid import grid_rows
+from runlens.operators.grid import axes_grid, listed_axis, observed_axis
 from runlens.operators.reduce import clean
 
-MAX_CHOICES = 1000
-
 
 def group_mean_std(df: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Mean, sample standard deviation and non-missing count per group; rows with a missing key are dropped."""
@@ -87,14 +85,6 @@ def sweep_variables(runs: DataFrame, config: str = "config", skip: Sequence[str]
     return sorted(r["param"] for r in varied.select("param").collect() if r["param"] not in skip)
 
 
-def observed_choices(df: DataFrame, name: str, limit: int = MAX_CHOICES) -> list:
-    """Sorted distinct values of a pivot axis; refuses an axis too long for a table."""
-    rows = df.where(F.col(name).isNotNull()).select(name).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{name} has more than {limit} values; give the choices or use group_mean_std")
-    return sorted(r[0] for r in rows)
-
-
 def pivot_grid(
     df: DataFrame,
     rows: dict[str, Sequence | None],
@@ -103,19 +93,22 @@ def pivot_grid(
 ) -> DataFrame:
     """Every (row, column) cell with mean, sample std and count; cells without runs appear with NULLs and 0.
 
-    A choice list of ``None`` takes the observed values. ``_row`` and ``_col`` give the listing order.
+    A choice list of ``None`` takes the observed values, however many. ``_row`` and ``_col`` give the listing order.
     """
-    spark = df.sparkSession
-    choices = {k: list(v) if v is not None else observed_choices(df, k) for k, v in {**rows, **cols}.items()}
-    n_cols = 1
+    choices = {**rows, **cols}
+    axes = {
+        k: observed_axis(df, k, f"_at_{k}") if v is None else listed_axis(df.sparkSession, df, k, v, f"_at_{k}")
+        for k, v in choices.items()
+    }
+    grid = axes_grid(axes, "_cell")
+    n_cols = F.lit(1).cast("long")
     for name in cols:
-        n_cols *= len(choices[name])
-    grid = grid_rows(spark, choices, "_cell")
+        n_cols = n_cols * F.col(f"_n_{name}")
     cells = group_mean_std(df, list(choices), [value])
     out = grid.join(cells, list(choices), "left")
     return out.select(
         *choices,
-        F.expr(f"_cell div {n_cols}").alias("_row"),
+        F.call_function("div", F.col("_cell"), n_cols).alias("_row"),
         (F.col("_cell") % n_cols).alias("_col"),
         F.col(f"{value}_mean").alias("mean"),
         F.col(f"{value}_std").alias("std"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.columns import decode_comment, encode_comment, json_field
 from runlens.operators.config import RERUN, filter_active
+from runlens.operators.logs import tracking_url
 
 # Options recognised in a submit line.
 COMMENT = r"--comment=([^ ]+)"
@@ -89,14 +90,28 @@ def retry_plan(jobs: DataFrame, fallback_dir: str = "./") -> DataFrame:
     )
 
 
-def apply_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame) -> DataFrame:
+# The commands, and their older names.
+COMMANDS = ("refresh_track", "cancel_ids", "cancel_regex", "find_regex", "cancel_urls", "find_urls")
+ALIASES = {"cancel_wandb_urls": "cancel_urls", "find_wandb_urls": "find_urls"}
+
+
+def apply_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame, stderr: DataFrame | None = None) -> DataFrame:
     """Actions asked for by ``commands(name, arg)``: refresh, and cancel or find by ids, regex or tracking URL.
 
-    Returns ``(job_id, action)`` with action ``track``, ``cancel`` or ``find``. Commands are split by the
+    Returns ``(job_id, action)`` with action ``track``, ``cancel`` or ``find``; a command that isn't known gives a row
+    without a job and with action ``unknown``. URLs are a column ``url`` of ``jobs``, or are read off the jobs' error logs
+    ``stderr(job_id, line_no, line)``; URL commands without either are an error. Commands are split by the
     kind of lookup so that ids and URLs are equi-joins. A pattern list is checked line by line against each
     job (any match of the alternatives), as a filter rather than a join.
     """
     watched = jobs.join(tracked.select("job_id"), "job_id", "left_semi")
+    if stderr is not None:
+        watched = watched.drop("url").join(tracking_url(stderr, ["job_id"]), "job_id", "left")
+    name = F.col("name")
+    for old, new in ALIASES.items():
+        name = F.when(F.col("name") == old, new).otherwise(name)
+    commands = commands.withColumn("name", name)
+    unknown = commands.where(~F.coalesce(F.col("name").isin(*COMMANDS), F.lit(False))).select(F.lit(None).cast("long").alias("job_id"), F.lit("unknown").alias("action"))
     verb = F.when(F.col("name").startswith("cancel"), "cancel").otherwise("find")
     kind = lambda suffix: commands.where(F.col("name").isin(f"cancel_{suffix}", f"find_{suffix}")).withColumn("action", verb)
 
@@ -107,7 +122,11 @@ def apply_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame) ->
     by_id = watched.join(ids.select("action", F.col("_id").cast("long").alias("job_id")).distinct(), "job_id")
 
     urls = kind("urls").select("action", F.explode(F.split("arg", ",")).alias("url")).distinct()
-    by_url = watched.join(urls, "url") if "url" in watched.columns else watched.where(F.lit(False)).withColumn("action", F.lit(""))
+    if "url" in watched.columns:
+        by_url = watched.join(urls, "url").select("job_id", "action")
+    else:
+        refuse = F.raise_error(F.lit("URL commands need the jobs' URLs or error logs")).cast("long")
+        by_url = urls.select(refuse.alias("job_id"), "action")
 
     patterns = kind("regex").groupBy("action").agg(F.collect_set("arg").alias("_res"))
     regexes = {a: patterns.where(F.col("action") == a).select("_res").scalar() for a in ("cancel", "find")}
@@ -116,7 +135,7 @@ def apply_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame) ->
         hit = watched.withColumn("_res", found).where(F.exists("_res", lambda p: F.rlike("submit_line", p)))
         part = hit.select("job_id", F.lit(action).alias("action"))
         by_regex = part if by_regex is None else by_regex.unionByName(part)
-    parts = [by_id.select("job_id", "action"), by_url.select("job_id", "action"), by_regex]
+    parts = [by_id.select("job_id", "action"), by_url, by_regex, unknown]
     for part in parts:
         track = track.unionByName(part)
     return track.distinct()

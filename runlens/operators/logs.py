@@ -213,10 +213,10 @@ def series_subkey(series: Column, key: str) -> Column:
 
 
 def parse_tagged_json(lines: DataFrame, prefix: str = "file", bits: int = DEFAULT_BITS) -> DataFrame:
-    """``[task:] args|stats: {json}`` lines to records ``(file, key, kind, seq, payload)``.
+    """``[task:] args|stats: {json}`` lines to records ``(file, key, kind, seq, payload, failed)``.
 
     A counter rises on every ``args`` line of the file; the key is ``prefix-task-counter`` and keeps the
-    task's colon. ``payload`` is JSON text.
+    task's colon. ``payload`` is JSON text; text that doesn't parse makes a NULL payload and ``failed``.
     """
     part = lambda i: F.regexp_extract("line", TAGGED, i)
     tagged = lines.where(F.col("line").rlike(TAGGED)).select(
@@ -224,7 +224,9 @@ def parse_tagged_json(lines: DataFrame, prefix: str = "file", bits: int = DEFAUL
     )
     counted = running_count(tagged, ["file"], "line_no", F.col("kind") == "args", "_args", bits)
     key = F.concat("_prefix", F.lit("-"), "_task", F.lit("-"), (F.col("_args") - 1).cast("string"))
-    return counted.select("file", key.alias("key"), "kind", F.col("line_no").alias("seq"), "payload")
+    failed = F.try_parse_json("payload").isNull()
+    payload = F.when(~failed, F.col("payload"))
+    return counted.select("file", key.alias("key"), "kind", F.col("line_no").alias("seq"), payload.alias("payload"), failed.alias("failed"))
 
 
 def group_records(records: DataFrame, file_order: str = "file") -> DataFrame:

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.operators.keys import join_keys
+
 
 def table_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str], eps: float = 1e-6) -> DataFrame:
-    """Rows present on one side only, or with any ``|a - b| >= eps`` (or a value missing on one side only)."""
+    """Rows present on one side only, or with any ``|a - b| >= eps`` (or a value missing on one side only). NULL keys pair up."""
     left = a.select(*keys, *[F.col(v).alias(f"{v}_a") for v in values], F.lit(True).alias("_in_a"))
     right = b.select(*keys, *[F.col(v).alias(f"{v}_b") for v in values], F.lit(True).alias("_in_b"))
-    both = left.join(right, list(keys), "full_outer")
+    both = join_keys(left, right, keys, "full_outer")
     differs = F.col("_in_a").isNull() | F.col("_in_b").isNull()
     for v in values:
         x, y = F.col(f"{v}_a"), F.col(f"{v}_b")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, block_of
 
 PAGE_BITS = 20
+#: Ids of a range that one row is expanded to at a time.
+EXPAND_BITS = 16
 
 
 def id_ranges(df: DataFrame, keys: Sequence[str], id_col: str, bits: int = DEFAULT_BITS) -> DataFrame:
@@ -82,14 +84,20 @@ def compact_ids(df: DataFrame, id_col: str, page_bits: int = PAGE_BITS) -> DataF
 
 
 def expand_ids(df: DataFrame, text: str, id_col: str = "id") -> DataFrame:
-    """Rows of ids from ``6-8,10`` texts. A part that is not ``a`` or ``a-b`` is an error; ``9-7`` is empty."""
+    """Rows of ids from ``6-8,10`` texts. A part that is not ``a`` or ``a-b`` is an error; ``9-7`` is empty.
+
+    A range is first cut into pages, which are spread over tasks, so its length is bounded by nothing.
+    """
     part = F.trim(F.col("_part"))
     lo = F.regexp_extract(part, r"^(\d+)", 1).cast("long")
     hi = F.when(part.contains("-"), F.regexp_extract(part, r"-(\d+)$", 1).cast("long")).otherwise(lo)
     ids = (
         F.when(~part.rlike(r"^\d+(-\d+)?$"), F.raise_error(F.concat(F.lit("invalid id range: "), part)).cast("array<bigint>"))
-        .when(lo <= hi, F.sequence(lo, hi))
+        .when(lo <= hi, F.sequence(F.shiftright(lo, EXPAND_BITS), F.shiftright(hi, EXPAND_BITS)))
         .otherwise(F.array().cast("array<bigint>"))
     )
     parts = df.where(F.col(text) != "").withColumn("_part", F.explode(F.split(text, ",")))
-    return parts.withColumn(id_col, F.explode(ids)).drop("_part", text)
+    pages = parts.select("*", lo.alias("_lo"), hi.alias("_hi"), F.explode(ids).alias("_page")).repartition("_page")
+    first = F.greatest("_lo", F.shiftleft("_page", EXPAND_BITS))
+    last = F.least("_hi", F.shiftleft(F.col("_page") + 1, EXPAND_BITS) - 1)
+    return pages.withColumn(id_col, F.explode(F.sequence(first, last))).drop("_part", "_lo", "_hi", "_page", text)

@@ -11,6 +11,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.operators.keys import join_keys
 from runlens.plans.spec import MetricOptions
 
 REDUCED = ("topk_mean", "best", "best_idx", "len")
@@ -49,7 +50,7 @@ def best_points(
     keys = [*keys, "metric"]
     lengths = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
     top = ranked_points(points, keys, default, options).groupBy(*keys).agg(F.collect_list(F.struct("pos", "value")).alias("top"))
-    return lengths.join(top, keys, "left").select(*keys, "top", "len")
+    return join_keys(lengths, top, keys, "left").select(*keys, "top", "len")
 
 
 def _best_first(default: MetricOptions, options: dict[str, MetricOptions]) -> tuple[Column, Column]:
@@ -116,7 +117,7 @@ def reduce_series(
             F.max(F.when(F.col("_rank") == 1, F.col("pos"))).alias("best_idx"),
         )
     )
-    reduced = lengths.join(top, keys, "left")
+    reduced = join_keys(lengths, top, keys, "left")
     if runs is not None and metrics is not None:
         extra = [c for c in keys if c not in ("metric", *runs.columns)]
         if extra:
@@ -124,7 +125,7 @@ def reduce_series(
         every = runs.select(*[c for c in keys if c != "metric"]).withColumn(
             "metric", F.explode(F.array(*[F.lit(m) for m in metrics]))
         )
-        reduced = every.join(reduced, keys, "left").withColumn("len", F.coalesce("len", F.lit(0).cast("long")))
+        reduced = join_keys(every, reduced, keys, "left").withColumn("len", F.coalesce("len", F.lit(0).cast("long")))
     return reduced.select(*keys, *REDUCED)
 
 

@@ -1,4 +1,4 @@
-"""Mergeable statistics: value summaries, counters, step timing, cross-correlation, spectra."""
+"""Mergeable statistics: value summaries, counters, step timing, cross-correlation."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, with_halo
+from runlens.operators.keys import join_keys
 from runlens.operators.reduce import clean
 
-SMALL_GROUPS = 1000
 # Fixed value: added under the root of the standard error.
 VARIANCE_FLOOR = 1e-6
 # Fixed value: below this, norms and covariance count as zero.
@@ -24,42 +24,42 @@ def describe_values(df: DataFrame, value: str, by: Sequence[str] = (), accuracy:
 
     The median takes two passes. A mergeable quantile sketch brackets it; the second pass counts the rows
     below the bracket and, by distinct value, the few rows inside. Ranks are then read off the bracket. A
-    group is never sorted or collected as a whole. A bracket that misses the median is an error.
+    group is never sorted or collected as a whole. For a group whose bracket misses the median, a third pass
+    reads the ranks off all its distinct values.
 
-    Up to ``SMALL_GROUPS`` groups, the first pass runs at once and its few rows are broadcast; with more groups
-    the passes are joined by key.
+    Missing values are skipped. A group of missing values only has n = 0 and NULLs, and so has an ungrouped
+    empty table. A NULL key is a group.
     """
-    v = clean(value)
-    rows = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+    key = list(by) or ["_one"]
+    rows = df.select(*by, clean(value).alias("_v"))
+    # a hidden constant key lets the ungrouped case join without a cross product
+    rows = rows if by else rows.withColumn("_one", F.lit(1))
     margin = 2.0 / accuracy
-    sketch = rows.groupBy(*by).agg(
+    measures = [
         F.count("_v").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"),
         F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_q"),
-    )
-    key = list(by)
-    # a hidden constant key lets the ungrouped case join without a cross product
-    if not key:
-        rows, sketch, key = rows.withColumn("_one", F.lit(1)), sketch.withColumn("_one", F.lit(1)), ["_one"]
-    found = sketch.limit(SMALL_GROUPS + 1).collect()
-    small = len(found) <= SMALL_GROUPS
-    if small:
-        sketch = df.sparkSession.createDataFrame(found, sketch.schema)
-    brackets = sketch.select(*key, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    near = rows.join(F.broadcast(brackets) if small else brackets, key)
+    ]
+    sketch = rows.groupBy(*key).agg(*measures) if by else rows.agg(*measures).withColumn("_one", F.lit(1))
+    known = rows.where(F.col("_v").isNotNull())
+    brackets = sketch.select(*key, "n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    found = _median_ranks(known, brackets, key)
+    missed = join_keys(brackets, found.where("_median is not null"), key, "left_anti").where("n > 0")
+    whole = missed.select(*key, "n", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
+    medians = found.where("_median is not null").unionByName(_median_ranks(known, whole, key))
+    return join_keys(sketch, medians, key, "left").select(*by, "n", "min", "max", "mean", F.col("_median").alias("median"))
+
+
+def _median_ranks(known: DataFrame, brackets: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Median per key from the ranks of the values inside a bracket; NULL where it isn't there."""
+    near = join_keys(known, brackets, key)
     # rows outside the bracket fall into one bucket on each side
-    bucketed = near.where(F.col("_v") <= F.col("_hi")).withColumn(
-        "_inside", F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    )
-    counts = bucketed.groupBy(*key, "_inside").agg(F.count(F.lit(1)).alias("_c"))
+    bucketed = near.where(F.col("_v") <= F.col("_hi")).withColumn("_inside", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+    counts = bucketed.groupBy(*key, "n", "_inside").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*key).orderBy(F.col("_inside").asc_nulls_first())
-    upto = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_from", F.col("_upto") - F.col("_c"))
-    ranks = upto.join(sketch.select(*key, "n"), key)
+    ranks = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_from", F.col("_upto") - F.col("_c"))
     low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
     at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_upto")), F.col("_inside")))
-    median = ranks.groupBy(*key).agg(at(low).alias("_a"), at(high).alias("_b"))
-    missed = F.raise_error(F.lit("median outside its bracket; raise accuracy")).cast("double")
-    mid = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), (F.col("_a") + F.col("_b")) / 2).otherwise(missed)
-    return sketch.join(median, key).select(*by, "n", "min", "max", "mean", mid.alias("median"))
+    return ranks.groupBy(*key).agg(((at(low) + at(high)) / 2).alias("_median"))
 
 
 def value_stats(
@@ -72,16 +72,16 @@ def value_stats(
     v, i = clean(value), F.col(index).cast("long")
     s = df.where(v.isNotNull()).groupBy(*by).agg(
         F.count(v).alias("n"),
-        F.sum(v).alias("_sum"),
-        F.sum(v * v).alias("_sq"),
+        F.avg(v).alias("_mean"),
+        F.var_pop(v).alias("_var"),
         F.min(F.struct(v.alias("v"), (-i).alias("i"))).alias("_lo"),
         F.max(F.struct(v.alias("v"), i.alias("i"))).alias("_hi"),
     )
     factor = F.lit(1.0)
     for name, m in (multipliers or {}).items():
         factor = F.when(F.col(by[-1]) == name, F.lit(float(m))).otherwise(factor)
-    mean = F.col("_sum") / F.col("n")
-    stderr = F.sqrt(F.col("_sq") / F.col("n") - mean * mean + VARIANCE_FLOOR) / F.sqrt("n")
+    mean = F.col("_mean")
+    stderr = F.sqrt(F.col("_var") + VARIANCE_FLOOR) / F.sqrt("n")
     return s.select(
         *by, "n", (mean * factor).alias("mean"), (stderr * factor).alias("stderr"),
         (F.col("_lo.v") * factor).alias("min"), (-F.col("_lo.i")).alias("min_idx"),
@@ -132,7 +132,7 @@ def step_timing(marks: DataFrame, session: Sequence[str], key: str, ts: str = "t
     totals = per_key.groupBy(*session).agg(
         F.sum("_sum").alias("_total"), F.min("n").alias("_least"), (F.min("n") == F.max("n")).alias("balanced")
     )
-    return per_key.join(totals, list(session)).select(
+    return join_keys(per_key, totals, session).select(
         *session, key, "n", (F.col("_sum") / F.col("n")).alias("mean_ms"),
         F.try_divide(F.col("_sum") * 100, F.col("_total")).alias("share_pct"),
         F.when(F.col("balanced"), F.col("_total") / F.col("_least")).alias("iter_ms"), "balanced",
@@ -222,23 +222,3 @@ def best_match(corr: DataFrame, last: DataFrame | None = None) -> DataFrame:
 def gram_matrix(features: DataFrame, column: str) -> DataFrame:
     """Inner products of all feature columns as (i, j, value), divided by the row count."""
     return cross_corr_sums(features, column, column).select("i", "j", (F.col("sxy") / F.col("n")).alias("value"))
-
-
-def eigen_spectrum(matrix: DataFrame) -> DataFrame:
-    """Eigenvalues and vectors of a square matrix (i, j, value), largest real part first.
-
-    The matrix has one row per feature pair: its size depends on the feature count, not on the data.
-    """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["i"].max()) + 1
-        a = np.zeros((d, d))
-        a[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["value"].to_numpy()
-        values, vectors = np.linalg.eigh(a) if np.allclose(a, a.T) else np.linalg.eig(a)
-        order = np.argsort(-values.real, kind="stable")
-        values, vectors = values[order], vectors[:, order].real
-        return pd.DataFrame(dict(rank=range(d), real=values.real, imag=values.imag, vector=list(vectors.T)))
-
-    return matrix.groupBy(F.lit(0).alias("_all")).applyInPandas(
-        solve, "rank int, real double, imag double, vector array<double>"
-    )

@@ -136,11 +136,14 @@ select (s.i * p.n + p.i) * y.n + y.i as trial_id, 'status=' || s.v || '_priority
 from s, p, y""")
 def d05(spark, sf):
     t = fx.trials(spark, sf)
-    options = {"./run": None, **{f"--{n}": groups.observed_choices(t, f"p_{n}") for n in ("status", "priority", "year")},
-               "--mode": ["long-single-valued-option"]}
+    options = {"./run": None, **{f"--{n}": _axis(t, f"p_{n}") for n in ("status", "priority", "year")}, "--mode": ["long-single-valued-option"]}
     return grid.param_grid(spark, options, target_dir="out")
 
 
+def _axis(t, name):
+    return grid.observed_axis(t, name, "at").withColumnRenamed(name, "value")
+
+
 @query("d06_nested_grid", f"""
 with {OPTION_LISTS},
 sub as (select 'adam' as opt, v as beta, i from y union all select 'sgd', null, n from (select distinct n from y))
@@ -148,11 +151,11 @@ select s.i + s.n * (sub.i + (select count(*) from sub) * p.i) as trial_id, s.v a
 from s, sub, p""")
 def d06(spark, sf):
     t = fx.trials(spark, sf)
-    years = groups.observed_choices(t, "p_year")
+    observed = lambda name: grid.TableValues(_axis(t, name))
     spec = {
-        "status": groups.observed_choices(t, "p_status"),
-        "__sub": [{"opt": "adam", "beta": years}, {"opt": "sgd"}],
-        "priority": groups.observed_choices(t, "p_priority"),
+        "status": observed("p_status"),
+        "__sub": [{"opt": "adam", "beta": observed("p_year")}, {"opt": "sgd"}],
+        "priority": observed("p_priority"),
     }
     return grid.nested_grid(spark, spec)
 

@@ -177,6 +177,16 @@ def e10(spark, sf):
     return _pivot(spark, sf).withColumns(r6("mean", "std"))
 
 
+@query("e10_pivot_long_axis", """
+with c as (select v as o_custkey, row_number() over (order by v) - 1 as _row from (select distinct o_custkey as v from orders)),
+s as (select v as o_orderstatus, row_number() over (order by v) - 1 as _col from (select distinct o_orderstatus as v from orders))
+select c.o_custkey, s.o_orderstatus, _row, _col, round(avg(o_totalprice), 6) as mean, round(stddev_samp(o_totalprice), 6) as std, count(o_totalprice) as n
+from c cross join s left join orders o on o.o_custkey = c.o_custkey and o.o_orderstatus = s.o_orderstatus group by all""")
+def e10_long(spark, sf):
+    orders = fx.table(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    return groups.pivot_grid(orders, {"o_custkey": None}, {"o_orderstatus": None}, "o_totalprice").withColumns(r6("mean", "std"))
+
+
 @query("e10_pivot_wide", f"""with {PIVOT_CELLS}
 select p_status, round(max(mean) filter (where p_year = '1995'), 6) as y1995, round(max(mean) filter (where p_year = '1997'), 6) as y1997,
        round(max(mean) filter (where p_year = '2099'), 6) as y2099

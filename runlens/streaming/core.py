@@ -34,7 +34,9 @@ def read_before(spark: SparkSession, path: str, schema: T.StructType | str, batc
     full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
     try:
         rows = spark.read.schema(full).option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
         return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in full.fields])
     return rows if batch_id is None else rows.where(F.col(BATCH) < batch_id)
 

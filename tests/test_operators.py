@@ -127,15 +127,6 @@ def test_cross_corr_edges_and_merge(spark):
     assert (best[0].i, best[0].best_j) == (0, 0) and best[0].best_r == pytest.approx(1.0)
 
 
-def test_eigen_spectrum(spark):
-    m = np.array([[2.0, 1.0], [1.0, 3.0]])
-    df = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(2) for j in range(2)], "i int, j int, value double")
-    rows = stats.eigen_spectrum(df).orderBy("rank").collect()
-    assert [r["real"] for r in rows] == pytest.approx(sorted(np.linalg.eigvalsh(m), reverse=True))
-    v = np.array(rows[0]["vector"])
-    assert m @ v == pytest.approx(rows[0]["real"] * v)
-
-
 def test_spatial_rows(spark):
     fm = np.arange(12.0).reshape(2, 3, 2)
     df = spark.createDataFrame([(fm.tolist(),)], "f array<array<array<double>>>")
@@ -314,7 +305,6 @@ def test_best_points_merge_like_one_pass(spark):
 
 
 def test_exact_median_joined_by_key(spark, monkeypatch):
-    monkeypatch.setattr(stats, "SMALL_GROUPS", 0)
     rng = np.random.default_rng(11)
     rows = [(g, float(v)) for g in range(5) for v in np.round(rng.normal(size=10 + 40 * g), 1)]
     df = spark.createDataFrame(rows, "g int, v double")

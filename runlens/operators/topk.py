@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,11 +15,28 @@ from runlens.operators.reduce import clean
 
 def _starts(pdf: pd.DataFrame, columns: Sequence[str], previous: tuple | None) -> np.ndarray:
     """Where a sorted batch begins a new group, given the last key of the batch before."""
-    new = (pdf[columns] != pdf[columns].shift()).any(axis=1).to_numpy()
-    new[0] = previous is None or previous != tuple(pdf[columns].iloc[0])
+    now, before = pdf[columns], pdf[columns].shift()
+    new = ((now != before) & ~(now.isna() & before.isna())).any(axis=1).to_numpy()
+    first = now.iloc[0]
+    new[0] = previous is None or any(a != b and not (pd.isna(a) and pd.isna(b)) for a, b in zip(first, previous))
     return new
 
 
+def _running_best(rows: DataFrame, k: int, window, names: list[str]) -> DataFrame:
+    """Add the k best values of all earlier rows, best first; NULL while there are fewer.
+
+    A chain of running maxima over one sort: what the m-th does not keep is handed to the next, as in insertion.
+    """
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    carried = "value"
+    for m, name in enumerate(names):
+        rows = rows.withColumn(name, F.max(carried).over(before))
+        # a value better than the m-th best pushes that one down; without one nothing is handed on
+        rows = rows.withColumn(f"_carry{m}", F.when(F.col(name).isNotNull(), F.least(F.col(carried), F.col(name))))
+        carried = f"_carry{m}"
+    return rows.drop(*[f"_carry{m}" for m in range(k)])
+
+
 def topk_admission(
     points: DataFrame,
     k: int,
@@ -33,77 +49,32 @@ def topk_admission(
 
     ``worst`` is the worst kept score it had to beat (NULL while fewer than k are kept). Huge series are cut
     into blocks of positions. The k best scores of each block are enough to know the kept set at the start of
-    every block; the blocks are then scanned independently, in order, with k numbers of state.
-    ``kept_before(keys, value)`` holds scores kept from earlier data.
+    every block, and that set enters the block as rows before all others. So every block is one sort and k running
+    maxima, without Python. ``kept_before(keys, value)`` holds scores kept from earlier data. A NULL key is a series.
     """
     keys = list(keys)
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    names = [f"_best{m}" for m in range(k)]
     rows = points.select(*keys, F.col("pos").cast("long").alias("pos"), clean("value").alias("value")).where("value is not null")
     # block -1 stands for a series that is not cut, block -2 for scores kept earlier
     rows = with_blocks(rows, keys, block_of("pos", bits), hot_rows).withColumn(BLOCK, F.coalesce(BLOCK, F.lit(-1).cast("long")))
     rank = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(F.desc("value"), "pos"))
-    best = rows.where(F.col(BLOCK) >= 0).withColumn("_rk", rank).where(F.col("_rk") <= k).select(*keys, BLOCK, "value")
+    cut = rows if kept_before is not None else rows.where(F.col(BLOCK) >= 0)
+    best = cut.withColumn("_rk", rank).where(F.col("_rk") <= k).select(*keys, BLOCK, "value", "_rk")
     if kept_before is not None:
-        best = best.unionByName(kept_before.select(*keys, F.lit(-2).cast("long").alias(BLOCK), F.col("value").cast("double")))
-        first = rows.where(F.col(BLOCK) < 0).select(*keys, BLOCK, F.lit(float("-inf")).alias("value")).distinct()
-        best = best.unionByName(first.join(kept_before.select(*keys), keys, "left_semi"))
-    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
-
-    def entry_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key = last_block = None
-        kept: list[float] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            new_key = _starts(pdf, keys, last_key)
-            new_block = _starts(pdf, [*keys, BLOCK], last_block)
-            at, scores = [], []
-            for i, value in enumerate(pdf["value"]):
-                if new_key[i]:
-                    kept = []
-                elif new_block[i]:
-                    at += [i] * len(kept)
-                    scores += kept
-                if len(kept) < k:
-                    heapq.heappush(kept, value)
-                elif value > kept[0]:
-                    heapq.heapreplace(kept, value)
-            last_key, last_block = tuple(pdf[keys].iloc[-1]), tuple(pdf[[*keys, BLOCK]].iloc[-1])
-            if at:
-                yield pdf.iloc[at][[*keys, BLOCK]].assign(value=scores)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        kept: list[float] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            new = _starts(pdf, [*keys, BLOCK], last)
-            own = (pdf["pos"] >= 0).to_numpy()
-            admitted, worst = [], []
-            for value, begins, is_own in zip(pdf["value"], new, own):
-                if begins:
-                    kept = []
-                full = len(kept) == k
-                ok = not full or value > kept[0]
-                if is_own:
-                    admitted.append(ok)
-                    worst.append(kept[0] if full else np.nan)
-                if ok:
-                    heapq.heapreplace(kept, value) if full else heapq.heappush(kept, value)
-            last = tuple(pdf[[*keys, BLOCK]].iloc[-1])
-            yield pdf[own][[*keys, "pos", "value"]].assign(admitted=admitted, worst=worst)
-
-    entries = best.repartition(*keys).sortWithinPartitions(*keys, BLOCK).mapInPandas(
-        entry_sets, f"{key_fields}, {BLOCK} long, value double"
-    )
-    # the scores a block starts with come first, at position -1
-    seeded = rows.unionByName(entries.withColumn("pos", F.lit(-1).cast("long")))
-    out = (
-        seeded.repartition(*keys, BLOCK)
-        .sortWithinPartitions(*keys, BLOCK, "pos")
-        .mapInPandas(scan, f"{key_fields}, pos long, value double, admitted boolean, worst double")
+        best = best.unionByName(kept_before.select(*keys, F.lit(-2).cast("long").alias(BLOCK), F.col("value").cast("double"), F.lit(0).alias("_rk")))
+    # the kept set at a block's first row, from at most k rows of each earlier block
+    entered = _running_best(best, k, Window.partitionBy(*keys).orderBy(BLOCK, "_rk", F.desc("value")), names)
+    seeds = entered.where((F.col("_rk") == 1) & (F.col(BLOCK) >= -1)).select(
+        *keys, BLOCK, F.lit(-1).cast("long").alias("pos"), F.explode(F.array_compact(F.array(*names))).alias("value")
     )
-    return out.withColumn("worst", F.when(~F.isnan("worst"), F.col("worst")))
+    order = Window.partitionBy(*keys, BLOCK).orderBy("pos")
+    seeded = rows.select(*keys, BLOCK, "pos", "value").unionByName(seeds)
+    # the order among a block's seeds does not matter: no result is read from them
+    out = _running_best(seeded, k, order, names).where("pos >= 0")
+    worst = F.col(names[-1])
+    return out.select(*keys, "pos", "value", (worst.isNull() | (F.col("value") > worst)).alias("admitted"), worst.alias("worst"))
 
 
 def assign_slots(admitted: DataFrame, k: int, keys: Sequence[str] = ("run_id", "metric"), kept_before: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -45,16 +47,23 @@ def apply_runtime_settings(spark: SparkSession, input_bytes: int = 0) -> SparkSe
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+def use_local_folder(spark: SparkSession) -> None:
+    """For runs in one process that set no ``spark.checkpoint.dir``: a folder of this session, removed at its end."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_runlens_folder", None):
+        return
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="runlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context._runlens_folder = folder
 
-    A machine-local folder is used only when the setting is missing and Spark runs in one process.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_runlens_folder", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="runlens-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return base.rstrip("/")
 
 

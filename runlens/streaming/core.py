@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -41,6 +42,29 @@ def read_before(spark: SparkSession, path: str, schema: T.StructType | str, batc
     return rows if batch_id is None else rows.where(F.col(BATCH) < batch_id)
 
 
+def newest_batch(rows: DataFrame) -> int:
+    """Number of the newest batch, from the names of the files."""
+    return max((int(m[1]) for m in (re.search(rf"/{BATCH}=(\d+)/", f) for f in rows.inputFiles()) if m), default=0)
+
+
+def since_snapshot(rows: DataFrame, batch_id: int | None = None) -> DataFrame:
+    """Rows of the last snapshot before ``batch_id`` (the newest without one) and of the batches after it."""
+    last = newest_batch(rows) if batch_id is None else max(batch_id - 1, 0)
+    return rows.where(F.col(BATCH) >= last // SNAPSHOT * SNAPSHOT)
+
+
+def prune(spark: SparkSession, path: str, below: int) -> None:
+    """Remove batches that no reader needs: those before the snapshot before the last, which a repeated batch may read."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(folder):
+        for status in fs.listStatus(folder):
+            m = re.fullmatch(rf"{BATCH}=(\d+)", status.getPath().getName())
+            if m and int(m[1]) < below:
+                fs.delete(status.getPath(), True)
+
+
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key the row of the newest batch."""
     rest = [c for c in rows.columns if c not in (*keys, BATCH)]
@@ -53,14 +77,13 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType | str, keys:
 
     Every ``SNAPSHOT`` batches the whole state is written, so only the partitions since then are read.
     """
-    rows = read_before(spark, path, schema, batch_id)
-    if batch_id is not None:
-        rows = rows.where(F.col(BATCH) >= max(batch_id - 1, 0) // SNAPSHOT * SNAPSHOT)
-    return latest(rows, keys)
+    return latest(since_snapshot(read_before(spark, path, schema, batch_id), batch_id), keys)
 
 
 def write_state(changed: DataFrame, before: DataFrame, path: str, keys: list[str], batch_id: int) -> None:
-    """Write the keys a batch changed; at a snapshot, all others as well."""
+    """Write the keys a batch changed; at a snapshot, all others as well. What older snapshots left is removed then."""
     if batch_id % SNAPSHOT == 0 and batch_id > 0:
         changed = changed.unionByName(before.join(changed.select(*keys), keys, "left_anti").select(*changed.columns))
     write_batch(changed, path, batch_id)
+    if batch_id % SNAPSHOT == 0:
+        prune(before.sparkSession, path, batch_id - SNAPSHOT)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runlens.operators.jobs import BROKEN, DONE, apply_commands
-from runlens.streaming.core import read_before, start, write_batch
+from runlens.streaming.core import read_state, start, write_batch, write_state
 
 POLL = "30 seconds"
 # state reported for a job the user cancelled here; it is finished without a retry
@@ -23,7 +23,7 @@ def track_jobs(
     ``status(job_id, state, seq)`` are polled rows, repeated at will; without ``tracked(job_id)`` all of them are
     tracked. A job the user cancelled is finished
     first and never retried. Per batch the first terminal row of a job is a partial aggregate; jobs already
-    finished by earlier batches are left out by an anti join with the written results.
+    finished by earlier batches are left out by an anti join with the written results, read since the last snapshot.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -33,15 +33,16 @@ def track_jobs(
         if tracked is not None:
             ends = ends.join(tracked.select("job_id"), "job_id", "left_semi")
         first = ends.groupBy("job_id").agg(F.min_by("state", F.struct(F.col("seq"), rank.alias("r"))).alias("state"))
-        done = read_before(spark, out, FINISHED_SCHEMA, batch_id)
+        done = read_state(spark, out, FINISHED_SCHEMA, ["job_id"], batch_id)
         fresh = first.join(done.select("job_id"), "job_id", "left_anti")
-        write_batch(fresh.withColumn("action", F.when(F.col("state").isin(*BROKEN), "retry").otherwise("finished")), out, batch_id)
+        fresh = fresh.withColumn("action", F.when(F.col("state").isin(*BROKEN), "retry").otherwise("finished"))
+        write_state(fresh, done, out, ["job_id"], batch_id)
 
     return start(status, process, checkpoint, every)
 
 
 def read_finished(spark, out: str) -> DataFrame:
-    return read_before(spark, out, FINISHED_SCHEMA).drop("batch_id")
+    return read_state(spark, out, FINISHED_SCHEMA, ["job_id"])
 
 
 def watch_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

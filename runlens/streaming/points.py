@@ -12,8 +12,7 @@ from runlens.operators.reduce import best_points, from_best_points, merge_best_p
 from runlens.operators.stats import CORR_STATE, cross_corr_sums, merge_corr_sums, value_stats
 from runlens.operators.topk import assign_slots, kept_slots, topk_admission
 from runlens.plans.spec import MetricOptions
-from runlens.session import cut
-from runlens.streaming.core import BATCH, latest, read_before, read_state, start, write_batch, write_state
+from runlens.streaming.core import BATCH, SNAPSHOT, latest, prune, read_before, read_state, since_snapshot, start, write_batch, write_state
 
 REFRESH = "60 seconds"
 BOARD_SCHEMA = "run_id bigint, metric string, top array<struct<pos:bigint,value:double>>, len bigint"
@@ -34,7 +33,11 @@ def live_leaderboard(
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = read_state(spark, out, BOARD_SCHEMA, keys, batch_id)
-        fresh = cut(best_points(batch, default, options))
+        # two readers below: written once, as a table of the batch
+        best = best_points(batch, default, options)
+        write_batch(best, f"{out}/_fresh", batch_id)
+        prune(spark, f"{out}/_fresh", batch_id)
+        fresh = spark.read.schema(best.schema).parquet(f"{out}/_fresh/{BATCH}={batch_id}")
         old = before.join(fresh.select(*keys), keys, "left_semi").select(*keys, "top", "len")
         write_state(merge_best_points(old.unionByName(fresh), default, options), before, out, keys, batch_id)
 
@@ -62,27 +65,33 @@ def live_value_stats(
     totals = value_stats(rows, list(by), value, index)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, out, batch_id)
+        before = read_state(batch.sparkSession, out, batch.schema, list(by), batch_id)
+        write_state(batch, before, out, list(by), batch_id)
 
     return start(totals, process, checkpoint, every, mode="update")
 
 
 def read_value_stats(spark, out: str, by: Sequence[str]) -> DataFrame:
-    rows = spark.read.option("basePath", out).parquet(out)
-    return latest(rows, list(by))
+    return latest(since_snapshot(spark.read.option("basePath", out).parquet(out)), list(by))
 
 
 def live_cross_corr(features: DataFrame, left: str, right: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Add up correlation accumulators batch by batch: each batch writes its own sums."""
+    """Add up correlation accumulators batch by batch: each batch writes its own sums, a snapshot all sums so far."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        write_batch(cross_corr_sums(batch, left, right), out, batch_id)
+        spark, sums = batch.sparkSession, cross_corr_sums(batch, left, right)
+        if batch_id % SNAPSHOT == 0 and batch_id > 0:
+            before = since_snapshot(read_before(spark, out, CORR_STATE, batch_id), batch_id).drop(BATCH)
+            sums = merge_corr_sums(before.unionByName(sums))
+        write_batch(sums, out, batch_id)
+        if batch_id % SNAPSHOT == 0:
+            prune(spark, out, batch_id - SNAPSHOT)
 
     return start(features, process, checkpoint, every)
 
 
 def read_corr_sums(spark, out: str) -> DataFrame:
-    return merge_corr_sums(read_before(spark, out, CORR_STATE))
+    return merge_corr_sums(since_snapshot(read_before(spark, out, CORR_STATE)))
 
 
 def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -113,5 +122,5 @@ def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str |
 def read_topk(spark, out: str) -> tuple[DataFrame, DataFrame]:
     """All admitted scores with their slot, and what the slots hold now (one row per slot)."""
     admitted = spark.read.option("basePath", f"{out}/admitted").parquet(f"{out}/admitted").drop(BATCH)
-    state = latest(spark.read.option("basePath", f"{out}/slots").parquet(f"{out}/slots"), ["run_id", "metric"])
+    state = read_state(spark, f"{out}/slots", SLOTS_SCHEMA, ["run_id", "metric"])
     return admitted, state.select("run_id", "metric", F.inline("slots"))

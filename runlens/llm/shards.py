@@ -13,12 +13,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import saved
+from runlens.llm.common import fresh, saved
 
 FIRST = 12
 STEP = 8
-#: Rows numbered by one task.
+#: Most rows numbered at a time. A range of hashes with several times its share of rows is cut as well.
 BLOCK_ROWS = 1 << 19
+UNEVEN = 4
 
 
 class Leaves:
@@ -146,14 +147,17 @@ def shard_of(h: Column, cuts: list[int | None]) -> Column:
 def slots(df: DataFrame, shard: str = "shard", order: str = "h", tie: str = "doc_id") -> DataFrame:
     """Gapless number from 0 within each shard.
 
-    Rows are numbered per block: a range of hashes, and within a hot range a hash of the row's id, so that a block
-    has some BLOCK_ROWS rows however many rows share a text. Offsets come from the counts of earlier blocks.
+    Rows are numbered per block: a range of hashes, and within a hot range a hash of the row's id, so that blocks are
+    of like size, and of BLOCK_ROWS rows at most, however many rows share a text. Offsets come from the counts of earlier blocks.
     """
     parted = df.withColumn("_range", _signed_floor(F.col(order), FIRST))
-    hot = {r["_range"]: r["n"] for r in parted.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).collect()}  # at most 2**FIRST rows
+    counted = {r["_range"]: r["n"] for r in parted.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2**FIRST rows
+    most = max(1, min(BLOCK_ROWS, UNEVEN * sum(counted.values()) >> FIRST))
+    pieces = {start: -(-n // most) for start, n in counted.items() if n > most}
     salt = F.lit(0)
-    for start, n in hot.items():
-        salt = F.when(F.col("_range") == start, F.pmod(F.xxhash64(F.col(tie), F.lit("slot")), F.lit(-(-n // BLOCK_ROWS)))).otherwise(salt)
+    if pieces:
+        listed = F.create_map(*[F.lit(v) for start_pieces in pieces.items() for v in start_pieces])
+        salt = F.pmod(F.xxhash64(F.col(tie), F.lit("slot")), F.coalesce(F.element_at(listed, F.col("_range")), F.lit(1)))
     blocks = parted.withColumn("_salt", salt.cast("long"))
     key = [shard, "_range", "_salt"]
     before = Window.partitionBy(shard).orderBy("_range", "_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,10 +173,11 @@ def assign(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
     Repeated rows each get a slot. NULL ids are allowed. An empty table gives an empty result; then, and with fewer
     groups than shards, some shards stay empty. Columns in ``extra`` are carried along.
     """
-    hashed = F.coalesce(F.xxhash64(text), F.lit(0)).alias("h")
+    h = fresh(docs, "_h")
+    hashed = F.coalesce(F.xxhash64(text), F.lit(0)).alias(h)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size")
-    sizes = saved(docs.select(hashed, size).groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
+    sizes = saved(docs.select(hashed.alias("h"), size).groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
     _, cuts = capacity_and_cuts(sizes, shards)
     rows = docs.select(F.col(doc_id).alias("doc_id"), size, F.crc32(F.col(text)).alias("text_crc32"), hashed, *(extra or []))
     rows = rows if extra else saved(rows, "shard-rows")
-    return slots(rows.withColumn("shard", shard_of(F.col("h"), cuts).cast("int"))).drop("h")
+    return slots(rows.withColumn("shard", shard_of(F.col(h), cuts).cast("int")), order=h).drop(h)

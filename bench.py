@@ -26,7 +26,7 @@ HEADLINE = [
     "e01_reduce_series", "e02_reduce_series_at", "e03_group_mean_std", "e04_folder_ranges", "e10_pivot_table", "e11_marginal_means",
     "e12_curve_mean_std", "e14_describe_values", "e17_step_timing", "e18_cross_corr", "f01_moving_average_4", "f03_resample_linear",
     "f07_topk_admission", "c01_longest_section", "c02_extract_events", "a05_parse_mode_log", "d07_table_diff", "j02_retry_plan",
-    "j03_live_leaderboard", "c04_merge_matchers", "e15_value_stats", "a07_scalar_files_all", "j06_live_topk", "k01_ingest_folder", "k03_report",
+    "j03_live_leaderboard", "c04_merge_matchers", "e15_value_stats", "a07_scalar_files_all", "j06_live_topk", "k01_ingest_events", "k03_report",
 ]
 
 

@@ -10,11 +10,12 @@ from runlens.operators import groups
 from runlens.operators.logs import JOB_START
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog_jobs import JOB_FIELDS
-from runlens.plans.catalog_logs import ANY, FIELDS, VIEW
+from runlens.plans.catalog_logs import ANY, FIELDS, VALUE, VIEW
 from runlens.plans.catalog_reduce import BEST, LEADERBOARD, board, e03, r6
-from runlens.plans.ingest import ingest, with_config
+from runlens.plans.ingest import ingest, ingest_folder, with_config
 from runlens.plans.registry import query
-from runlens.plans.spec import ResultGroup, SweepSpec
+from runlens.plans.report import reduce_by_spec, report
+from runlens.plans.spec import Capture, ResultGroup, Rule, SweepSpec
 from runlens.session import work_dir
 from runlens.sources import accounting, summaries, sweeps
 
@@ -114,6 +115,112 @@ def k01(spark, sf):
     return with_config(points, configs, ["seed"])
 
 
+LONGEST = f"""
+{FIELDS},
+m as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by folder order by line_no) as sec from f),
+s as (select folder, sec, count(*) as n from m group by all), p as (select folder, arg_max(sec, n * 1000000 + sec) as sec from s group by folder),
+l as (select m.* from m join p using (folder, sec))"""
+
+
+def restarted(spark, sf):
+    """Log lines in which every error starts the job anew."""
+    marked = F.when(F.col("event_type") == "error", F.concat(F.lit(JOB_START), "line")).otherwise(F.col("line"))
+    return fx.log_lines(spark, sf).withColumn("line", marked)
+
+
+def sweep_tree(spark, sf) -> str:
+    """One folder per run with one log: a head with the run's overrides, then its lines."""
+    root = work_dir(spark, "k01")
+    log = restarted(spark, sf).select("folder", "line_no", "line")
+    head = F.array(F.lit("[info] start"), F.concat(F.lit("seed: "), F.col("folder") % 4, F.lit("  # the seed")), F.lit("[info] run"))
+    heads = log.select("folder").distinct().select("folder", F.posexplode(head).alias("line_no", "line"))
+    rows = log.unionByName(heads.withColumn("line_no", F.col("line_no").cast("long") - 3))
+    ordered = rows.repartition("folder").sortWithinPartitions("folder", "line_no").select("folder", "line")
+    ordered.write.partitionBy("folder").text(f"{root}/sweep")
+    return root
+
+
+@query("k01_ingest_folder", f"""
+with {FIELDS},
+m as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by folder order by line_no) as sec from f),
+s as (select folder, sec, sum(n) as n from (select folder, sec, count(*) as n from m group by all union all select distinct folder, 0, 3 from m) group by all),
+p as (select folder, arg_max(sec, n * 1000000 + sec) as sec from s group by folder),
+l as (select m.* from m join p using (folder, sec)),
+e as (select folder, 'step' as metric, line_no, step as value from l where event_type = 'view'
+      union all select folder, 'view_value', line_no, val from l where event_type = 'view' union all select folder, 'value', line_no, val from l)
+select p.folder, metric, case when metric is not null then row_number() over (partition by p.folder, metric order by line_no) - 1 end as pos, value,
+       (p.folder % 4)::varchar as override_seed, true as recent, 'tree' as sweep
+from p left join e using (folder)""")
+def k01_folder(spark, sf):
+    root = sweep_tree(spark, sf)
+    spec = SweepSpec(
+        result_groups={"view": ResultGroup("event", [VIEW]), "any": ResultGroup("event", [ANY])}, default_result_group=["view", "any"]
+    )
+    saved = ingest_folder(spark, f"{root}/sweep/folder=*", spec, "tree", f"{root}/summary", ["seed"], logs="*.txt", as_of=F.current_timestamp())
+    number = F.regexp_extract("folder", r"folder=(\d+)$", 1).cast("long")
+    return saved.select(number.alias("folder"), "metric", "pos", "value", "override_seed", (F.abs("age_s") < 86400).alias("recent"), "sweep")
+
+
+@query("k01_ingest_df", f"""
+with {LONGEST} select folder, arg_min(step, line_no) as step, arg_min(val, line_no) as view_value from l where event_type = 'view' group by folder""")
+def k01_df(spark, sf):
+    spec = SweepSpec(result_groups={"first": ResultGroup("df", [VIEW]), "any": ResultGroup("event", [ANY])}, default_result_group=["any", "first"])
+    kind, rows = ingest(restarted(spark, sf), spec)
+    assert kind == "df"
+    return rows
+
+
+@query("k01_ingest_df_rows", f"""
+with {LONGEST}, d as (select folder, arg_min(line, line_no) as line from l where event_type = 'view' group by folder)
+select folder, unnest(string_split(regexp_extract(line, 'value=(-?[\\d.]+)', 1), '.')) as part from d""")
+def k01_df_rows(spark, sf):
+    parts = Capture("part", expr=lambda line: F.split(F.regexp_extract(line, VALUE, 1), r"\."))
+    spec = SweepSpec(result_groups={"rows": ResultGroup("df", [Rule(VIEW.pattern, (parts,))], explode_rows=True)}, default_result_group=["rows"])
+    return ingest(restarted(spark, sf), spec)[1]
+
+
+@query("k01_ingest_func", f"with {LONGEST} select folder, count(*) as n_lines, max(val) as top from l group by folder")
+def k01_func(spark, sf):
+    def summary(section):
+        value = F.regexp_extract("line", VALUE, 1).cast("double")
+        return section.groupBy("folder").agg(F.count(F.lit(1)).alias("n_lines"), F.max(value).alias("top"))
+
+    return ingest(restarted(spark, sf), SweepSpec(result_groups={"own": ResultGroup("func", func=summary)}, default_result_group=["own"]))[1]
+
+
+@query("k03_report", """
+with g as (select p_seed, p_status, round(avg(price), 6) as mean, round(stddev_samp(price), 6) as std, count(price) as n from v_board
+           where p_priority <> '5-LOW' group by p_seed, p_status),
+t as (select run_id, round(price, 6) as price from v_board where p_priority <> '5-LOW' order by price desc nulls last, run_id limit 7)
+select 'group' as part, 'seed=' || p_seed || ',status=' || p_status as label, mean, std, n from g
+union all select 'top', run_id::varchar, price, null, 1 from t
+union all select 'summary', 'price', round(avg(price), 6), round(stddev_pop(price), 6), count(price) from v_board where p_priority <> '5-LOW'
+union all select 'cell', s.p_status || ',' || y.p_year, round(avg(price), 6), round(stddev_samp(price), 6), count(price)
+from (select distinct p_status from v_board where p_priority <> '5-LOW') s cross join (values ('1995'), ('1997')) y(p_year)
+left join v_board b on b.p_status = s.p_status and b.p_year = y.p_year and b.p_priority <> '5-LOW' group by s.p_status, y.p_year""")
+def k03_report(spark, sf):
+    spec = SweepSpec(default_metrics=["price"], default_group_order=["seed"], common_options={"descending": True, "topk_mean": 5, "topk": 7})
+    runs = fx.trials(spark, sf).select("run_id", *[F.col(f"p_{n}").alias(n) for n in ("status", "priority", "year", "seed")])
+    parts = report(runs.where("priority <> '5-LOW'"), fx.points(spark, sf), spec, ["status", "seed"], axes="status/year=[1995,1997]")
+    group = parts["groups"].select(F.lit("group").alias("part"), F.concat(F.lit("seed="), "seed", F.lit(",status="), "status").alias("label"), F.col("price_mean").alias("mean"), F.col("price_std").alias("std"), F.col("price_n").alias("n"))
+    top = parts["top"].select(F.lit("top"), F.col("run_id").cast("string"), "price", F.lit(None).cast("double"), F.lit(1).cast("long"))
+    total = parts["summary"].select(F.lit("summary"), "metric", "mean", "std", "n")
+    cell = parts["cells"].select(F.lit("cell"), F.concat("status", F.lit(","), "year"), "mean", "std", "n")
+    return group.union(top).union(total).union(cell).withColumns(r6("mean", "std"))
+
+
+@query("k03_subkey", """
+with p as (select l_orderkey as run_id, l_discount::double as value, row_number() over (partition by l_orderkey order by l_discount desc) as rk from lineitem)
+select run_id, round(avg(value) filter (where rk <= 2), 6) as disc, max(value) as disc_best, count(*) as disc_len from p group by run_id""")
+def k03_subkey(spark, sf):
+    items = fx.table(spark, sf, "lineitem")
+    maps = F.create_map(F.lit("d"), F.col("l_discount").cast("double"), F.lit("q"), F.col("l_quantity").cast("double"))
+    points = items.select(F.col("l_orderkey").alias("run_id"), F.lit("disc").alias("metric"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), maps.alias("value"))
+    spec = SweepSpec(default_metrics=["disc"], common_options={"subkey": "d", "topk_mean": 2, "descending": True})
+    board = reduce_by_spec(points, spec)
+    return board.select("run_id", "disc", "disc_best", "disc_len").withColumns(r6("disc"))
+
+
 @query("k03_spec_groups", """
 select p_seed, p_status, round(max(price), 6) as best, count(*) as n, round(max(price) - min(price), 6) as spread
 from v_board group by p_seed, p_status""")

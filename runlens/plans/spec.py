@@ -37,11 +37,15 @@ class Rule:
 
 @dataclass(frozen=True)
 class ResultGroup:
-    """``kind`` is ``df`` (first matching line), ``event`` (every matching line) or ``func``."""
+    """``kind`` is ``df`` (first matching line), ``event`` (every matching line) or ``func``.
+
+    With ``explode_rows``, list captures of a ``df`` group become rows.
+    """
 
     kind: str
     rules: Sequence[Rule] = ()
     func: Callable[[DataFrame], DataFrame] | None = None
+    explode_rows: bool = False
 
 
 @dataclass(frozen=True)

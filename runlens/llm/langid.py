@@ -27,7 +27,7 @@ TRAIN_DOCS = 600
 EXHAUSTIVE = 6
 #: Least share of the probability by which the best language must lead.
 AMBIGUOUS = 0.2
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 17
 
 
 @cache

@@ -28,7 +28,7 @@ CLASSES = 64
 #: Margin of a word that isn't there.
 FLOOR = -3.0
 #: Characters scored at a time, so that a very long text needs bounded memory.
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 17
 
 #: Bounds of the training sample: labelled documents of each label, candidate insults, words of each role.
 TRAIN_DOCS = 4000

@@ -19,6 +19,7 @@ from runlens.operators.blocks import (
     running_count,
     with_blocks,
 )
+from runlens.operators.keys import join_keys
 from runlens.plans.spec import Capture, Rule
 from runlens.session import cut
 
@@ -173,18 +174,35 @@ def tracking_url(lines: DataFrame, keys: Sequence[str] = ("folder",), prefix: st
 
 
 def resolve_sweep_dir(
-    lines: DataFrame, keys: Sequence[str] = ("folder",), pattern: str = SWEEP_DIR, required: bool = False
+    lines: DataFrame,
+    keys: Sequence[str] = ("folder",),
+    pattern: str = SWEEP_DIR,
+    required: bool = False,
+    roots: Sequence[str] = (),
+    known: DataFrame | None = None,
+    suffix: str = "",
 ) -> DataFrame:
     """Folder named by the first redirect line of each log; without one, the log's own path, or an error if ``required``.
 
-    ``SWEEP_DIR_REQUIRED`` is the stricter form of the line that logs given in place of a folder must hold.
+    ``SWEEP_DIR_REQUIRED`` is the stricter form of the line that logs given in place of a folder must hold. A relative name
+    is looked up below each of ``roots`` in turn, among the folders of ``known(folder)``; one found nowhere is NULL. Only
+    paths that end in ``suffix`` are redirected.
     """
     hit = F.col("line").rlike(pattern)
     target = F.regexp_extract("line", pattern, 1)
     first = lines.groupBy(*keys).agg(F.min_by(F.when(hit, target), F.when(hit, F.col("line_no"))).alias("_t"))
     own = F.col(keys[0]).cast("string")
     missing = F.raise_error(F.concat(F.lit("no sweep folder named in "), own)).cast("string") if required else own
-    return first.select(*keys, F.coalesce("_t", missing).alias("sweep_dir"))
+    if suffix:
+        first = first.withColumn("_t", F.when(own.endswith(suffix), F.col("_t")).otherwise(own))
+    named = first.select(*keys, F.coalesce("_t", missing).alias("sweep_dir"))
+    if known is None:
+        return named
+    places = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(F.lit(r.rstrip("/") + "/"), "sweep_dir").alias("path")) for i, r in enumerate(roots)])
+    tried = named.where(~F.col("sweep_dir").startswith("/")).select(*keys, F.inline(places)).join(known.select(F.col("folder").alias("path")).distinct(), "path")
+    found = tried.groupBy(*keys).agg(F.min_by("path", "rank").alias("_found"))
+    absolute = F.when(F.col("sweep_dir").startswith("/"), F.col("sweep_dir"))
+    return join_keys(named, found, keys, "left").select(*keys, F.coalesce(absolute, "_found").alias("sweep_dir"))
 
 
 def align_dicts(records: DataFrame, keys: Sequence[str] = ("run_id",), values: str = "values") -> DataFrame:

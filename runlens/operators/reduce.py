@@ -139,7 +139,8 @@ def reduce_series_at(
 ) -> DataFrame:
     """``reduce_series`` on the first k points, for each k in ``iters`` (column ``iter``)."""
     prefixes = F.array(*[F.lit(int(i)) for i in iters])
-    cut = points.withColumn("iter", F.explode(F.filter(prefixes, lambda i: i > F.col("pos"))))
+    early = points.where(F.col("pos") < max(iters, default=0))  # reaches the scan; the rest belongs to no prefix
+    cut = early.withColumn("iter", F.explode(F.filter(prefixes, lambda i: i > F.col("pos"))))
     if runs is not None:
         runs = runs.withColumn("iter", F.explode(prefixes))
     return reduce_series(cut, default, options, runs, metrics, keys=("run_id", "iter"))

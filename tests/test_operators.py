@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import columns as fn
-from runlens.operators import config, curves, files, grid, groups, jobs, logs, quality, ranges, reduce, stats
+from runlens.operators import config, curves, files, grid, groups, jobs, logs, quality, ranges, reduce, stats, topk
 from runlens.plans.ingest import ingest, with_config
 from runlens.plans.spec import Capture, MetricOptions, ResultGroup, Rule, SweepSpec
+from runlens.sources import sweeps
 
 
 def one(spark, column, **values):
@@ -318,3 +319,120 @@ def test_sizing():
 
     assert sizing(0)["spark.sql.shuffle.partitions"] == "200"
     assert sizing(100 << 40)["spark.sql.shuffle.partitions"] == str((100 << 40) // (256 << 20))
+
+
+# ---- keys, caps and odd input ------------------------------------------------------------------
+
+
+def test_null_keys_keep_their_numbers(spark):
+    points = spark.createDataFrame([(None, "m", i, float(v)) for i, v in enumerate([3, 1, 2])] + [(1, "m", 0, 5.0)], "run_id bigint, metric string, pos bigint, value double")
+    got = {r["run_id"]: r for r in reduce.reduce_series(points, MetricOptions(topk_mean=2)).collect()}
+    assert (got[None]["len"], got[None]["best"], got[None]["best_idx"], got[None]["topk_mean"]) == (3, 1.0, 1, 1.5)
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)], "g string, v double")
+    rows = {r["g"]: (r["n"], r["median"]) for r in stats.describe_values(df, "v", ["g"]).collect()}
+    assert rows == {None: (2, 2.0), "a": (0, None), "b": (1, 2.0)}
+    empty = stats.describe_values(df.where("false"), "v").collect()
+    assert len(empty) == 1 and empty[0]["n"] == 0 and empty[0]["median"] is None
+    one = spark.createDataFrame([(None, 1.0)], "g string, v double")
+    assert quality.table_diff(one, one, ["g"], ["v"]).count() == 0
+
+
+def test_missed_bracket_is_read_off_all_values(spark, monkeypatch):
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda *a, **k: F.array(F.lit(1e9), F.lit(1e9)))
+    df = spark.createDataFrame([("a", float(v)) for v in (5, 1, 4, 2)], "g string, v double")
+    assert stats.describe_values(df, "v", ["g"]).first()["median"] == 3.0
+
+
+@pytest.mark.parametrize("hot_rows", [3, 1 << 20])
+@pytest.mark.parametrize("k", [1, 3])
+def test_topk_admission_with_null_keys(spark, hot_rows, k):
+    rng = np.random.default_rng(1)
+    series = {None: rng.integers(0, 9, 40), 7: np.arange(20), 8: np.arange(20)[::-1]}
+    rows = [(r, "m", i, float(v)) for r, values in series.items() for i, v in enumerate(values)]
+    points = spark.createDataFrame(rows, "run_id bigint, metric string, pos bigint, value double")
+    want = {}
+    for r, values in series.items():
+        kept = []
+        for i, v in enumerate(values):
+            worst = min(kept) if len(kept) == k else None
+            ok = worst is None or v > worst
+            want[r, i] = (ok, worst)
+            if ok:
+                kept = sorted(kept + [float(v)])[-k:]
+    got = {(r["run_id"], r["pos"]): (r["admitted"], r["worst"]) for r in topk.topk_admission(points, k, bits=2, hot_rows=hot_rows).collect()}
+    assert got == want
+    before = spark.createDataFrame([(None, "m", 8.0)] * k, "run_id bigint, metric string, value double")
+    late = topk.topk_admission(points.where("run_id is null"), k, bits=2, hot_rows=hot_rows, kept_before=before)
+    assert late.where("admitted").count() == 0
+
+
+def test_nested_grid_walks_lists_and_dicts(spark):
+    rows = grid.nested_grid(spark, {"a": [1, [2, 3]], "b": {"c": [1, 2]}}).orderBy("trial_id").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(a, b) for b in ('{"c": 1}', '{"c": 2}') for a in "123"]
+
+
+def test_pivot_of_a_long_axis(spark):
+    df = spark.range(3000).selectExpr("id as k", "id % 2 as c", "double(id) as v")
+    cells = groups.pivot_grid(df, {"k": None}, {"c": None}, "v")
+    assert cells.count() == 6000 and cells.where("n > 0").count() == 3000
+    assert cells.where("k = 2999").select("_row").first()[0] == 2999
+    assert groups.pivot_grid(df.where("false"), {"k": None}, {"c": None}, "v").count() == 0
+
+
+def test_long_id_ranges(spark):
+    ids = ranges.expand_ids(spark.createDataFrame([("1-200000,7",), ("3000000000-3000000001",)], "t string"), "t")
+    assert ids.count() == 200_003 and ids.agg(F.max("id")).first()[0] == 3_000_000_001
+
+
+def test_yaml_scalars_of_a_header(spark):
+    text = ["lr: 0.3 # note", "q: 'a # b' # c", "name:", "e: ~", '"k": 5', "flag: true", "nest:", "  a: 1", "lst:", "- 1", "m: {a: 1}", "url: http://x#y", "[log] hi", "z: 1"]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text)], "folder string, line_no bigint, line string")
+    assert sweeps.header_overrides(lines).first()["overrides"] == ["lr=0.3", "q=a # b", "name=None", "e=None", "k=5", "flag=True", "url=http://x#y"]
+
+
+def test_commands_by_url_and_unknown_ones(spark):
+    jobs_table = spark.createDataFrame([(1, "RUNNING", "run a"), (2, "RUNNING", "run b")], "job_id bigint, state string, submit_line string").withColumn("comment", F.lit(""))
+    tracked = jobs_table.select("job_id")
+    prefix = logs.TRACKING_PREFIX
+    stderr = spark.createDataFrame([(1, 0, "x"), (1, 1, prefix + " http://u/1"), (2, 0, prefix + " http://u/2")], "job_id bigint, line_no bigint, line string")
+    commands = lambda *rows: spark.createDataFrame(list(rows), "name string, arg string")
+    out = jobs.apply_commands(commands(("cancel_wandb_urls", "http://u/2,http://u/9"), ("find_urls", "http://u/1"), ("dance", "now")), jobs_table, tracked, stderr)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(2, "cancel"), (1, "find"), (None, "unknown")], key=str)
+    with pytest.raises(Exception, match="URL commands need"):
+        jobs.apply_commands(commands(("find_urls", "http://u/1")), jobs_table, tracked).collect()
+
+
+def test_payload_that_is_no_json(spark):
+    lines = spark.createDataFrame([("f", 0, '1: args: {"a": 1}'), ("f", 1, "1: args: {bad")], "file string, line_no bigint, line string")
+    rows = logs.parse_tagged_json(lines).orderBy("seq").collect()
+    assert [(r["payload"] and r["payload"].strip(), r["failed"]) for r in rows] == [('{"a": 1}', False), (None, True)]
+
+
+def test_axes_text():
+    from runlens.plans.report import parse_axes
+
+    assert parse_axes("A=[1,2],B/C") == ({"A": ["1", "2"], "B": None}, {"C": None})
+    with pytest.raises(ValueError):
+        parse_axes("A,B")
+
+
+def test_state_is_read_from_the_newest_snapshot(spark, tmp_path):
+    from runlens.streaming import core
+
+    path, schema = str(tmp_path / "state"), "k bigint, v bigint"
+    for batch in range(0, 2 * core.SNAPSHOT + 3):
+        before = core.read_state(spark, path, schema, ["k"], batch)
+        core.write_state(spark.createDataFrame([(batch % 7, batch)], schema), before, path, ["k"], batch)
+    rows = core.read_before(spark, path, schema)
+    assert core.since_snapshot(rows).select("batch_id").distinct().count() == 3
+    assert rows.select("batch_id").distinct().count() <= core.SNAPSHOT + 3
+    last = 2 * core.SNAPSHOT + 2
+    assert sorted(tuple(r) for r in core.read_state(spark, path, schema, ["k"]).collect()) == sorted((b % 7, b) for b in range(last - 6, last + 1))
+
+
+def test_relative_sweep_folders_are_looked_up(spark):
+    rows = [("/logs/a.log", 0, "Sweep output dir : out/1"), ("/logs/b.log", 0, "Sweep output dir : /abs/2"), ("/logs/c", 0, "Sweep output dir : out/1"), ("/logs/d.log", 0, "Sweep output dir : nowhere")]
+    lines = spark.createDataFrame(rows, "folder string, line_no bigint, line string")
+    known = spark.createDataFrame([("/second/out/1",), ("/third/out/1",)], "folder string")
+    got = dict(map(tuple, logs.resolve_sweep_dir(lines, roots=["/first", "/second", "/third"], known=known, suffix=".log").collect()))
+    assert got == {"/logs/a.log": "/second/out/1", "/logs/b.log": "/abs/2", "/logs/c": "/logs/c", "/logs/d.log": None}

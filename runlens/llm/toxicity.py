@@ -36,6 +36,9 @@ CANDIDATES = 3000
 POSITIVES = 256
 NEGATIVES = 4000
 LANDMARKS = 512
+#: A word that adds to at least this share of the most shared word's documents counts, up to so many words for each document.
+COMMON = 0.1
+COVERS = 5
 
 #: Characters that are used in place of a letter.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -260,9 +263,20 @@ def _cover(found: list[tuple[str, list[int]]], limit: int) -> list[str]:
         best = int(gain.argmax())
         if gain[best] < (2 if out else 1):
             break
-        out.append(found[best][0])
+        out.append(best)
         left &= ~holds[best]
-    return out
+    # toxic documents mostly hold several insults: words that many of them share count even if each document has another
+    seen = holds[out].sum(axis=0) if out else np.zeros(len(docs))
+    enough = COMMON * holds.sum(axis=1).max(initial=0)
+    while out and len(out) < limit:
+        gain = (holds & (seen < COVERS)).sum(axis=1)
+        gain[out] = 0
+        best = int(gain.argmax())
+        if gain[best] < max(2, enough):
+            break
+        out.append(best)
+        seen = seen + holds[best]
+    return [found[i][0] for i in out]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

@@ -55,7 +55,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     ``shared`` counts distinct shingles. NULL and empty texts hold nothing; items without words are in no document;
     an item of fewer than five words is only in a document that has just these words. Repeated rows and rows with one
     id count as one document. Rows with NULL ids are compared as well. Items are broadcast only if their
-    shingles, counted first, are few; else documents' shingles are shuffled, after a filter on the sketches.
+    shingles, counted first, are few; else both sides are shuffled by shingle.
     """
     sketches = saved(item_sketches(items, item_id, text, threshold), "sketches")
     n = sketches.count()

@@ -10,8 +10,6 @@ sketches with all their shingles. Only pairs with a sketch hit and a document la
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

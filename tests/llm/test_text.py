@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest

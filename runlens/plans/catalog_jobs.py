@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import base_name
-from runlens.operators import files, grid, groups, jobs
+from runlens.operators import files, grid, jobs
 from runlens.plans import fixtures as fx
 from runlens.plans.registry import query
 

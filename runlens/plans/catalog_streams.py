@@ -68,6 +68,23 @@ def j04(spark, sf):
     return live_points.read_value_stats(spark, f"{base}/out", by).withColumns(r6("mean", "stderr", "min", "max"))
 
 
+@query("j04_daily_value_stats", """
+with e as (select date_trunc('day', ts)::date as day, event_id as pos, value from events where value is not null),
+s as (select day, count(*) as n, avg(value) as mean, var_pop(value) as var, min(value) as lo, max(value) as hi from e group by day)
+select strftime(s.day, '%Y-%m-%d') as day, s.n, round(mean, 6) as mean, round(sqrt(var + 1e-6) / sqrt(s.n), 6) as stderr, round(lo, 6) as min,
+       max(pos) filter (where value = lo) as min_idx, round(hi, 6) as max, max(pos) filter (where value = hi) as max_idx
+from s join e using (day) group by all""")
+def j04_daily(spark, sf):
+    """One report a day; the watermark closes a day's state once the next day is over."""
+    base = work_dir(spark, "j04d")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    rows = fx.table(spark, sf, "events").select(day.alias("day"), F.col("event_id").alias("pos"), "value")
+    parts = [rows.where(F.dayofmonth("day") <= 10), rows.where(F.dayofmonth("day").between(11, 20)), rows.where(F.dayofmonth("day") > 20)]
+    feed(spark, base, parts, lambda s: live_points.live_value_stats(s, ["day"], f"{base}/out", f"{base}/cp", watermark=("day", "1 day")))
+    found = live_points.read_value_stats(spark, f"{base}/out", ["day"])
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd")).withColumns(r6("mean", "stderr", "min", "max"))
+
+
 @query("j05_live_cross_corr", f"with {_corr_sql('c', 32)} select i, j, n, round(r, 6) as r, round(t_norm, 6) as t_norm, round(s_norm, 6) as s_norm from c")
 def j05(spark, sf):
     base = work_dir(spark, "j05")

@@ -155,7 +155,11 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each group: the smallest id, NULL last; of one id the smallest text hash. Repeats go."""
-    found = simhash_components(docs, doc_id, text)
+    return keep_least(docs, simhash_components(docs, doc_id, text), doc_id, text)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Of each ``component`` of ``found`` (with doc_id, text_hash) the rows of its least document."""
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")).alias("_b"))
     keep = best.select(F.col("_b.doc_id").alias("_keep_id"), F.col("_b.text_hash").alias("_keep_hash"))
     own = fresh(docs, "_hash")

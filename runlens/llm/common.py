@@ -24,7 +24,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared checkpoint folder and read it back: computed once, and lost executors don't matter."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Remove a table of ``saved`` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontam, embed_dedup, langid, linededup, mixing, shards, simhash, toxicity, urlfilter, vectorcodes, whitening
-from runlens.llm.common import fold_of, read
+from runlens.llm import chat, decontam, embed_dedup, langid, linededup, mixing, pii, shards, simhash, toxicity, urlfilter, vectorcodes, whitening
+from runlens.llm.common import fold_of, read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,6 +162,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the digest are of the base spans; ``spans`` holds those that the method adds as well."""
+    scanned = saved(pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii-candidates")
+    found = pii.resolve(scanned, pii.train(scanned))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(kind).__eq__)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import discard, maybe_broadcast, saved
-from runlens.llm.intvectors import common_length, is_sound, matrix, scaled
+from runlens.llm.intvectors import common_length, matrix, whole_rows
 
 PARTS = 4
 ENTRIES = 256
@@ -292,9 +292,10 @@ def compress(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     width = common_length(vectors, embedding)
     if width is None:
         return spark.createDataFrame([], f"vec_id {id_type}, code string, error long, label_error long, codebooks_sha256 string")
-    sound = vectors.where(is_sound(F.col(embedding)) & (F.size(embedding) == width))
-    rows = sound.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), scaled(F.col(embedding), bound_for(width)).cast("array<int>").alias("x"))
+    named = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
+    rows = saved(whole_rows(named, "embedding", width, bound_for(width)), "whole-vectors")
     state, books = fit_codes(rows, [F.col("vec_id").asc_nulls_last(), F.col("x")], width)
+    discard(spark, rows)
     errors = saved(
         state.select("vec_id", "label", "x", "code").mapInArrow(_final_squares(books), f"vec_id {id_type}, label {label_type}, code string, error long"), "code-errors"
     )

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import saved
-from runlens.llm.intvectors import common_length, is_sound, matrix, scaled
+from runlens.llm.common import discard, saved
+from runlens.llm.intvectors import commonest, rows_of, sound_rows, whole
 
 #: Added to each scaled component.
 SHIFT = 100_000
@@ -58,13 +58,20 @@ class Whitener:
 # -- the covariance, over all rows ---------------------------------------------------------------------------------
 
 
-def _sums(width: int) -> Callable:
+def _sums(embedding: str) -> Callable:
+    """Per task and length: how many sound vectors, and the sums of their whole-numbered components."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros(width, dtype=np.int64)
+        n: dict[int, int] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = matrix(batch, "x", width)
-            n, total = n + len(x), total + x.sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tolist()]}, schema=pa.schema([("n", pa.int64()), ("total", pa.list_(pa.int64()))]))
+            length, start, values = sound_rows(batch.column(embedding))
+            for d in np.unique(length[length > 0]).tolist():
+                at = start[length == d]
+                sums = (whole(values[at[:, None] + np.arange(d)], BOUND) + SHIFT).sum(axis=0)
+                n[d], total[d] = n.get(d, 0) + len(at), total.get(d, 0) + sums
+        rows = {"d": list(n), "n": list(n.values()), "total": [total[d].tolist() for d in n]}
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("d", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.int64()))]))
 
     return run
 
@@ -87,27 +94,37 @@ def _products(y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scatter(width: int, centre: np.ndarray) -> Callable:
+def _scatter(embedding: str, centre: np.ndarray) -> Callable:
+    width = len(centre)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width), dtype=np.int64)
         for batch in batches:
-            total += _products(matrix(batch, "x", width) - centre)
+            total += _products(rows_of(batch.column(embedding), width, BOUND)[1] + SHIFT - centre)
         rows = {"i": list(range(width)), "products": [total[i, i:].tolist() for i in range(width)]}
         yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("i", pa.int32()), ("products", pa.list_(pa.int64()))]))
 
     return run
 
 
-def covariance(rows: DataFrame, width: int) -> tuple[int, np.ndarray, list[int], np.ndarray]:
-    """(n, centre, excess, covariance) of the whole-numbered vectors ``x``; each entry is the exact one rounded once."""
-    partials = rows.select("x").coalesce(PARTIALS)
-    sums = partials.mapInArrow(_sums(width), "n long, total array<long>")
-    by_place = sums.select("n", F.posexplode("total").alias("at", "total")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    found = sorted(by_place.collect())
-    n, total = found[0]["n"], [r["total"] for r in found]
+def covariance(vectors: DataFrame, embedding: str) -> tuple[int, np.ndarray, list[int], np.ndarray] | None:
+    """(n, centre, excess, covariance) of the sound vectors of the commonest length; None if there are none.
+
+    Each entry of the covariance is the exact one rounded once.
+    """
+    partials = vectors.select(embedding).coalesce(PARTIALS)
+    sums = saved(partials.mapInArrow(_sums(embedding), "d long, n long, total array<long>"), "vector-sums")
+    width = commonest(sums)
+    if width is None:
+        return None
+    of_width = sums.where(F.col("d") == width)
+    n = of_width.agg(F.sum("n")).first()[0]
+    by_place = of_width.select(F.posexplode("total").alias("at", "total")).groupBy("at").agg(F.sum("total").alias("total"))
+    total = [r["total"] for r in sorted(by_place.collect())]
+    discard(vectors.sparkSession, sums)
     centre = np.array([t // n for t in total], dtype=np.int64)
     excess = [t % n for t in total]
-    scatter = partials.mapInArrow(_scatter(width, centre), "i int, products array<long>")
+    scatter = partials.mapInArrow(_scatter(embedding, centre), "i int, products array<long>")
     cells = scatter.select("i", F.posexplode("products").alias("step", "p")).groupBy("i", "step").agg(F.sum(F.col("p").cast("decimal(38,0)")).alias("p"))
     v = np.zeros((width, width))
     for r in cells.collect():
@@ -259,7 +276,7 @@ def leading_eigenpairs(spark: SparkSession, v: np.ndarray, wanted: int) -> tuple
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 
-def _whiten(w: Whitener) -> Callable:
+def _whiten(w: Whitener, vec_id: str, embedding: str) -> Callable:
     width, excess = len(w.centre), np.array(w.excess, dtype=np.int64)
     fraction = np.array([e / w.n for e in w.excess])
     turn = w.vectors / np.sqrt(w.values)
@@ -273,21 +290,23 @@ def _whiten(w: Whitener) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = matrix(batch, "x", width) - w.centre
+            keep, x = rows_of(batch.column(embedding), width, BOUND)
+            y = x + SHIFT - w.centre
             white = (y - fraction) @ turn
-            columns = [c for c in batch.schema.names if c != "x"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], pa.array(deviations(y), pa.int64()), pa.array(list(white), pa.list_(pa.float64()))],
-                names=[*columns, "deviation", "white"],
-            )
+            cells = pa.ListArray.from_arrays(np.arange(len(keep) + 1, dtype=np.int32) * white.shape[1], pa.array(white.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(vec_id).take(pa.array(keep)), pa.array(deviations(y), pa.int64()), cells], names=["vec_id", "deviation", "white"])
 
     return run
 
 
-def fit(rows: DataFrame, width: int, components: int = COMPONENTS) -> Whitener:
-    n, centre, excess, v = covariance(rows, width)
-    values, vectors = leading_eigenpairs(rows.sparkSession, v, components)
-    return Whitener(n, centre, excess, values, vectors, float(np.trace(v)))
+def fit(vectors: DataFrame, embedding: str = "embedding", components: int = COMPONENTS) -> Whitener | None:
+    """The whitening that all sound vectors of the commonest length give; None if there are none."""
+    found = covariance(vectors, embedding)
+    if found is None:
+        return None
+    n, centre, excess, v = found
+    values, turn = leading_eigenpairs(vectors.sparkSession, v, components)
+    return Whitener(n, centre, excess, values, turn, float(np.trace(v)))
 
 
 def whiten(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", components: int = COMPONENTS) -> DataFrame:
@@ -299,18 +318,12 @@ def whiten(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     are zero to rounding, as in tables of equal vectors, give no rows; an empty table gives none. Of equal eigenvalues
     some orthonormal vectors of their space are taken, the same for all rows. A deviation beyond 63 bits is NULL.
     """
-    spark = vectors.sparkSession
-    schema = f"vec_id {vectors.schema[vec_id].dataType.simpleString()}, deviation long, white array<double>"
-    width = common_length(vectors, embedding)
-    found = None
-    if width is not None:
-        sound = vectors.where(is_sound(F.col(embedding)) & (F.size(embedding) == width))
-        rows = sound.select(F.col(vec_id).alias("vec_id"), F.transform(scaled(F.col(embedding), BOUND), lambda x: x + SHIFT).alias("x"))
-        found = fit(rows, width, components)
+    id_type = vectors.schema[vec_id].dataType.simpleString()
+    found = fit(vectors, embedding, components)
     if found is None or not len(found.values):
-        empty = "component int, n long, deviation long, whitened double, explained double, identity_error double"
-        return spark.createDataFrame([], schema.split(",")[0] + ", " + empty)
-    white = saved(rows.mapInArrow(_whiten(found), schema), "whitened")
+        return vectors.sparkSession.createDataFrame([], f"vec_id {id_type}, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    rows = vectors.select(vec_id, embedding)
+    white = saved(rows.mapInArrow(_whiten(found, vec_id, embedding), f"vec_id {id_type}, deviation long, white array<double>"), "whitened")
     k = len(found.values)
     at = [F.col("white")[i] for i in range(k)]
     means = [F.avg(a).alias(f"m{i}") for i, a in enumerate(at)]

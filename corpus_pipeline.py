@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontam, mixing, nearcopies, shards, toxicity
+from runlens.llm import decontam, mixing, shards, simhash, toxicity
 from runlens.llm.common import fresh, read, saved
 from runlens.session import ship_package
 
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 of five-word shingles) stays: the one with the smallest id."""
+    """One document of each group stays, the one with the smallest id: fingerprints of four-word shingles, four bits apart at most."""
     ship_package(spark)
-    return nearcopies.representatives(docs)
+    return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed documents with their shard, from ``documents``, ``labels`` and ``benchmark`` below ``sf_dir``.
+
+    Every stage is written and read again, and works on all rows the one before kept. NULL and empty texts are never
+    toxic or contaminated; rows without words are one group of near copies, of which one stays. Rows are told apart
+    by id and text, so NULL and repeated ids do no harm; exact repeats of a row go with the near copies. Ties go to
+    the smallest id, NULL last. Texts are read whole. Further columns are carried along. An empty table gives an
+    empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")

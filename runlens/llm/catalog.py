@@ -127,33 +127,46 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op8_line_dedup",
     r"""
-    with l as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
-    e as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from l),
-    o as (select *, sum(length(line) + 1) over (partition by doc_id order by pos) - length(line) - 1 as start,
-        lower(trim(regexp_replace(line, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g'))) as norm from e),
-    f as (select *, len(regexp_extract_all(norm, '[^\x20\x09-\x0D]+')) >= 5 as long from o),
-    k as (select *, case when long then first_value(doc_id) over w end as kept, case when long then row_number() over w > 1 else false end as gone
-        from f window w as (partition by norm, long order by doc_id, pos))
-    select doc_id, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as clean_text,
-        string_agg(start::bigint || '+' || length(line), ',' order by pos) filter (gone) as removed_spans,
-        string_agg(distinct kept::varchar, ',' order by kept::varchar) filter (gone) as kept_doc_ids
-    from k group by doc_id having count(*) filter (gone) > 0
+    with w as (select doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as p from documents),
+    a as (select doc_id, w, unnest(case when len(w) >= 40 then list_filter(range(0, len(w) - 39), lambda i: i = 0
+        or (unicode(w[i]) + 3 * unicode(right(w[i], 1)) + length(w[i])) % 4 = 0) else [] end) as b from w),
+    u as (select doc_id, b, array_to_string(w[b + 1 : b + 40], ' ') as s from a),
+    f as (select s, min(doc_id) as kept from u group by s),
+    g as (select doc_id, b, kept from u join f using (s) where doc_id > kept),
+    x as (select distinct doc_id, unnest(range(b, b + 40)) as i from g),
+    e as (select doc_id, unnest(p) as piece, unnest(range(len(p))) as i from w where doc_id in (select doc_id from g)),
+    o as (select e.*, x.i is not null as gone, sum(length(piece)) over (partition by e.doc_id order by e.i) as upto from e left join x on x.doc_id = e.doc_id and x.i = e.i),
+    r as (select *, i - row_number() over (partition by doc_id, gone order by i) as island from o),
+    sp as (select doc_id, min(upto - length(piece))::bigint as start, sum(length(piece))::bigint as n from r where gone group by doc_id, island),
+    t as (select doc_id, count(*) as n_removed, string_agg(start || '+' || n, ',' order by start) as removed_spans from sp group by doc_id),
+    c as (select doc_id, coalesce(string_agg(piece, '' order by i) filter (not gone), '') as kept_text, max(upto)::bigint as upto from o group by doc_id),
+    k as (select doc_id, string_agg(distinct kept::varchar, ',' order by kept::varchar) as kept_doc_ids from g group by doc_id)
+    select d.doc_id, coalesce(n_removed, 0) as n_removed, case when n_removed is null then text else kept_text || substr(text, upto + 1) end as clean_text,
+        coalesce(removed_spans, '') as removed_spans, coalesce(kept_doc_ids, '') as kept_doc_ids
+    from documents d left join t using (doc_id) left join c using (doc_id) left join k using (doc_id)
     """,
 )
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document that loses a line."""
-    found = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("removed") > 0)
+    found = linededup.dedup_paragraphs(read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))), ",")
     ids = F.array_join(F.sort_array(F.transform("kept_doc_ids", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "clean_text", spans.alias("removed_spans"), ids.alias("kept_doc_ids"))
+    return found.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "clean_text", F.coalesce(spans, F.lit("")).alias("removed_spans"), ids.alias("kept_doc_ids"))
 
 
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``; equal rows share their drawn copies evenly. ``shard`` is the first a copy went to."""
     drawn, rows = mixing.mix(read(spark, sf_dir, "documents"))
-    words = drawn.select("doc_id", F.col("size").alias("taken"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"))
-    everything = rows.select("doc_id", F.lit(0).cast("long").alias("taken"), "size", "source_size", "target").union(words)
-    return everything.groupBy("doc_id").agg(F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
+    key = ["doc_id", "text_hash", "source"]
+    copies = drawn.select(*key, "size", "source_size", "target", "shard", F.lit(0).alias("_rows"), F.lit(1).alias("_copies"))
+    own = rows.select(*key, "size", "source_size", "target", F.lit(None).cast("int").alias("shard"), F.lit(1).alias("_rows"), F.lit(0).alias("_copies"))
+    each = own.unionByName(copies).groupBy(*key).agg(
+        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.min("shard").alias("shard"), F.sum("_rows").alias("_rows"), F.sum("_copies").alias("_copies"),
+    )
+    split = each.withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
+    own_copies = F.call_function("div", F.col("_copies") + F.col("_rows") - 1 - F.col("_row"), F.col("_rows"))
+    return split.select("doc_id", "size", "source_size", "target", (own_copies * F.col("size")).alias("taken"), F.when(own_copies > 0, F.col("shard")).alias("shard"))
 
 
 @query("op10_simhash")

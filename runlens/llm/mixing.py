@@ -103,7 +103,7 @@ def draw(taken: DataFrame, rows: DataFrame, seed: int = SEED) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> tuple[DataFrame, DataFrame]:
     """The drawn copies, and all rows with size, source_size and target.
 
-    NULL texts have size 0 and are never drawn, as other texts without a word. A NULL source is a source. Repeated
+    NULL texts have size 0, as other texts without a word; they come with their block and count nothing. A NULL source is a source. Repeated
     rows are drawn each for itself. An empty table gives empty results. Reruns draw the same.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"))

@@ -173,3 +173,38 @@ def test_mixed_documents_repeat_rows(frame):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert Counter(r["doc_id"] for r in out.collect()).most_common(1)[0][1] <= 2
+
+
+def test_mixing_query_keeps_every_row(spark, frame, tmp_path):
+    rows = [(1, "a b c", "en", "s1"), (1, "d e", "en", "s2"), (None, "x y z", "en", "s1"), (None, "z", "en", None), (2, None, "en", "s1"), (3, "", "en", "s2")]
+    rows += [(4, "same row twice here", "en", "s2")] * 3 + [(10 + i, "word " * (i % 7 + 1), "en", ["s1", "s2", "s3", None][i % 4]) for i in range(200)]
+    frame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["op9_mixing"](spark, str(tmp_path)).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in got) == sorted((d or -1, size(t)) for d, t, _, _ in rows)
+    totals = Counter()
+    for _, t, _, s in rows:
+        totals[s] += size(t)
+    assert Counter(r["source_size"] for r in got) == Counter(totals[s] for *_, s in rows)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) and (r["size"] == 0 or (r["shard"] is None) == (r["taken"] == 0)) for r in got)
+    of = {r["source_size"]: r["target"] for r in got}
+    for s in totals:
+        assert abs(sum(r["taken"] for r in got if r["source_size"] == totals[s]) - of[totals[s]]) <= 8
+    drawn, _ = mixing.mix(frame(rows, DOCS))
+    assert sum(r["taken"] for r in got) == drawn.agg(F.sum("size")).first()[0]
+    frame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert catalog.QUERIES["op9_mixing"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tree_shares_every_quota_exactly(frame, documents):
+    """Blocks of each source over the shards: as many as its quota has, and as evenly as a draw without replacement."""
+    taken, _ = mixing.plan(mixing_rows(frame, documents))
+    blocks = taken.collect()
+    per_shard = Counter(b["shard"] for b in blocks)
+    assert set(per_shard) == set(range(16)) and max(per_shard.values()) - min(per_shard.values()) <= 1
+    assert len({(b["source"], b["block"], b["pass"]) for b in blocks}) == len(blocks)
+
+
+def mixing_rows(frame, documents):
+    rows = [(d, i, s, len((t or "").split())) for i, (d, t, _, s) in enumerate(documents)]
+    return frame(rows, "doc_id long, text_hash long, source string, size long")

@@ -89,42 +89,57 @@ def test_components_of_odd_graphs(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def plain_line_dedup(docs):
-    first, out = {}, {}
-    for d, t in sorted(set(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
-        if t is None:
-            out[d] = None, []
-            continue
-        at, spans, kept = 0, [], []
-        for line in t.split("\n"):
-            norm = re.sub(r"[\x20\x09-\x0D\xa0]+", " ", line).strip(" ").lower()
-            if len(norm.split(" ")) >= 5 and norm in first:
-                spans.append((at, len(line)))
+def plain_dedup(docs, size=40):
+    """Per document the words that an earlier one's paragraph covers, as spans of whole words with the space before them."""
+    pieces = {(d, t): re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t or "") for d, t in docs}
+
+    def starts(p):
+        w = [x.strip(" \t\n\v\f\r").lower() for x in p]
+        return {i: " ".join(w[i : i + size]) for i in range(len(w) - size + 1) if i == 0 or (ord(w[i - 1][0]) + 3 * ord(w[i - 1][-1]) + len(w[i - 1])) % 4 == 0}
+
+    first = {}
+    for (d, _), p in pieces.items():
+        for s in starts(p).values():
+            first[s] = min(first.get(s, (True, 0)), (d is None, d or 0))
+    out = {}
+    for (d, t), p in pieces.items():
+        gone = {i: s for i, s in starts(p).items() if first[s] < (d is None, d or 0)}
+        cover = {j for i in gone for j in range(i, i + size)}
+        spans, kept, at = [], [], 0
+        for j, piece in enumerate(p):
+            if j in cover and j - 1 in cover:
+                spans[-1] = (spans[-1][0], spans[-1][1] + len(piece))
+            elif j in cover:
+                spans.append((at, len(piece)))
             else:
-                kept.append(line)
-                if len(norm.split(" ")) >= 5:
-                    first[norm] = d
-            at += len(line) + 1
-        out[d] = "\n".join(kept), spans
+                kept.append(piece)
+            at += len(piece)
+        out[d, t] = None if t is None else "".join(kept) + t[at:], spans, sorted({first[s][1] for s in gone.values()})
     return out
 
 
-def test_line_dedup(frame, documents):
+def test_paragraph_dedup(frame, documents, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: rnd.choice("abcdefghé😀") * rnd.randint(1, 3) + rnd.choice("ijklmn") * rnd.randint(1, 6)
+    many = lambda n: [word() for _ in range(n)]
+    passage = many(70)
+    spread = lambda w: "".join(x.upper() + rnd.choice([" ", "\n", " \t ", "\n\n"]) for x in w)
     docs = [(d, t) for d, t, _, _ in documents]
-    line = "This very line is everywhere 😀 é"
-    docs += [(7000 + i, f"start {i}\n{line.upper() if i % 2 else line}  \nshort\n{line}") for i in range(50)] + [(8000, None), (8001, ""), (8002, "\n\n"), (8003, line), (None, line)]
-    docs += [(8004, "one two three four five six\n" * 3)] * 2
-    df = frame(docs, DOC).withColumns({"gone": F.lit(1), "removed": F.lit("x"), "kept": F.lit(2)})
-    want = plain_line_dedup(docs)
-    rows = linededup.dedup_lines(df).collect()
-    assert len(rows) == len(docs) and rows[0]["kept"] == 2
-    for r in rows:
-        text, spans = want[r["doc_id"]]
-        assert r["clean_text"] == text
-        assert [(s["start"], s["length"]) for s in r["removed"]] == spans
-        for s in r["removed"]:
-            assert "\n" not in r["text"][s["start"] : s["start"] + s["length"]]
-    assert linededup.dedup_lines(frame([], DOC)).count() == 0
+    docs += [(7000 + i, f"{' '.join(many(30))} {spread(passage)}{' '.join(many(20))}\n") for i in range(60)]
+    docs += [(8000, None), (8001, ""), (8002, " \n "), (8003, spread(passage)), (None, spread(passage)), (None, f"x {spread(passage)}"), (8004, "same " * 100), (8005, "Same " * 90)]
+    docs += [(8006, " ".join(many(39))), (8007, " ".join(many(39)))] + [(8008, "two rows " * 60), (8008, "two rows " * 60), (8009, " ".join(passage)), (8009, "other text of this id")]
+    df = frame(docs, DOC).withColumns({"gone": F.lit(1), "removed": F.lit("x"), "_version": F.lit(2), "_cut": F.lit(3), "h1": F.lit(4)})
+    want = plain_dedup(docs)
+    for share in (linededup.HOT_SHARE, 0.01):
+        monkeypatch.setattr(linededup, "HOT_SHARE", share)
+        rows = linededup.dedup_paragraphs(df).collect()
+        assert len(rows) == len(docs) and set(rows[0].asDict()) == {"doc_id", "text", "gone", "_version", "_cut", "h1", "clean_text", "removed", "kept_doc_ids"}
+        for r in rows:
+            spans = [(s["start"], s["length"]) for s in r["removed"] or []]
+            assert (r["clean_text"], spans, r["kept_doc_ids"]) == want[r["doc_id"], r["text"]] and (r["gone"], r["_version"], r["_cut"], r["h1"]) == (1, 2, 3, 4)
+    left = {r["doc_id"]: r["clean_text"] for r in rows}
+    assert all(len(left[7000 + i].split()) < 70 for i in range(1, 60)) and len(left[7000].split()) == 120
+    assert linededup.dedup_paragraphs(frame([], DOC)).count() == 0
 
 
 INSULTS = ["blargh", "zorkface", "snivel", "grubber"]

@@ -17,7 +17,7 @@ from runlens.plans.registry import query
 from runlens.plans.report import reduce_by_spec, report
 from runlens.plans.spec import Capture, ResultGroup, Rule, SweepSpec
 from runlens.session import work_dir
-from runlens.sources import accounting, summaries, sweeps
+from runlens.sources import accounting, summaries, sweep_source, sweeps
 
 
 @query("a01_discover_runs", "select distinct 'sweep_id=' || sweep[9:] as name from v_trials")
@@ -47,6 +47,40 @@ def a02(spark, sf):
     )
 
 
+def turn_tree(spark, sf) -> str:
+    """A run folder per conversation with its log, one turn a line, and an override file that holds who speaks last."""
+    root = work_dir(spark, "turns")
+    chat = fx.chat(spark, sf)
+    log = chat.select(F.lit("log").alias("kind"), "file", "line_no", F.concat_ws("|", F.coalesce("role", F.lit("")), F.coalesce(F.length("text"), F.lit(0)).cast("string")).alias("line"))
+    last = chat.groupBy("file").agg(F.max_by("role", "line_no").alias("role"), F.count(F.lit(1)).alias("n"))
+    items = F.posexplode(F.array(F.concat(F.lit("- last="), "role"), F.concat(F.lit("- 'turns="), "n", F.lit("' # counted")))).alias("line_no", "line")
+    config = last.select(F.lit("conf").alias("kind"), "file", items)
+    rows = log.unionByName(config).repartition("file").sortWithinPartitions("file", "kind", "line_no")
+    rows.select("file", "kind", "line").write.partitionBy("file", "kind").text(f"{root}/runs")
+    return f"{root}/runs"
+
+
+TURN_LOGS = {"logs": "kind=log/*.txt", "overrides": "kind=conf/*.txt"}
+
+
+@query("a01_source", "select file, count(*) as n_lines, sum(length(coalesce(role, '') || '|' || coalesce(length(text), 0)) + 1)::bigint as n_chars from v_chat group by file")
+def a01_source(spark, sf):
+    """Runs of a sweep folder by the data source, with what their logs hold."""
+    lines = sweep_source.sweep_lines(spark, turn_tree(spark, sf), **TURN_LOGS)
+    file = F.regexp_extract("folder", r"file=(\d+)$", 1).cast("long").alias("file")
+    return lines.groupBy(file).agg(F.count(F.lit(1)).alias("n_lines"), (F.max("offset") + F.max_by(F.length("line"), "offset") + 1).alias("n_chars"))
+
+
+@query("a02_source_pushed", """
+select file, row_number() over (partition by file order by line_no) - 1 as line_no, coalesce(role, '') || '|' || coalesce(length(text), 0) as line, count(*) over (partition by file)::varchar as turns
+from v_chat qualify last_value(role) over (partition by file order by line_no rows between unbounded preceding and unbounded following) = 'user'""")
+def a02_source(spark, sf):
+    """Lines of the runs with one override; logs of other runs are not opened."""
+    lines = sweep_source.sweep_lines(spark, turn_tree(spark, sf), params="last,turns", **TURN_LOGS).where("override_last = 'user'")
+    file = F.regexp_extract("folder", r"file=(\d+)$", 1).cast("long").alias("file")
+    return sweep_source.numbered(lines).select(file, "line_no", "line", F.col("override_turns").alias("turns"))
+
+
 @query("k04_load_runs", "select file, count(*) as n_lines from v_chat group by file")
 def k04(spark, sf):
     def count_lines(path: str, content: bytes) -> dict:

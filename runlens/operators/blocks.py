@@ -1,9 +1,9 @@
 """Order-dependent work on groups of any size.
 
-A run, log or file may hold a large share of all rows, so nothing here sorts a huge group in one task. Groups
-above ``HOT_ROWS`` rows are cut into blocks of neighbouring order values and processed per (group, block).
-What a block needs to know about the blocks before it comes from a small per-block summary. Smaller groups
-are one block and take no part in that; when no group is huge, adaptive execution drops the extra branch.
+A run, log or file may hold a large share of all rows, so nothing here sorts a huge group in one task. Groups are
+cut into blocks of neighbouring order values and processed per (group, block). What a block needs to know about the
+blocks before it comes from a small per-block summary: a prefix scan in two passes. Where only huge groups shall be
+cut, ``with_blocks`` finds those above ``HOT_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -40,54 +40,31 @@ def with_blocks(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int
     return marked.withColumn(BLOCK, F.when(F.col("_hot"), block)).drop("_hot")
 
 
-def join_block_prefix(
-    df: DataFrame,
-    keys: Sequence[str],
-    totals: dict[str, Column],
-    prefix: dict[str, str],
-) -> DataFrame:
-    """Give each row of a cut group what happened in the group's earlier blocks.
+def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], block: Column, amount: Column, name: str) -> DataFrame:
+    """Sum of ``amount`` (a whole number) over the rows up to and including each row in its group's order.
 
-    ``df`` carries ``_block``. ``totals`` are per-block aggregates; ``prefix`` names how each is carried over
-    the earlier blocks: ``sum`` (0 where there are none) or ``last`` (last non-null).
+    ``block`` must be a coarsening of the leading order columns, so that blocks sort like rows do. Two passes: a narrow
+    one adds up each (group, block), and the sums of all earlier blocks enter a block as one row before all others; the
+    second one runs over each block by itself. Groups of one block send no such row. Nothing is joined, so a NULL key is a group.
     """
-    summary = df.where(F.col(BLOCK).isNotNull()).groupBy(*keys, BLOCK).agg(*[agg.alias(n) for n, agg in totals.items()])
-    w = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried, known = [], F.lit(False)
-    for name, how in prefix.items():
-        value = F.sum(name).over(w) if how == "sum" else F.last(name, ignorenulls=True).over(w)
-        carried.append(value.alias(name))
-        known = known | F.col(name).isNotNull()
-    entries = summary.select(*keys, BLOCK, *carried).where(known)
-    out = join_keys(df, entries, [*keys, BLOCK], "left")
-    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n, how in prefix.items() if how == "sum"})
-
-
-def dense_positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str | Column],
-    block: Column,
-    name: str = "pos",
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """0-based position of each row in its group's order.
-
-    ``block`` must be a coarsening of the leading order columns, so that blocks sort like rows do.
-    """
-    d = join_block_prefix(with_blocks(df, keys, block, hot_rows), keys, {"_off": F.count(F.lit(1))}, {"_off": "sum"})
-    rn = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order_by))
-    return d.withColumn(name, rn + F.col("_off") - 1).drop(BLOCK, "_off")
+    rows = df.withColumns({BLOCK: block, "_amount": F.coalesce(amount.cast("long"), F.lit(0))})
+    sums = rows.groupBy(*keys, BLOCK).agg(F.sum("_amount").alias("_amount"))
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, BLOCK, F.sum("_amount").over(earlier).alias("_amount")).where("_amount <> 0")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in keys]
+    both = rows.withColumn("_own", F.lit(True)).unionByName(carried.select(*keys, *empty, BLOCK, "_amount", F.lit(False).alias("_own")))
+    up_to_here = Window.partitionBy(*keys, BLOCK).orderBy("_own", *order_by).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_sum", F.sum("_amount").over(up_to_here)).where("_own").drop(BLOCK, "_amount", "_own").withColumnRenamed("_sum", name)
+
+
+def dense_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], block: Column, name: str = "pos") -> DataFrame:
+    """0-based position of each row in its group's order; blocks as for ``running_sum``."""
+    return running_sum(df, keys, order_by, block, F.lit(1), name).withColumn(name, F.col(name) - 1)
 
 
-def running_count(
-    df: DataFrame, keys: Sequence[str], order: str, flag: Column, name: str, bits: int = DEFAULT_BITS, hot_rows: int | None = None
-) -> DataFrame:
+def running_count(df: DataFrame, keys: Sequence[str], order: str, flag: Column, name: str, bits: int = DEFAULT_BITS) -> DataFrame:
     """Number of rows up to and including this one for which ``flag`` holds, within the group."""
-    d = with_blocks(df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")), keys, block_of(order, bits), hot_rows)
-    d = join_block_prefix(d, keys, {"_off": F.sum("_flag")}, {"_off": "sum"})
-    w = Window.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn(name, F.sum("_flag").over(w) + F.col("_off")).drop("_flag", "_off", BLOCK)
+    return running_sum(df, keys, [order], block_of(order, bits), flag.cast("long"), name)
 
 
 def with_halo(df: DataFrame, pos: str, before: int, after: int, bits: int = DEFAULT_BITS) -> DataFrame:

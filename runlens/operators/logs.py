@@ -17,6 +17,7 @@ from runlens.operators.blocks import (
     block_of,
     dense_positions,
     running_count,
+    running_sum,
     with_blocks,
 )
 from runlens.operators.keys import join_keys
@@ -44,20 +45,22 @@ def is_restart(line: Column) -> Column:
     return line.contains(JOB_START) | (line.contains(PREEMPT_TAG) & ~line.contains(PREEMPT_SKIP) & signal)
 
 
-def longest_ranges(
-    lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS, hot_rows: int | None = None
-) -> DataFrame:
+def longest_ranges(lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS) -> DataFrame:
     """First and last line number of each log's longest section (``_from``, ``_to``), the last of equally long ones.
 
-    A marker line opens a section; lines before the first marker form one. Only line numbers are looked at.
+    A marker line opens a section; lines before the first marker form one. One scan, of line numbers and marks: a window
+    per (log, block) finds the parts of sections in it, and the parts, few rows, are put together by a running count.
     """
-    marker = is_restart(F.col("line")) if marker is None else marker
-    narrow = lines.select(*keys, "line_no", marker.alias("_m"))
-    sections = (
-        running_count(narrow, keys, "line_no", F.col("_m"), "_section", bits, hot_rows)
-        .groupBy(*keys, "_section")
+    marker = F.coalesce(is_restart(F.col("line")) if marker is None else marker, F.lit(False))
+    narrow = lines.select(*keys, "line_no", marker.cast("int").alias("_m"), block_of("line_no", bits).alias(BLOCK))
+    within = Window.partitionBy(*keys, BLOCK).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    parts = (
+        narrow.withColumn("_part", F.sum("_m").over(within)).groupBy(*keys, BLOCK, "_part")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("line_no").alias("_from"), F.max("line_no").alias("_to"))
     )
+    # the first part of a block goes on with the last section before it; parts are checkpointed, since they are read twice
+    opens = running_sum(cut(parts.drop(BLOCK)), keys, ["_from"], block_of("_from", bits), F.col("_part") > 0, "_section")
+    sections = opens.groupBy(*keys, "_section").agg(F.sum("_n").alias("_n"), F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     pick = sections.groupBy(*keys).agg(F.max(F.struct("_n", "_section", "_from", "_to")).alias("_s"))
     return pick.select(*keys, "_s._from", "_s._to")
 
@@ -69,11 +72,9 @@ def within_ranges(rows: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("fo
     return rows.withColumn(BLOCK, block_of("line_no", bits)).join(per_block, [*keys, BLOCK]).where(inside).drop(BLOCK, "_from", "_to")
 
 
-def longest_section(
-    lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS, hot_rows: int | None = None
-) -> DataFrame:
-    """Lines of each log's longest section."""
-    return within_ranges(lines, longest_ranges(lines, marker, keys, bits, hot_rows), keys, bits)
+def longest_section(lines: DataFrame, marker: Column | None = None, keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS) -> DataFrame:
+    """Lines of each log's longest section: one scan finds the ranges, one reads the lines."""
+    return within_ranges(lines, longest_ranges(lines, marker, keys, bits), keys, bits)
 
 
 def _captured(rule: Rule, capture: Capture) -> Column:
@@ -111,9 +112,10 @@ def _number_events(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame
 def extract_events(lines: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("folder",), bits: int = DEFAULT_BITS) -> DataFrame:
     """Points from every line that matches a rule: ``(keys, key, pos, value, text, failed)``.
 
-    One line may feed several rules and one rule several keys, in rule order.
+    One line may feed several rules and one rule several keys, in rule order. The log is scanned once: what it yields
+    is checkpointed and numbered from there.
     """
-    return _number_events(capture_events(lines, [rules], keys), keys, bits)
+    return _number_events(cut(capture_events(lines, [rules], keys)), keys, bits)
 
 
 def extract_first(lines: DataFrame, rule: Rule, keys: Sequence[str] = ("folder",), explode_rows: bool = False) -> DataFrame:

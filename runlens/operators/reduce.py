@@ -11,7 +11,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.keys import join_keys
+from runlens.operators.keys import KEY, packed
 from runlens.plans.spec import MetricOptions
 
 REDUCED = ("topk_mean", "best", "best_idx", "len")
@@ -43,14 +43,24 @@ def ranked_points(
     return known.withColumn("_rank", rank).where(F.col("_rank") <= k_max)
 
 
+def _counted_and_ranked(points: DataFrame, keys: Sequence[str], default: MetricOptions, options: dict[str, MetricOptions] | None) -> DataFrame:
+    """Every point as a bare ``_one``, and the best points of each series with their ``_rank``, for one aggregate by key."""
+    ranked = ranked_points(points, keys, default, options).select(packed(keys), "metric", "pos", "value", "_rank", F.lit(0).alias("_one"))
+    bare = points.select(
+        packed(keys), "metric", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("double").alias("value"),
+        F.lit(None).cast("int").alias("_rank"), F.lit(1).alias("_one"),
+    )
+    return bare.unionByName(ranked)
+
+
 def best_points(
     points: DataFrame, default: MetricOptions, options: dict[str, MetricOptions] | None = None, keys: Sequence[str] = ("run_id",)
 ) -> DataFrame:
     """Mergeable form of a reduction: per series its best points (``top``) and its length."""
     keys = [*keys, "metric"]
-    lengths = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
-    top = ranked_points(points, keys, default, options).groupBy(*keys).agg(F.collect_list(F.struct("pos", "value")).alias("top"))
-    return join_keys(lengths, top, keys, "left").select(*keys, "top", "len")
+    both = _counted_and_ranked(points, keys, default, options)
+    top = F.collect_list(F.when(F.col("_rank").isNotNull(), F.struct("pos", "value")))
+    return both.groupBy(KEY).agg(top.alias("top"), F.sum("_one").alias("len")).select(f"{KEY}.*", "top", "len")
 
 
 def _best_first(default: MetricOptions, options: dict[str, MetricOptions]) -> tuple[Column, Column]:
@@ -106,27 +116,18 @@ def reduce_series(
     keys = [*keys, "metric"]
     if metrics is not None:
         points = points.where(F.col("metric").isin(list(metrics)))
-    k = _per_metric(options, default, "topk_mean")
-    lengths = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
-    top = (
-        ranked_points(points, keys, default, options)
-        .groupBy(*keys)
-        .agg(
-            F.avg(F.when(F.col("_rank") <= k, F.col("value"))).alias("topk_mean"),
-            F.max(F.when(F.col("_rank") == 1, F.col("value"))).alias("best"),
-            F.max(F.when(F.col("_rank") == 1, F.col("pos"))).alias("best_idx"),
-        )
+    rank, value = F.col("_rank"), F.col("value")
+    reduced = _counted_and_ranked(points, keys, default, options).groupBy(KEY).agg(
+        F.avg(F.when(rank <= _per_metric(options, default, "topk_mean"), value)).alias("topk_mean"),
+        F.max(F.when(rank == 1, value)).alias("best"), F.max(F.when(rank == 1, F.col("pos"))).alias("best_idx"), F.sum("_one").alias("len"),
     )
-    reduced = join_keys(lengths, top, keys, "left")
     if runs is not None and metrics is not None:
         extra = [c for c in keys if c not in ("metric", *runs.columns)]
         if extra:
             raise ValueError(f"runs must carry the key columns {extra}")
-        every = runs.select(*[c for c in keys if c != "metric"]).withColumn(
-            "metric", F.explode(F.array(*[F.lit(m) for m in metrics]))
-        )
-        reduced = join_keys(every, reduced, keys, "left").withColumn("len", F.coalesce("len", F.lit(0).cast("long")))
-    return reduced.select(*keys, *REDUCED)
+        every = runs.select(*[c for c in keys if c != "metric"]).withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
+        reduced = every.select(packed(keys, points.schema)).join(reduced, KEY, "left").withColumn("len", F.coalesce("len", F.lit(0).cast("long")))
+    return reduced.select(f"{KEY}.*", *REDUCED)
 
 
 def reduce_series_at(

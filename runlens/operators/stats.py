@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, with_halo
-from runlens.operators.keys import join_keys
+from runlens.operators.keys import KEY, join_keys, packed
 from runlens.operators.reduce import clean
 
 # Fixed value: added under the root of the standard error.
@@ -30,36 +30,35 @@ def describe_values(df: DataFrame, value: str, by: Sequence[str] = (), accuracy:
     Missing values are skipped. A group of missing values only has n = 0 and NULLs, and so has an ungrouped
     empty table. A NULL key is a group.
     """
-    key = list(by) or ["_one"]
-    rows = df.select(*by, clean(value).alias("_v"))
-    # a hidden constant key lets the ungrouped case join without a cross product
-    rows = rows if by else rows.withColumn("_one", F.lit(1))
+    rows = df.select(packed(by) if by else F.lit(1).alias(KEY), clean(value).alias("_v"))
     margin = 2.0 / accuracy
     measures = [
         F.count("_v").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"),
         F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_q"),
     ]
-    sketch = rows.groupBy(*key).agg(*measures) if by else rows.agg(*measures).withColumn("_one", F.lit(1))
+    # a hidden constant key lets the ungrouped case join without a cross product
+    sketch = rows.groupBy(KEY).agg(*measures) if by else rows.agg(*measures).withColumn(KEY, F.lit(1))
     known = rows.where(F.col("_v").isNotNull())
-    brackets = sketch.select(*key, "n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    found = _median_ranks(known, brackets, key)
-    missed = join_keys(brackets, found.where("_median is not null"), key, "left_anti").where("n > 0")
-    whole = missed.select(*key, "n", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
-    medians = found.where("_median is not null").unionByName(_median_ranks(known, whole, key))
-    return join_keys(sketch, medians, key, "left").select(*by, "n", "min", "max", "mean", F.col("_median").alias("median"))
+    brackets = sketch.select(KEY, "n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    found = _median_ranks(known, brackets)
+    missed = brackets.join(found.where("_median is not null"), KEY, "left_anti").where("n > 0")
+    whole = missed.select(KEY, "n", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
+    medians = found.where("_median is not null").unionByName(_median_ranks(known, whole))
+    keys = [F.col(KEY)[k].alias(k) for k in by]
+    return sketch.join(medians, KEY, "left").select(*keys, "n", "min", "max", "mean", F.col("_median").alias("median"))
 
 
-def _median_ranks(known: DataFrame, brackets: DataFrame, key: Sequence[str]) -> DataFrame:
+def _median_ranks(known: DataFrame, brackets: DataFrame) -> DataFrame:
     """Median per key from the ranks of the values inside a bracket; NULL where it isn't there."""
-    near = join_keys(known, brackets, key)
+    near = known.join(brackets, KEY)
     # rows outside the bracket fall into one bucket on each side
     bucketed = near.where(F.col("_v") <= F.col("_hi")).withColumn("_inside", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-    counts = bucketed.groupBy(*key, "n", "_inside").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*key).orderBy(F.col("_inside").asc_nulls_first())
+    counts = bucketed.groupBy(KEY, "n", "_inside").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(KEY).orderBy(F.col("_inside").asc_nulls_first())
     ranks = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_from", F.col("_upto") - F.col("_c"))
     low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
     at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_upto")), F.col("_inside")))
-    return ranks.groupBy(*key).agg(((at(low) + at(high)) / 2).alias("_median"))
+    return ranks.groupBy(KEY).agg(((at(low) + at(high)) / 2).alias("_median"))
 
 
 def value_stats(

@@ -8,6 +8,7 @@ from runlens.operators import logs
 from runlens.plans import fixtures as fx
 from runlens.plans.registry import query
 from runlens.plans.spec import Capture, Rule
+from runlens.session import cut
 
 VALUE = r"value=(-?[\d.]+)"
 VIEW = Rule(rf"\[view\] step=(\d+) {VALUE}", (Capture("step", 1), Capture("view_value", 2)))
@@ -31,7 +32,7 @@ s as (select folder, sec, count(*) as n from m group by all),
 p as (select folder, arg_max(sec, n * 1000000 + sec) as sec from s group by folder)
 select m.folder, m.line_no, m.line from m join p using (folder, sec)""")
 def c01(spark, sf):
-    return logs.longest_section(lines(spark, sf), F.col("line").startswith("[error]"))
+    return logs.longest_section(cut(lines(spark, sf)), F.col("line").startswith("[error]"))
 
 
 EVENTS = """

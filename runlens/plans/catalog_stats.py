@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.operators import stats
-from runlens.operators.blocks import block_of, dense_positions
+from runlens.operators.blocks import dense_positions
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog_reduce import r6
 from runlens.plans.registry import query
@@ -24,8 +24,9 @@ def e14_column(spark, sf):
 
 
 def arrivals(spark, sf):
-    log = fx.log_lines(spark, sf).select("folder", "event_type", "line_no", "value")
-    return dense_positions(log, ["folder", "event_type"], ["line_no"], block_of("line_no"))
+    """Log values with their arrival number, counted for each folder and type."""
+    log = fx.table(spark, sf, "events").select(F.col("user_id").alias("folder"), "event_type", "ts", "event_id", "value")
+    return dense_positions(log, ["folder", "event_type"], ["ts", "event_id"], F.date_trunc("day", "ts")).drop("ts", "event_id")
 
 
 VALUE_STATS = """

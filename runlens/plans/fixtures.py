@@ -39,8 +39,7 @@ def ordered_lines(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     """Line items with their 0-based position within the order."""
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", *extra]
     li = table(spark, sf, "lineitem").select(*cols)
-    block = F.struct("l_linenumber", block_of("l_partkey", 8).alias("part"))
-    return dense_positions(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], block)
+    return dense_positions(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], block_of("l_linenumber", 2))
 
 
 def points(spark: SparkSession, sf: str, metrics: Sequence[str] = ("price", "qty")) -> DataFrame:
@@ -52,8 +51,8 @@ def points(spark: SparkSession, sf: str, metrics: Sequence[str] = ("price", "qty
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    minute = F.date_trunc("minute", "ts")
-    d = dense_positions(ev, ["user_id"], ["ts", "event_id"], minute, "line_no")
+    hour = F.date_trunc("hour", "ts")
+    d = dense_positions(ev, ["user_id"], ["ts", "event_id"], hour, "line_no")
     text = F.concat(
         F.lit("["), "event_type", F.lit("] step="), F.col("event_id").cast("string"),
         F.lit(" value="), F.col("value").cast("decimal(12,2)").cast("string"),

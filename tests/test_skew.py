@@ -5,7 +5,9 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as driver
-from runlens.operators import blocks
+from runlens import session
+from runlens.operators import blocks, logs
+from runlens.plans import catalog_logs
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -40,3 +42,30 @@ def test_skewed(spark, skewed, name, monkeypatch):
     monkeypatch.setattr(blocks, "HOT_ROWS", 50)
     ok, message = compare(spark, connect(skewed), skewed, name, driver.queries()[name], driver.oracle_sql().get(name))
     assert ok, message
+
+
+def scans(plan: str) -> int:
+    """File scans of an executed plan; what was checkpointed is no scan."""
+    final = plan.split("Initial Plan")[0]
+    return final.count("Scan parquet") + final.count("BatchScan")
+
+
+@pytest.mark.parametrize("name", ["c01_longest_section", "c02_extract_events", "c04_merge_matchers", "e15_value_stats"])
+def test_ordered_work_reads_its_input_twice_at_most(spark, skewed, name, monkeypatch):
+    """Cut groups and all: every plan that runs, checkpoints included, has two scans at most."""
+    seen = []
+    keep = session.cut
+
+    def counted(df):
+        seen.append(df)
+        return keep(df)
+
+    for module in (session, logs, catalog_logs):
+        monkeypatch.setattr(module, "cut", counted)
+    out = driver.queries()[name](spark, skewed)
+    out.collect()
+    found = []
+    for df in [*seen, out]:
+        df.collect()
+        found.append(scans(df._jdf.queryExecution().executedPlan().toString()))
+    assert max(found) <= 2 and sum(found) <= 4, found

@@ -6,8 +6,8 @@ mean changes is taken off in unbounded integers, so one rounding per entry is al
 
 The eigenvalues wanted are fenced by counts: Sylvester's inertia of the shifted covariance (its tridiagonal form)
 tells how many lie above a number, and bisection puts the fences into gaps. For each interval between fences the
-spectral projector is a quadrature over a contour around it: solves with complex shifts of the covariance, each node
-one Spark task. Rayleigh-Ritz in the projected space gives the pairs; passes repeat until their residuals are at
+spectral projector is a quadrature over a contour around it: solves with complex shifts of the covariance, nodes dealt
+over Spark tasks. Rayleigh-Ritz in the projected space gives the pairs; passes repeat until their residuals are at
 rounding, and the number found in each interval must be the number counted.
 
 Every step on the driver is on matrices of the vectors' length, never of the rows.
@@ -33,7 +33,7 @@ SHIFT = 100_000
 BOUND = 1 << 30
 COMPONENTS = 8
 #: Quadrature nodes on the upper half of a contour, eigenvalues in an interval, passes until the residuals must be small.
-NODES = 8
+NODES = 16
 IN_INTERVAL = 4
 PASSES = 60
 #: Partial product sums that are shuffled at most: each is a triangle of length x length.
@@ -236,7 +236,7 @@ def leading_eigenpairs(spark: SparkSession, v: np.ndarray, wanted: int) -> tuple
     fenced = intervals(v, min(wanted, d))
     scale = float(np.linalg.norm(v))
     rng = np.random.default_rng(5)
-    spaces = [np.linalg.qr(rng.normal(size=(d, min(d, 2 * count + 8))))[0] for _, _, count in fenced]
+    spaces = [np.linalg.qr(rng.normal(size=(d, min(d, 3 * count + 12))))[0] for _, _, count in fenced]
     done: list[np.ndarray | None] = [None] * len(fenced)
     best = [np.inf] * len(fenced)
     shared = spark.sparkContext.broadcast(v)
@@ -247,7 +247,7 @@ def leading_eigenpairs(spark: SparkSession, v: np.ndarray, wanted: int) -> tuple
             break
         nodes = [r for r in _nodes(fenced) if r[0] in open_ones]
         held = spark.sparkContext.broadcast(spaces)
-        tasks = spark.createDataFrame(nodes, schema).repartition(len(nodes))
+        tasks = spark.createDataFrame(nodes, schema).repartition(min(len(nodes), spark.sparkContext.defaultParallelism))
         projected = {k: np.zeros_like(spaces[k]) for k in open_ones}
         for k, part in sorted((r["interval"], bytes(r["part"])) for r in tasks.mapInPandas(_solver(shared, held), "interval int, part binary").collect()):
             projected[k] += np.frombuffer(part).reshape(spaces[k].shape)

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.operators import groups, stats
+from runlens.operators import groups, stats, topk
 from runlens.operators.reduce import wide_metrics
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog_jobs import JOB_FIELDS, job_table
 from runlens.plans.catalog_reduce import BEST, LEADERBOARD, METRICS, r6
 from runlens.plans.catalog_stats import VALUE_STATS, _corr_sql, arrivals, halves
 from runlens.plans.registry import query
-from runlens.session import work_dir
+from runlens.session import cut, work_dir
 from runlens.streaming import jobs as live_jobs
 from runlens.streaming import points as live_points
 
@@ -94,17 +94,33 @@ def j05(spark, sf):
     return stats.corr_from_sums(live_points.read_corr_sums(spark, f"{base}/out")).withColumns(r6("r", "t_norm", "s_norm"))
 
 
-@query("j06_live_topk", """
-select a.run_id, a.metric, a.pos, a.value from v_points a left join v_points b on b.run_id = a.run_id and b.metric = a.metric and b.pos < a.pos
-group by all having count(b.value) filter (where b.value >= a.value) < 3""")
+KEPT_3 = """
+a as (select a.run_id, a.metric, a.pos, a.value from v_points a left join v_points b on b.run_id = a.run_id and b.metric = a.metric and b.pos < a.pos
+group by all having count(b.value) filter (where b.value >= a.value) < 3)"""
+
+
+@query("j06_live_topk", f"with {KEPT_3} select * from a")
 def j06(spark, sf):
     base = work_dir(spark, "j06")
-    points = fx.points(spark, sf)
+    points = cut(fx.points(spark, sf))
     parts = [points.where("pos < 2"), points.where("pos between 2 and 4"), points.where("pos > 4")]
     feed(spark, base, parts, lambda s: live_points.live_topk(s, 3, f"{base}/out", f"{base}/cp"))
     return live_points.read_topk(spark, f"{base}/out")[0].drop("slot")
 
 
+# every slot's last write: the three best of a series, the earlier ones of equal scores; slots 0 to 2 are all taken once three scores came
+@query("j06_slots", f"""
+with {KEPT_3},
+r as (select *, row_number() over (partition by run_id, metric order by value desc, pos) as rk from a)
+select run_id, metric, count(*) as n_slots, count(*) * (count(*) - 1) // 2 as slot_sum, round(sum(value), 6) as total from r where rk <= 3 group by all""")
+def j06_slots(spark, sf):
+    """Slots of the stored series, in batch, and what they hold in the end."""
+    flagged = topk.topk_admission(fx.points(spark, sf), 3)
+    held = topk.kept_slots(topk.assign_slots(cut(flagged.where("admitted").drop("admitted", "worst")), 3))
+    sums = held.groupBy("run_id", "metric").agg(F.count("slot").alias("n_slots"), F.sum("slot").alias("slot_sum"), F.sum("value").alias("total"))
+    return sums.withColumns(r6("total"))
+
+
 @query("j07_watch_commands", f"""
 with {JOB_FIELDS}, w as (select jf.* from jf join v_trials on run_id = job_id where p_seed = '1')
 select job_id, 'find' as action from w where regexp_matches(submit_line, 'run.sh 1-URGENT$')

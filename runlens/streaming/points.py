@@ -98,18 +98,17 @@ def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str |
     """Admit scores into the k best of their series as they arrive and say which slot each one takes.
 
     Points of a series must not arrive in an earlier batch than lower positions; inside a batch they are
-    ordered here. Admission is decided per block of positions; only admitted scores walk through the slots.
+    ordered here. The state of a series is its k slots. A batch writes its admitted scores once and the slots it changed.
     """
     keys = ["run_id", "metric"]
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = read_state(spark, f"{out}/slots", SLOTS_SCHEMA, keys, batch_id)
-        touched = batch.select(*keys).distinct()
-        kept = state.join(touched, keys, "left_semi").select(*keys, F.inline("slots"))
+        kept = state.select(*keys, F.inline("slots")) if batch_id else None
+        if kept is not None:
+            kept = kept.join(batch.select(*keys).distinct(), keys, "left_semi")
         flagged = topk_admission(batch, k, keys, kept_before=kept)
-        write_batch(flagged, f"{out}/flags", batch_id)
-        flagged = read_before(spark, f"{out}/flags", flagged.schema).where(F.col(BATCH) == batch_id)
         slotted = assign_slots(flagged.where("admitted"), k, keys, kept)
         write_batch(slotted, f"{out}/admitted", batch_id)
         slotted = read_before(spark, f"{out}/admitted", slotted.schema).where(F.col(BATCH) == batch_id)

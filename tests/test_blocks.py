@@ -155,7 +155,7 @@ def test_topk_admission_and_slots(spark):
         for bits, hot in ((2, 3), (4, 50), (16, 1000)):
             flagged = topk.topk_admission(df, k, bits=bits, hot_rows=hot)
             flags = {(r.run_id, r.pos): r.admitted for r in flagged.collect()}
-            slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k).collect()}
+            slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k, bits=bits, hot_rows=hot).collect()}
             for (run, _), v in series(rows).items():
                 want = plain_topk(v, k)
                 assert [flags[run, i] for i in range(len(v))] == [w is not None for w in want]
@@ -177,7 +177,28 @@ def test_topk_continues_from_kept_scores(spark):
     kept = topk.kept_slots(topk.assign_slots(first.where("admitted"), k))
     for hot in (3, 1000):
         flagged = topk.topk_admission(late, k, bits=3, kept_before=kept, hot_rows=hot)
-        slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k, kept_before=kept).collect()}
+        slots = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k, kept_before=kept, bits=3, hot_rows=hot).collect()}
         for (run, _), v in series(rows).items():
             want = plain_topk(v, k)
             assert [slots.get((run, i)) for i in range(4, len(v))] == want[4:], (hot, run)
+
+
+def test_slots_of_rising_and_tied_series(spark):
+    """Long rising series in blocks, ties, fewer scores than slots, and a series without a key."""
+    rng = random.Random(4)
+    values = {
+        "rise": [float(i) for i in range(400)], "steps": [float(i // 3) for i in range(400)], "few": [3.0, 1.0],
+        "wild": [float(rng.randint(0, 30) + i // 4) for i in range(400)], "fall": [-float(i) for i in range(50)], None: [float(i * 7 % 40) for i in range(300)],
+    }
+    df = spark.createDataFrame([(s, "m", i, v) for s, vs in values.items() for i, v in enumerate(vs)], "run_id string, metric string, pos bigint, value double")
+    for k, bits, hot in ((1, 3, 20), (4, 4, 20), (4, 16, 10_000), (7, 3, 20)):
+        for cut_at in (0, 120):
+            kept = None
+            if cut_at:
+                first = topk.topk_admission(df.where(F.col("pos") < cut_at), k)
+                kept = topk.kept_slots(topk.assign_slots(first.where("admitted"), k))
+            flagged = topk.topk_admission(df.where(F.col("pos") >= cut_at), k, bits=bits, kept_before=kept, hot_rows=hot)
+            got = {(r.run_id, r.pos): r.slot for r in topk.assign_slots(flagged.where("admitted"), k, kept_before=kept, bits=bits, hot_rows=hot).collect()}
+            for s, vs in values.items():
+                want = plain_topk(vs, k)
+                assert [got.get((s, i)) for i in range(cut_at, len(vs))] == want[cut_at:], (s, k, bits, cut_at)

@@ -14,7 +14,7 @@ NAMES = [
     "a04_parse_tagged_json", "a05_parse_mode_log", "a07_scalar_files_all", "a10_probe_logs", "c01_longest_section", "c02_extract_events",
     "c04_merge_matchers", "c09_align_dicts", "d01_align_curves", "e01_reduce_series", "e02_reduce_series_at", "e04_id_ranges",
     "e12_curve_mean_std", "e14_describe_values", "e15_value_stats", "e17_step_timing", "f01_moving_average_3", "f02_clipped_mean_everywhere",
-    "f03_resample_linear", "f07_topk_admission", "j06_live_topk",
+    "f03_resample_linear", "f07_topk_admission", "j06_live_topk", "j06_slots",
 ]
 HOT = {
     # part numbers made unique, so that the order of a run's points is

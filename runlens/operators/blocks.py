@@ -57,6 +57,26 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Col
     return both.withColumn("_sum", F.sum("_amount").over(up_to_here)).where("_own").drop(BLOCK, "_amount", "_own").withColumnRenamed("_sum", name)
 
 
+def last_before(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], block: Column, value: Column, name: str, before: DataFrame | None = None) -> DataFrame:
+    """Last non-NULL ``value`` of the rows before each row in its group's order; NULL where there is none.
+
+    Two passes as in ``running_sum``: the last value of all earlier blocks enters a block as one row. ``before`` holds
+    one row ``(keys, value)`` per group that comes before all others.
+    """
+    rows = df.withColumns({BLOCK: block, "_value": value})
+    at = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_by])
+    every = rows.groupBy(*keys, BLOCK).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), at)).alias("_last"))
+    if before is not None:
+        lowest = F.lit(None).cast(rows.schema[BLOCK].dataType).alias(BLOCK)  # NULL sorts first
+        every = every.unionByName(before.select(*keys, lowest, F.col(before.columns[-1]).alias("_last")))
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*keys, BLOCK, F.last("_last", ignorenulls=True).over(earlier).alias("_value")).where(F.col("_value").isNotNull() & F.col(BLOCK).isNotNull())
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in keys]
+    both = rows.withColumn("_own", F.lit(True)).unionByName(carried.select(*keys, *empty, BLOCK, "_value", F.lit(False).alias("_own")))
+    up_to_here = Window.partitionBy(*keys, BLOCK).orderBy("_own", *order_by).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_last", F.last("_value", ignorenulls=True).over(up_to_here)).where("_own").drop(BLOCK, "_value", "_own").withColumnRenamed("_last", name)
+
+
 def dense_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], block: Column, name: str = "pos") -> DataFrame:
     """0-based position of each row in its group's order; blocks as for ``running_sum``."""
     return running_sum(df, keys, order_by, block, F.lit(1), name).withColumn(name, F.col(name) - 1)

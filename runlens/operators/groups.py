@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.grid import axes_grid, listed_axis, observed_axis
 from runlens.operators.reduce import clean
+from runlens.session import ship_package
 
 
 def group_mean_std(df: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -30,6 +33,90 @@ def group_agg(df: DataFrame, groups: Sequence[str], **aggs: Column) -> DataFrame
     return df.dropna(subset=list(groups)).groupBy(*groups).agg(*[a.alias(name) for name, a in aggs.items()])
 
 
+class Aggregate:
+    """A user's aggregate as partial states: ``update`` takes arrays of values, states are merged in any order.
+
+    States must be picklable and should stay small, whatever the number of rows.
+    """
+
+    #: Spark type of what ``finish`` returns.
+    returns = "double"
+
+    def init(self):
+        raise NotImplementedError
+
+    def update(self, state, *columns: np.ndarray):
+        raise NotImplementedError
+
+    def merge(self, state, other):
+        raise NotImplementedError
+
+    def finish(self, state):
+        return state
+
+
+#: Groups whose states a task holds before it hands them on.
+STATES_AT_ONCE = 50_000
+
+
+def group_merge(df: DataFrame, groups: Sequence[str], columns: Sequence[str], name: str, aggregate: Aggregate, salts: int = 32) -> DataFrame:
+    """Group by the parameters with an ``Aggregate`` of some columns, missing values as NaN; rows with a missing key are dropped.
+
+    A task keeps one state per group, not the group's rows. States meet first by (group, salt) and then by group, so a
+    group of any size is a few states for any task. Keys come as they are; an empty table gives an empty result.
+    """
+    ship_package(df.sparkSession)
+    rows = df.dropna(subset=list(groups)).select(*groups, *[clean(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema)
+    values = [f"_c{i}" for i in range(len(columns))]
+
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(list(groups), sort=False, dropna=False):
+                states[key] = aggregate.update(states[key] if key in states else aggregate.init(), *[part[v].to_numpy(dtype=float) for v in values])
+            if len(states) > STATES_AT_ONCE:
+                yield packed_states(states)
+                states = {}
+        if states:
+            yield packed_states(states)
+
+    def packed_states(states: dict) -> pd.DataFrame:
+        out = pd.DataFrame(list(states), columns=list(groups))
+        return out.assign(_salt=np.random.default_rng().integers(0, salts, len(out)).astype("int32"), _state=[pickle.dumps(s) for s in states.values()])
+
+    def merge(by: list[str], finish: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, state, row = None, None, None
+            for pdf in batches:
+                done = []
+                for key, packed in zip(zip(*[pdf[c] for c in by]), pdf["_state"]):
+                    if key == last:
+                        state = aggregate.merge(state, pickle.loads(packed))
+                    else:
+                        if last is not None:
+                            done.append((*last, state))
+                        last, state = key, pickle.loads(packed)
+                if done:
+                    yield closed(done, by, finish)
+            if last is not None:
+                yield closed([(*last, state)], by, finish)
+
+        return run
+
+    def closed(done: list[tuple], by: list[str], finish: bool) -> pd.DataFrame:
+        out = pd.DataFrame([d[:-1] for d in done], columns=by)
+        if finish:
+            return out.assign(**{name: [aggregate.finish(d[-1]) for d in done]})
+        return out.assign(_state=[pickle.dumps(d[-1]) for d in done])
+
+    partial = rows.mapInPandas(collect, f"{keys}, _salt int, _state binary")
+    first, then = [*groups, "_salt"], list(groups)
+    salted = partial.repartition(*first).sortWithinPartitions(*first).mapInPandas(merge(first, False), f"{keys}, _salt int, _state binary")
+    whole = salted.drop("_salt").repartition(*then).sortWithinPartitions(*then)
+    return whole.mapInPandas(merge(then, True), f"{keys}, `{name}` {aggregate.returns}")
+
+
 def format_mean_std(mean: Column, std: Column, n: Column | None = None, precision: int = 3, latex: bool = False) -> Column:
     """``m ± s [n]`` or ``$m\\pm s$``. Runs on aggregated rows only; Python rounding, missing prints ``nan``."""
 

@@ -16,11 +16,13 @@ from runlens.operators.blocks import (
     DEFAULT_BITS,
     block_of,
     dense_positions,
+    last_before,
     running_count,
     running_sum,
     with_blocks,
 )
 from runlens.operators.keys import join_keys
+from runlens.operators.reduce import union_runs
 from runlens.plans.spec import Capture, Rule
 from runlens.session import cut
 
@@ -118,6 +120,45 @@ def extract_events(lines: DataFrame, rules: Sequence[Rule], keys: Sequence[str]
     return _number_events(cut(capture_events(lines, [rules], keys)), keys, bits)
 
 
+def rule_marks(lines: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("folder",)) -> DataFrame:
+    """What each armed rule saw, in one scan: ``(keys, rule, line_no, line, mark)``, mark ``arm`` or ``match``.
+
+    A line that matches both counts as a match first and arms the rule for the next one.
+    """
+    seen = []
+    for i, rule in enumerate(rules):
+        if rule.arm is not None:
+            mark = lambda pattern, name, step, i=i: F.when(F.col("line").rlike(pattern), F.struct(F.lit(i).alias("rule"), F.lit(step).alias("step"), F.lit(name).alias("mark")))
+            seen += [mark(rule.pattern, "match", 0), mark(rule.arm, "arm", 1)]
+    if not seen:
+        seen = [F.lit(None).cast("struct<rule:int,step:int,mark:string>")]
+    rows = lines.select(*keys, "line_no", "line", F.explode(F.array_compact(F.array(*seen))).alias("_m"))
+    return rows.select(*keys, "_m.rule", "line_no", "_m.step", "line", "_m.mark")
+
+
+def armed_events(lines: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("folder",), before: DataFrame | None = None, bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFrame]:
+    """(points, arming): points as ``extract_events`` gives them, of rules with and without ``arm``; and ``(keys, rule, mark)``.
+
+    A rule is armed where the last thing it saw is an arming line, so a log of any size is cut into blocks. ``before(keys,
+    rule, mark)`` is the arming that earlier lines left; the arming returned is that after these lines.
+    """
+    keys = list(keys)
+    free = [r for r in rules if r.arm is None]
+    marks = cut(rule_marks(lines, rules, keys))
+    judged = last_before(marks, [*keys, "rule"], ["line_no", "step"], block_of("line_no", bits), F.col("mark"), "_before", before)
+    hits = judged.where("mark = 'match' and _before = 'arm'")
+    parts = [capture_events(lines, [free], keys)] if free else []
+    for i, rule in enumerate(rules):
+        if rule.arm is not None:
+            parts.append(capture_events(hits.where(F.col("rule") == i), [[rule]], keys))
+    events = union_runs(parts)
+    after = marks.select(*keys, "rule", "line_no", "step", "mark").withColumn("_at", F.struct("line_no", "step"))
+    if before is not None:
+        first = before.select(*keys, "rule", F.lit(-1).cast("long").alias("line_no"), F.lit(0).alias("step"), "mark").withColumn("_at", F.struct("line_no", "step"))
+        after = after.unionByName(first)
+    return _number_events(cut(events), keys, bits), after.groupBy(*keys, "rule").agg(F.max_by("mark", "_at").alias("mark"))
+
+
 def extract_first(lines: DataFrame, rule: Rule, keys: Sequence[str] = ("folder",), explode_rows: bool = False) -> DataFrame:
     """Captures of the first matching line per log. With ``explode_rows``, list captures become rows."""
     captured = []

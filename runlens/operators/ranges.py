@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ def id_ranges(df: DataFrame, keys: Sequence[str], id_col: str, bits: int = DEFAU
     Ranges are found inside blocks of ``2**bits`` ids, so a group of any size is spread over many tasks.
     Only ranges that reach a block edge (at most two per block) are stitched per group.
     """
-    mask = (1 << bits) - 1
     ids = df.where(F.col(id_col).isNotNull()).select(*keys, F.col(id_col).cast("long").alias("_id")).distinct()
     local = (
         ids.withColumn(BLOCK, block_of("_id", bits))
@@ -29,6 +30,12 @@ def id_ranges(df: DataFrame, keys: Sequence[str], id_col: str, bits: int = DEFAU
         .agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
         .select(*keys, "lo", "hi")
     )
+    return _stitched(local, keys, bits)
+
+
+def _stitched(local: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """Join ranges that meet at the edge of a block of ``2**bits`` ids."""
+    mask = (1 << bits) - 1
     at_edge = (F.col("lo").bitwiseAND(mask) == 0) | (F.col("hi").bitwiseAND(mask) == mask)
     w = Window.partitionBy(*keys).orderBy("lo")
     starts = F.coalesce(F.lag("hi").over(w) < F.col("lo") - 1, F.lit(True))
@@ -43,6 +50,48 @@ def id_ranges(df: DataFrame, keys: Sequence[str], id_col: str, bits: int = DEFAU
     return local.where(~at_edge).unionByName(stitched)
 
 
+#: Ids of one bitmap: the length of Spark's bitmap aggregates.
+BITMAP_BITS = 15
+
+
+def id_bitmaps(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """Sets of ids as ``(keys, bucket, ids)``: one bitmap for every 2^15 ids of a group, built by partial aggregates.
+
+    Such tables are mergeable state: ``merge_bitmaps`` of their union is the set of all ids. NULL keys are keys.
+    """
+    known = df.where(F.col(id_col).isNotNull()).select(*keys, F.col(id_col).cast("long").alias("_id"))
+    bit = F.col("_id").bitwiseAND((1 << BITMAP_BITS) - 1)
+    return known.groupBy(*keys, F.shiftright("_id", BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("ids"))
+
+
+def merge_bitmaps(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return sets.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("ids").alias("ids"))
+
+
+def bitmap_size(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many ids each group's set holds."""
+    return sets.groupBy(*keys).agg(F.sum(F.bitmap_count("ids")).alias("n"))
+
+
+def _runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Runs of ones in each bitmap, as first and last bit."""
+    for bitmaps in batches:
+        out = []
+        for bits in bitmaps:
+            ones = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(np.int8)
+            edge = np.diff(np.r_[0, ones, 0])
+            out.append([{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1)])
+        yield pd.Series(out, dtype=object)
+
+
+def bitmap_ranges(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Maximal runs of consecutive ids per group, as ``lo``/``hi`` rows, read off the words of the bitmaps."""
+    runs = F.pandas_udf(_runs, "array<struct<lo:int,hi:int>>")
+    base = F.shiftleft("bucket", BITMAP_BITS)
+    each = sets.select(*keys, "bucket", F.explode(runs("ids")).alias("r"))
+    return _stitched(each.select(*keys, (base + F.col("r.lo")).alias("lo"), (base + F.col("r.hi")).alias("hi")), keys, BITMAP_BITS)
+
+
 def range_piece() -> Column:
     lo, hi = F.col("lo").cast("string"), F.col("hi").cast("string")
     return F.when(F.col("hi") > F.col("lo"), F.concat(lo, F.lit("-"), hi)).otherwise(lo)

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,3 +222,122 @@ def best_match(corr: DataFrame, last: DataFrame | None = None) -> DataFrame:
 def gram_matrix(features: DataFrame, column: str) -> DataFrame:
     """Inner products of all feature columns as (i, j, value), divided by the row count."""
     return cross_corr_sums(features, column, column).select("i", "j", (F.col("sxy") / F.col("n")).alias("value"))
+
+
+# ---- wide features ---------------------------------------------------------------------------------
+
+#: Columns of a tile, and rows whose tiles are multiplied at a time.
+TILE = 256
+TILE_ROWS = 8192
+
+
+def _stacked(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[list[np.ndarray]]:
+    """Some thousand rows at a time of several array columns, as matrices."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, TILE_ROWS):
+            part = batch.slice(i, TILE_ROWS)
+            held.append([part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1) for c in names])
+            rows += part.num_rows
+            if rows >= TILE_ROWS:
+                yield [np.concatenate(m) for m in zip(*held)]
+                held, rows = [], 0
+    if held:
+        yield [np.concatenate(m) for m in zip(*held)]
+
+
+def cross_corr_sums_tiled(features: DataFrame, left: str, right: str, tile: int = TILE) -> DataFrame:
+    """``cross_corr_sums`` for features of any width: a task holds some rows and one tile of the matrix, never all of it.
+
+    The products of a tile leave the task row by row and are added up by Spark, on the map side first.
+    """
+    sums = "sx double, sxx double, n long"
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, s in _stacked(batches, ("t", "s")):
+            for a in range(0, t.shape[1], tile):
+                for b in range(0, s.shape[1], tile):
+                    part = t[:, a : a + tile].T @ s[:, b : b + tile]
+                    rows = np.arange(a, a + len(part), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(len(part), b, dtype=np.int32)), pa.array(list(part), pa.list_(pa.float64()))], names=["i", "first", "sxy"])
+
+    def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in _stacked(batches, ("t", "s")):
+            for side, x in enumerate(pair):
+                at = np.arange(x.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), side, dtype=np.int32)), pa.array(at), pa.array(x.sum(0)), pa.array((x * x).sum(0)), pa.array(np.full(len(at), len(x), dtype=np.int64))],
+                    names=["side", "at", "sx", "sxx", "n"],
+                )
+
+    rows = features.select(F.col(left).alias("t"), F.col(right).alias("s")).where("t is not null and s is not null")
+    cells = rows.mapInArrow(products, "i int, first int, sxy array<double>").select("i", F.posexplode("sxy").alias("at", "sxy"), "first")
+    xy = cells.select("i", (F.col("first") + F.col("at")).cast("int").alias("j"), "sxy").groupBy("i", "j").agg(F.sum("sxy").alias("sxy"))
+    sides = rows.mapInArrow(marginals, f"side int, at int, {sums}").groupBy("side", "at").agg(F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx"), F.sum("n").alias("n"))
+    x = sides.where("side = 0").select(F.col("at").alias("i"), "sx", "sxx", "n")
+    y = sides.where("side = 1").select(F.col("at").alias("j"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
+    return xy.join(x, "i").join(y, "j").select("i", "j", "sxy", "sx", "sxx", "sy", "syy", "n")
+
+
+def cross_corr_tiled(features: DataFrame, left: str, right: str, tile: int = TILE) -> DataFrame:
+    return corr_from_sums(cross_corr_sums_tiled(features, left, right, tile))
+
+
+def _times(features: DataFrame, column: str, block: np.ndarray) -> np.ndarray:
+    """(rows' Gram matrix x block) / rows, in one pass: each task multiplies its rows twice and returns length x block."""
+    shared = features.sparkSession.sparkContext.broadcast(block)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, total, n = shared.value, 0.0, 0
+        for (x,) in _stacked(batches, ("x",)):
+            total, n = total + x.T @ (x @ q), n + len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64())), pa.array([n] * len(total), pa.int64())], names=["i", "y", "n"])
+
+    rows = features.select(F.col(column).alias("x")).where("x is not null")
+    cells = rows.mapInArrow(partial, "i int, y array<double>, n long")
+    sums = cells.groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(F.col("y")[c]).alias(f"y{c}") for c in range(block.shape[1])])
+    out = np.zeros_like(block)
+    for r in sums.collect():
+        out[r["i"]] = [r[f"y{c}"] / r["n"] for c in range(block.shape[1])]
+    shared.destroy()
+    return out
+
+
+def top_eigen(features: DataFrame, column: str, k: int = 4, tolerance: float = 1e-9, passes: int = 60) -> DataFrame:
+    """The k largest eigenvalues of the Gram matrix (over the row count) and unit eigenvectors: ``(rank, value, i, weight)``.
+
+    Block power iteration over the rows: each pass multiplies a block of vectors by the matrix without forming it. The blocks of
+    some passes together are a Krylov space in which Rayleigh-Ritz finds the pairs; it starts again from the best ones when it holds
+    ``8 k`` vectors. The first non-zero weight of a vector is positive. The driver holds blocks of length x ``8 k`` at most.
+    """
+    spark = features.sparkSession
+    first = features.where(F.col(column).isNotNull()).select(F.size(column).alias("d")).first()
+    schema = "rank int, value double, i int, weight double"
+    if first is None:
+        return spark.createDataFrame([], schema)
+    d = first["d"]
+    k = min(k, d)
+    width = min(d, k + 4)
+    block = np.linalg.qr(np.random.default_rng(3).normal(size=(d, width)))[0]
+    space, images = np.zeros((d, 0)), np.zeros((d, 0))
+    values, vectors = np.zeros(k), block[:, :k]
+    for _ in range(passes):
+        space, images = np.concatenate([space, block], axis=1), np.concatenate([images, _times(features, column, block)], axis=1)
+        small = space.T @ images
+        ritz, turn = np.linalg.eigh((small + small.T) / 2)
+        top = turn[:, ::-1][:, :width]
+        values, vectors, moved = ritz[::-1][:k], space @ top[:, :k], images @ top
+        residual = np.abs(moved[:, :k] - vectors * values).max()
+        if residual <= tolerance * max(values[0], 1e-300) or space.shape[1] >= d:
+            break
+        if space.shape[1] + width > max(8 * k, 2 * width):
+            space, images = space @ top, moved
+        new = moved - space @ (space.T @ moved)
+        new -= space @ (space.T @ new)
+        block, size = np.linalg.qr(new)
+        block = block[:, : min(width, d - space.shape[1])]
+    sign = [np.sign(v[np.flatnonzero(np.abs(v) > 1e-12)[0]]) if np.abs(v).max() > 1e-12 else 1.0 for v in vectors.T]
+    rows = [(r + 1, float(values[r]), i, float(vectors[i, r] * sign[r])) for r in range(k) for i in range(d)]
+    return spark.createDataFrame(rows, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,17 @@ def e05(spark, sf):
     return ranges.compact_ids(fx.jobs(spark, sf).where("state = 'FAILED'"), "job_id")
 
 
+@query("e05_bitmap_ids", f"""
+with base as (select p_status as g1, 0 as g2, run_id as id from v_trials), {ISLANDS}
+select g1 as p_status, lo, hi, (select count(distinct id) from base b where b.g1 = r.g1) as n from r""")
+def e05_bitmaps(spark, sf):
+    """Id ranges read off mergeable bitmaps, built from two halves as running state would be."""
+    t = fx.trials(spark, sf).select("p_status", "run_id", "p_seed")
+    halves = [ranges.id_bitmaps(t.where(c), ["p_status"], "run_id") for c in ("p_seed < '3'", "p_seed >= '2'")]
+    sets = ranges.merge_bitmaps(halves[0].unionByName(halves[1]), ["p_status"])
+    return ranges.bitmap_ranges(sets, ["p_status"]).join(ranges.bitmap_size(sets, ["p_status"]), "p_status")
+
+
 @query("e06_expand_ids", "select distinct job_id as id from v_jobs where state = 'PENDING'")
 def e06(spark, sf):
     pages = ranges.compact_ids(fx.jobs(spark, sf).where("state = 'PENDING'"), "job_id")
@@ -233,3 +245,40 @@ def h01(spark, sf):
         F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("p_segment"), F.lit("customers").alias("sweep")
     )
     return reduce.union_runs([a, b])
+
+
+class Skewness(groups.Aggregate):
+    """Count, mean and central moments, merged by the pairwise formulas."""
+
+    def init(self):
+        return 0, 0.0, 0.0, 0.0
+
+    def update(self, state, values):
+        v = values[~np.isnan(values)]
+        if not len(v):
+            return state
+        d = v - v.mean()
+        return self.merge(state, (len(v), float(v.mean()), float((d * d).sum()), float((d * d * d).sum())))
+
+    def merge(self, a, b):
+        n = a[0] + b[0]
+        if not n:
+            return a
+        d = b[1] - a[1]
+        squares = a[2] + b[2] + d * d * a[0] * b[0] / n
+        cubes = a[3] + b[3] + d**3 * a[0] * b[0] * (a[0] - b[0]) / n**2 + 3 * d * (a[0] * b[2] - b[0] * a[2]) / n
+        return n, a[1] + d * b[0] / n, squares, cubes
+
+    def finish(self, state):
+        return state[3] / state[0] / (state[2] / state[0]) ** 1.5 if state[2] else None
+
+
+@query("k05_merge_aggregate", """
+with g as (select metric, case when run_id % 3 = 0 then 'hot' else 'r' || run_id % 50 end as grp, value from v_points),
+m as (select metric, grp, avg(value) as a from g group by all)
+select metric, grp, round(avg(power(value - a, 3)) / power(avg(power(value - a, 2)), 1.5), 6) as skew from g join m using (metric, grp) group by all""")
+def k05(spark, sf):
+    """A user's aggregate as partial states, with a third of all rows under one key."""
+    key = F.when(F.col("run_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("run_id") % 50).cast("string")))
+    rows = fx.points(spark, sf).withColumn("grp", key)
+    return groups.group_merge(rows, ["metric", "grp"], ["value"], "skew", Skewness()).withColumns(r6("skew"))

@@ -99,3 +99,20 @@ with d as (select len(embedding) as n from embeddings limit 1), i as (select unn
 select i.i::int as i, j.j::int as j, round(avg(embedding[i.i + 1]::double * embedding[j.j + 1]::double), 6) as value from embeddings, i, j group by all""")
 def e20(spark, sf):
     return stats.gram_matrix(fx.features(spark, sf), "embedding").withColumns(r6("value"))
+
+
+@query("e18_tiles", f"with {_corr_sql('c', 32)} select i, j, n, round(r, 6) as r, round(t_norm, 6) as t_norm, round(s_norm, 6) as s_norm from c")
+def e18_tiles(spark, sf):
+    """The same correlations tile by tile, as for features too wide for one matrix in a task."""
+    return stats.cross_corr_tiled(halves(spark, sf), "teacher", "student", tile=10).withColumns(r6("r", "t_norm", "s_norm"))
+
+
+# trace and squared norm of the matrix are its eigenvalues' sum and sum of squares: SQL can check the whole spectrum by them
+@query("e20_top_eigen", """
+with d as (select len(embedding) as n from embeddings limit 1), i as (select unnest(range((select n from d)::int)) as i), j as (select i as j from i),
+g as (select i.i, j.j, avg(embedding[i.i + 1]::double * embedding[j.j + 1]::double) as v from embeddings, i, j group by all)
+select round(sum(v) filter (i = j), 6) as total, round(sum(v * v), 6) as squares, count(*) filter (i = j) as n from g""")
+def e20_top(spark, sf):
+    n = fx.features(spark, sf).select(F.size("embedding")).first()[0]
+    values = stats.top_eigen(fx.features(spark, sf), "embedding", n).select("rank", "value").distinct()
+    return values.agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("squares"), F.count(F.lit(1)).alias("n"))

@@ -12,9 +12,11 @@ from runlens.operators import groups, stats, topk
 from runlens.operators.reduce import wide_metrics
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog_jobs import JOB_FIELDS, job_table
+from runlens.plans.catalog_logs import FIELDS, VALUE
 from runlens.plans.catalog_reduce import BEST, LEADERBOARD, METRICS, r6
 from runlens.plans.catalog_stats import VALUE_STATS, _corr_sql, arrivals, halves
 from runlens.plans.registry import query
+from runlens.plans.spec import Capture, Rule
 from runlens.session import cut, work_dir
 from runlens.streaming import jobs as live_jobs
 from runlens.streaming import points as live_points
@@ -46,6 +48,53 @@ def j01(spark, sf):
     return live_jobs.read_finished(spark, f"{base}/out")
 
 
+@query("j01_recent_jobs", """
+select job_id, case when state = 'PENDING' then 'COMPLETED' else state end as state, case when state = 'PENDING' then 'finished' else 'retry' end as action,
+       state = 'PENDING' and modified_at < timestamp '1994-01-01' as late
+from v_jobs join v_trials on run_id = job_id where state <> 'RUNNING'""")
+def j01_recent(spark, sf):
+    """Jobs of two years are remembered; what ended before that and comes late is told apart and changes nothing."""
+    base = work_dir(spark, "j01r")
+    j = fx.jobs(spark, sf).join(fx.trials(spark, sf).select(F.col("run_id").alias("job_id"), F.col("modified_at").cast("timestamp").alias("at")), "job_id")
+    rows = lambda cond, state, seq: j.where(cond).select("job_id", state.alias("state"), F.lit(seq).cast("long").alias("seq"), "at")
+    clock = j.select(F.lit(-1).cast("long").alias("job_id"), F.lit("RUNNING").alias("state"), F.lit(0).cast("long").alias("seq"), F.lit("1996-01-01").cast("timestamp").alias("at")).limit(1)
+    done = F.lit("COMPLETED")
+    parts = [
+        rows("state <> 'PENDING' and at < '1996-01-01'", F.col("state"), 1).unionByName(clock),
+        rows("state <> 'PENDING'", F.col("state"), 2).unionByName(rows("state = 'PENDING'", done, 2)).where("at < '1996-01-01' or state <> 'RUNNING'"),
+        rows("state = 'FAILED' and at >= '1998-06-01'", done, 3),
+    ]
+    feed(spark, base, parts, lambda s: live_jobs.track_recent_jobs(s, "730 days", f"{base}/out", f"{base}/cp"))
+    finished, late = live_jobs.read_recent(spark, f"{base}/out")
+    lost = late.join(finished.select("job_id"), "job_id", "left_anti").select("job_id", "state", F.lit("finished").alias("action"), F.lit(True).alias("late"))
+    return finished.select("job_id", "state", "action", F.lit(False).alias("late")).unionByName(lost)
+
+
+ARMED = (
+    Rule(rf"\[view\] step=(\d+) {VALUE}", (Capture("view_value", 2),), arm=r"^\[click\]"),
+    Rule(rf"\[purchase\] step=(\d+) {VALUE}", (Capture("bought", 2),)),
+)
+
+
+@query("j03_live_logs", f"""
+with {FIELDS}, k as (select *, lag(event_type) over (partition by folder order by line_no) as before from f where event_type in ('view', 'click')),
+p as (select folder, 'view_value' as metric, line_no, val from k where event_type = 'view' and before = 'click'
+      union all select folder, 'bought', line_no, val from f where event_type = 'purchase'),
+r as (select *, row_number() over (partition by folder, metric order by line_no) - 1 as pos from p),
+o as (select *, row_number() over (partition by folder, metric order by val desc, pos desc) as rk from r)
+select folder::varchar as folder, metric, round(avg(val) filter (rk <= 5), 6) as topk_mean, max(val) filter (rk = 1) as best, max(pos) filter (rk = 1) as best_idx, count(*) as len
+from o group by folder, metric""")
+def j03_logs(spark, sf):
+    """Logs grow in three steps; every fifth one holds other lines first and is started again in the second step."""
+    base = work_dir(spark, "j03l")
+    rows = cut(fx.log_lines(spark, sf).select(F.col("folder").cast("string").alias("folder"), F.col("line_no").alias("offset"), "line"))
+    again, early, middle = F.col("folder").cast("long") % 5 == 0, F.col("offset") < 10, F.col("offset") < 25
+    first = rows.where(middle & again).withColumn("line", F.concat(F.lit("[click]"), F.regexp_replace("line", r"value=", "value=9"))).unionByName(rows.where(early & ~again))
+    parts = [first, rows.where(middle & (again | ~early)), rows.where(~middle)]
+    feed(spark, base, parts, lambda s: live_points.live_logs(s, ARMED, f"{base}/out", f"{base}/cp", BEST))
+    return live_points.read_live_logs(spark, f"{base}/out", BEST).withColumns(r6("topk_mean"))
+
+
 @query("j03_live_leaderboard", LEADERBOARD)
 def j03(spark, sf):
     base = work_dir(spark, "j03")

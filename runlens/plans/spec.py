@@ -29,10 +29,14 @@ class Capture:
 
 @dataclass(frozen=True)
 class Rule:
-    """A regular expression (searched, not anchored) and the values a match yields."""
+    """A regular expression (searched, not anchored) and the values a match yields.
+
+    With ``arm``, a match only counts if a line that matches ``arm`` came after the match before it.
+    """
 
     pattern: str
     captures: Sequence[Capture]
+    arm: str | None = None
 
 
 @dataclass(frozen=True)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from runlens.operators.logs import armed_events
 from runlens.operators.reduce import best_points, from_best_points, merge_best_points
 from runlens.operators.stats import CORR_STATE, cross_corr_sums, merge_corr_sums, value_stats
 from runlens.operators.topk import assign_slots, kept_slots, topk_admission
-from runlens.plans.spec import MetricOptions
+from runlens.plans.spec import MetricOptions, Rule
 from runlens.streaming.core import BATCH, SNAPSHOT, latest, prune, read_before, read_state, since_snapshot, start, write_batch, write_state
 
 REFRESH = "60 seconds"
@@ -44,6 +45,57 @@ def live_leaderboard(
     return start(points, process, checkpoint, every)
 
 
+ARMS_SCHEMA = "folder string, rule int, mark string"
+LOG_BOARD_SCHEMA = "folder string, metric string, top array<struct<pos:bigint,value:double>>, len bigint"
+
+
+def live_logs(
+    lines: DataFrame, rules: Sequence[Rule], out: str, checkpoint: str, default: MetricOptions = MetricOptions(),
+    options: dict[str, MetricOptions] | None = None, every: str | None = None,
+) -> StreamingQuery:
+    """A leaderboard fed from logs that still grow: ``lines(folder, offset, line)``, as ``format("sweep")`` streams them.
+
+    The state of a log is the arming of its rules and, per metric, its length and best points; lines read before are
+    not read again. A line at offset 0 means that its log was started (again): what was known of the log is dropped.
+    """
+    keys = ["folder", "metric"]
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("folder", F.col("offset").alias("line_no"), "line")
+        begun = rows.where("line_no = 0").select("folder").distinct()
+        board = read_state(spark, f"{out}/board", LOG_BOARD_SCHEMA, keys, batch_id)
+        arms = read_state(spark, f"{out}/arms", ARMS_SCHEMA, ["folder", "rule"], batch_id)
+        touched = rows.select("folder").distinct()
+        going = arms.join(touched, "folder", "left_semi").join(begun, "folder", "left_anti")
+        points, arming = armed_events(rows, rules, before=going)
+        known = board.join(begun, "folder", "left_anti")
+        points = points.select("folder", F.col("key").alias("metric"), "pos", "value").join(known.select(*keys, F.col("len").alias("_len")), keys, "left")
+        points = points.select(*keys, (F.col("pos") + F.coalesce("_len", F.lit(0))).alias("pos"), "value")
+        best = best_points(points, default, options, ["folder"])
+        write_batch(best, f"{out}/_fresh", batch_id)
+        prune(spark, f"{out}/_fresh", batch_id)
+        fresh = spark.read.schema(best.schema).parquet(f"{out}/_fresh/{BATCH}={batch_id}")
+        old = known.join(fresh.select(*keys), keys, "left_semi").select(*keys, "top", "len")
+        changed = merge_best_points(old.unionByName(fresh), default, options, ["folder"])
+        # series of a log that was started again and has none of their points yet
+        gone = board.join(begun, "folder", "left_semi").join(fresh.select(*keys), keys, "left_anti")
+        empty = gone.select(*keys, F.array().cast("array<struct<pos:bigint,value:double>>").alias("top"), F.lit(0).cast("long").alias("len"))
+        write_state(changed.unionByName(empty), board, f"{out}/board", keys, batch_id)
+        dropped = arms.join(begun, "folder", "left_semi").join(arming.select("folder", "rule"), ["folder", "rule"], "left_anti").select("folder", "rule", F.lit("match").alias("mark"))
+        write_state(arming.unionByName(dropped), arms, f"{out}/arms", ["folder", "rule"], batch_id)
+
+    return start(lines, process, checkpoint, every)
+
+
+def read_live_logs(
+    spark, out: str, default: MetricOptions = MetricOptions(), options: dict[str, MetricOptions] | None = None
+) -> DataFrame:
+    """Current reduction of each log and metric."""
+    state = read_state(spark, f"{out}/board", LOG_BOARD_SCHEMA, ["folder", "metric"]).where("len > 0")
+    return from_best_points(state, default, options, ["folder"])
+
+
 def read_leaderboard(
     spark, out: str, default: MetricOptions = MetricOptions(), options: dict[str, MetricOptions] | None = None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.operators import blocks
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, block_of, with_blocks
 from runlens.operators.keys import join_keys
 from runlens.operators.reduce import clean
@@ -50,23 +51,33 @@ def topk_admission(
         raise ValueError("k must be at least 1")
     names = [f"_best{m}" for m in range(k)]
     rows = points.select(*keys, F.col("pos").cast("long").alias("pos"), clean("value").alias("value")).where("value is not null")
-    rows = _in_blocks(rows, keys, bits, hot_rows)
-    seeds = _entering(rows, k, keys, kept_before)
+    rows, any_cut = _in_blocks(rows, keys, bits, hot_rows)
+    seeds = _entering(rows, k, keys, kept_before, any_cut)
     order = Window.partitionBy(*keys, BLOCK).orderBy("pos")
     seeded = rows.select(*keys, BLOCK, "pos", "value").unionByName(seeds)
     # the order among a block's seeds does not matter: no result is read from them
-    out = _running_best(seeded, k, order, names).where("pos >= 0")
+    out = _running_best(seeded if any_cut or kept_before is not None else rows.select(*keys, BLOCK, "pos", "value"), k, order, names).where("pos >= 0")
     worst = F.col(names[-1])
     return out.select(*keys, "pos", "value", (worst.isNull() | (F.col("value") > worst)).alias("admitted"), worst.alias("worst"))
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], bits: int, hot_rows: int | None) -> DataFrame:
-    """Block numbers of huge series; -1 stands for a series that is not cut, -2 for scores kept earlier."""
-    return with_blocks(rows, keys, block_of("pos", bits), hot_rows).withColumn(BLOCK, F.coalesce(BLOCK, F.lit(-1).cast("long")))
+def _in_blocks(rows: DataFrame, keys: list[str], bits: int, hot_rows: int | None) -> tuple[DataFrame, bool]:
+    """Block numbers of huge series, and whether there are any: -1 stands for a series that is not cut, -2 for scores kept earlier.
+
+    A table with no more rows than a huge series has is not searched for one.
+    """
+    most = blocks.HOT_ROWS if hot_rows is None else hot_rows
+    if rows.limit(most + 1).count() <= most:
+        return rows.withColumn(BLOCK, F.lit(-1).cast("long")), False
+    return with_blocks(rows, keys, block_of("pos", bits), hot_rows).withColumn(BLOCK, F.coalesce(BLOCK, F.lit(-1).cast("long"))), True
 
 
-def _entering(rows: DataFrame, k: int, keys: list[str], kept_before: DataFrame | None) -> DataFrame:
+def _entering(rows: DataFrame, k: int, keys: list[str], kept_before: DataFrame | None, any_cut: bool) -> DataFrame:
     """The scores kept when a block begins, as rows ``(keys, block, pos = -1, value)``, from at most k rows of each earlier block."""
+    if not any_cut:
+        first = F.lit(-1).cast("long")
+        none = rows.limit(0).select(*keys, BLOCK, "pos", "value")
+        return none if kept_before is None else kept_before.select(*keys, first.alias(BLOCK), first.alias("pos"), F.col("value").cast("double"))
     names = [f"_best{m}" for m in range(k)]
     rank = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(F.desc("value"), "pos"))
     read = rows if kept_before is not None else rows.where(F.col(BLOCK) >= 0)
@@ -165,16 +176,18 @@ def _whole_groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterato
 
 def assign_slots(
     admitted: DataFrame, k: int, keys: Sequence[str] = ("run_id", "metric"), kept_before: DataFrame | None = None,
-    bits: int = DEFAULT_BITS, hot_rows: int | None = None,
+    bits: int = DEFAULT_BITS, hot_rows: int | None = None, few: bool = False,
 ) -> DataFrame:
     """Slot each admitted score is stored in: slots fill from 0, then the worst one is reused (lowest slot on ties).
 
     Takes admitted rows only. ``kept_before(keys, slot, value)`` holds the slots as earlier data left them. A huge series is cut into
     blocks: each says where its slots come from in terms of the slots it starts with, these few rows are chained per
-    series, and the rows look their slot up. A NULL key is a series.
+    series, and the rows look their slot up. A NULL key is a series. With ``few`` the caller vouches that there is no
+    huge series, and none is looked for.
     """
     keys = list(keys)
-    rows = _in_blocks(admitted.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value")), keys, bits, hot_rows)
+    rows = admitted.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+    rows, any_cut = (rows.withColumn(BLOCK, F.lit(-1).cast("long")), False) if few else _in_blocks(rows, keys, bits, hot_rows)
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in admitted.select(*keys).schema.fields)
     uncut = rows.where(F.col(BLOCK) == -1).select(*keys, "pos", "value", F.lit(None).cast("int").alias("old_slot"))
     if kept_before is not None:
@@ -189,11 +202,11 @@ def assign_slots(
     ordered = uncut.repartition(*keys).sortWithinPartitions(*keys, "pos", "old_slot")
     out = ordered.mapInPandas(place, f"{key_fields}, pos long, value double, slot int")
     parts = rows.where(F.col(BLOCK) >= 0)
-    return out if parts.isEmpty() else out.unionByName(_slots_in_blocks(parts, k, keys, kept_before, key_fields))
+    return out if not any_cut or parts.isEmpty() else out.unionByName(_slots_in_blocks(parts, k, keys, kept_before, key_fields))
 
 
 def _slots_in_blocks(rows: DataFrame, k: int, keys: list[str], kept_before: DataFrame | None, key_fields: str) -> DataFrame:
-    seeded = rows.select(*keys, BLOCK, "pos", "value").unionByName(_entering(rows, k, keys, kept_before).where(F.col(BLOCK) >= 0))
+    seeded = rows.select(*keys, BLOCK, "pos", "value").unionByName(_entering(rows, k, keys, kept_before, True).where(F.col(BLOCK) >= 0))
     by = [*keys, BLOCK]
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,11 +233,11 @@ def _slots_in_blocks(rows: DataFrame, k: int, keys: list[str], kept_before: Data
         trace, f"{fields}, pos long, value double, register int, sorts array<array<int>>, kept array<int>, kept_values array<double>"
     )
     traced = cut(traced)
-    blocks = traced.where("pos is null").select(*by, "sorts", "kept", "kept_values", F.lit(None).cast("int").alias("slot"))
+    summary = traced.where("pos is null").select(*by, "sorts", "kept", "kept_values", F.lit(None).cast("int").alias("slot"))
     if kept_before is not None:
         old = kept_before.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("value").cast("double").alias("value"), F.col("slot").cast("int").alias("slot")))).alias("_o"))
         none = F.lit(None).cast("array<array<int>>")
-        blocks = blocks.unionByName(old.select(*keys, F.lit(-2).cast("long").alias(BLOCK), none.alias("sorts"), F.transform("_o", lambda o: o["slot"]).alias("kept"), F.transform("_o", lambda o: o["value"]).alias("kept_values"), F.lit(None).cast("int").alias("slot")))
+        summary = summary.unionByName(old.select(*keys, F.lit(-2).cast("long").alias(BLOCK), none.alias("sorts"), F.transform("_o", lambda o: o["slot"]).alias("kept"), F.transform("_o", lambda o: o["value"]).alias("kept_values"), F.lit(None).cast("int").alias("slot")))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The registers' slots, block after block; only the slots kept go from one to the next."""
@@ -249,7 +262,7 @@ def _slots_in_blocks(rows: DataFrame, k: int, keys: list[str], kept_before: Data
                 last = tuple(pdf.iloc[-1][keys])
             yield pdf.iloc[[i for i, _ in out]][by].assign(registers=[r for _, r in out])
 
-    found = blocks.repartition(*keys).sortWithinPartitions(*by).mapInPandas(chain, f"{fields}, registers array<int>")
+    found = summary.repartition(*keys).sortWithinPartitions(*by).mapInPandas(chain, f"{fields}, registers array<int>")
     looked_up = join_keys(traced.where("pos is not null").select(*by, "pos", "value", "register"), found, by)
     return looked_up.select(*keys, "pos", "value", F.get("registers", F.col("register")).alias("slot"))
 

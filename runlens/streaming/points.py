@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from runlens.operators.blocks import HOT_ROWS
 from runlens.operators.logs import armed_events
 from runlens.operators.reduce import best_points, from_best_points, merge_best_points
 from runlens.operators.stats import CORR_STATE, cross_corr_sums, merge_corr_sums, value_stats
@@ -161,7 +162,8 @@ def live_topk(points: DataFrame, k: int, out: str, checkpoint: str, every: str |
         if kept is not None:
             kept = kept.join(batch.select(*keys).distinct(), keys, "left_semi")
         flagged = topk_admission(batch, k, keys, kept_before=kept)
-        slotted = assign_slots(flagged.where("admitted"), k, keys, kept)
+        few = batch.limit(HOT_ROWS + 1).count() <= HOT_ROWS
+        slotted = assign_slots(flagged.where("admitted"), k, keys, kept, few=few)
         write_batch(slotted, f"{out}/admitted", batch_id)
         slotted = read_before(spark, f"{out}/admitted", slotted.schema).where(F.col(BATCH) == batch_id)
         now = kept_slots(slotted, keys, kept).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("slots"))

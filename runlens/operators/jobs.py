@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions.columns import decode_comment, encode_comment, json_field
 from runlens.operators.config import RERUN, filter_active
 from runlens.operators.logs import tracking_url
+from runlens.operators.patterns import match_patterns, parse_patterns
 
 # Options recognised in a submit line.
 COMMENT = r"--comment=([^ ]+)"
@@ -99,10 +100,9 @@ def apply_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame, std
     """Actions asked for by ``commands(name, arg)``: refresh, and cancel or find by ids, regex or tracking URL.
 
     Returns ``(job_id, action)`` with action ``track``, ``cancel`` or ``find``; a command that isn't known gives a row
-    without a job and with action ``unknown``. URLs are a column ``url`` of ``jobs``, or are read off the jobs' error logs
+    without a job and with action ``unknown``, a pattern that cannot be read one with action ``invalid``. URLs are a column ``url`` of ``jobs``, or are read off the jobs' error logs
     ``stderr(job_id, line_no, line)``; URL commands without either are an error. Commands are split by the
-    kind of lookup so that ids and URLs are equi-joins. A pattern list is checked line by line against each
-    job (any match of the alternatives), as a filter rather than a join.
+    kind of lookup so that ids and URLs are equi-joins, and patterns find their candidates by one (``match_patterns``).
     """
     watched = jobs.join(tracked.select("job_id"), "job_id", "left_semi")
     if stderr is not None:
@@ -128,14 +128,12 @@ def apply_commands(commands: DataFrame, jobs: DataFrame, tracked: DataFrame, std
         refuse = F.raise_error(F.lit("URL commands need the jobs' URLs or error logs")).cast("long")
         by_url = urls.select(refuse.alias("job_id"), "action")
 
-    patterns = kind("regex").groupBy("action").agg(F.collect_set("arg").alias("_res"))
-    regexes = {a: patterns.where(F.col("action") == a).select("_res").scalar() for a in ("cancel", "find")}
-    by_regex = None
-    for action, found in regexes.items():
-        hit = watched.withColumn("_res", found).where(F.exists("_res", lambda p: F.rlike("submit_line", p)))
-        part = hit.select("job_id", F.lit(action).alias("action"))
-        by_regex = part if by_regex is None else by_regex.unionByName(part)
-    parts = [by_id.select("job_id", "action"), by_url, by_regex, unknown]
+    patterns = kind("regex").select("action", F.col("arg").alias("pattern"))
+    parsed = parse_patterns(patterns)
+    found = match_patterns(watched, "submit_line", ["job_id"], parsed)
+    by_regex = found.join(patterns.distinct(), "pattern").select("job_id", "action")
+    invalid = parsed.where("not valid").select(F.lit(None).cast("long").alias("job_id"), F.lit("invalid").alias("action"))
+    parts = [by_id.select("job_id", "action"), by_url, by_regex, unknown, invalid]
     for part in parts:
         track = track.unionByName(part)
     return track.distinct()

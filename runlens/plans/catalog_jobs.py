@@ -226,3 +226,17 @@ def j07(spark, sf):
     )
     tracked = fx.trials(spark, sf).where("p_seed = '1'").select(F.col("run_id").alias("job_id"))
     return jobs.apply_commands(commands, job_table(spark, sf), tracked)
+
+
+@query("j07_many_patterns", """
+select job_id, 'cancel' as action from v_jobs where job_id % 2 = 0 and job_id // 2 in (select o_orderkey from orders)
+union all select null, 'invalid'""")
+def j07_many(spark, sf):
+    """A pattern per order against all jobs, and one that cannot be read."""
+    named = job_table(spark, sf).withColumn("submit_line", F.concat("submit_line", F.lit(" --name=n"), F.lpad(F.col("job_id").cast("string"), 12, "0")))
+    wanted = F.concat(F.lit("--name=n"), F.lpad((F.col("o_orderkey") * 2).cast("string"), 12, "0"), F.lit("( |$)"))
+    names = F.concat(F.lit("sh .*"), wanted)
+    patterns = fx.table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, names).otherwise(wanted).alias("arg"))
+    broken = patterns.limit(1).select(F.lit("--name=(").alias("arg"))
+    commands = patterns.unionByName(broken).select(F.lit("cancel_regex").alias("name"), "arg")
+    return jobs.apply_commands(commands, named, named)

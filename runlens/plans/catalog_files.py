@@ -12,11 +12,11 @@ from runlens.plans import fixtures as fx
 from runlens.plans.catalog_jobs import JOB_FIELDS
 from runlens.plans.catalog_logs import ANY, FIELDS, VALUE, VIEW
 from runlens.plans.catalog_reduce import BEST, LEADERBOARD, board, e03, r6
-from runlens.plans.ingest import ingest, ingest_folder, with_config
+from runlens.plans.ingest import ingest, ingest_again, ingest_folder, with_config
 from runlens.plans.registry import query
 from runlens.plans.report import reduce_by_spec, report
 from runlens.plans.spec import Capture, ResultGroup, Rule, SweepSpec
-from runlens.session import work_dir
+from runlens.session import cut, work_dir
 from runlens.sources import accounting, summaries, sweep_source, sweeps
 
 
@@ -48,37 +48,40 @@ def a02(spark, sf):
 
 
 def turn_tree(spark, sf) -> str:
-    """A run folder per conversation with its log, one turn a line, and an override file that holds who speaks last."""
+    """A run folder for every 64 conversations with its log, one turn a line, and an override file that holds who speaks last."""
     root = work_dir(spark, "turns")
-    chat = fx.chat(spark, sf)
-    log = chat.select(F.lit("log").alias("kind"), "file", "line_no", F.concat_ws("|", F.coalesce("role", F.lit("")), F.coalesce(F.length("text"), F.lit(0)).cast("string")).alias("line"))
-    last = chat.groupBy("file").agg(F.max_by("role", "line_no").alias("role"), F.count(F.lit(1)).alias("n"))
+    chat = fx.chat(spark, sf).withColumn("run", F.expr("file div 64"))
+    log = chat.select(F.lit("log").alias("kind"), "run", "file", "line_no", F.concat_ws("|", "file", F.coalesce("role", F.lit("")), F.coalesce(F.length("text"), F.lit(0)).cast("string")).alias("line"))
+    last = chat.groupBy("run").agg(F.max_by("role", F.struct("file", "line_no")).alias("role"), F.count(F.lit(1)).alias("n"))
     items = F.posexplode(F.array(F.concat(F.lit("- last="), "role"), F.concat(F.lit("- 'turns="), "n", F.lit("' # counted")))).alias("line_no", "line")
-    config = last.select(F.lit("conf").alias("kind"), "file", items)
-    rows = log.unionByName(config).repartition("file").sortWithinPartitions("file", "kind", "line_no")
-    rows.select("file", "kind", "line").write.partitionBy("file", "kind").text(f"{root}/runs")
+    config = last.select(F.lit("conf").alias("kind"), "run", F.lit(0).cast("long").alias("file"), items)
+    rows = log.unionByName(config).repartition("run").sortWithinPartitions("run", "kind", "file", "line_no")
+    rows.select("run", "kind", "line").write.partitionBy("run", "kind").text(f"{root}/runs")
     return f"{root}/runs"
 
 
 TURN_LOGS = {"logs": "kind=log/*.txt", "overrides": "kind=conf/*.txt"}
+TURNS = """
+t as (select file // 64 as run, file, line_no, role, file || '|' || coalesce(role, '') || '|' || coalesce(length(text), 0) as line from v_chat)"""
 
 
-@query("a01_source", "select file, count(*) as n_lines, sum(length(coalesce(role, '') || '|' || coalesce(length(text), 0)) + 1)::bigint as n_chars from v_chat group by file")
+@query("a01_source", f"with {TURNS} select run, count(*) as n_lines, sum(length(line) + 1)::bigint as n_chars from t group by run")
 def a01_source(spark, sf):
     """Runs of a sweep folder by the data source, with what their logs hold."""
     lines = sweep_source.sweep_lines(spark, turn_tree(spark, sf), **TURN_LOGS)
-    file = F.regexp_extract("folder", r"file=(\d+)$", 1).cast("long").alias("file")
-    return lines.groupBy(file).agg(F.count(F.lit(1)).alias("n_lines"), (F.max("offset") + F.max_by(F.length("line"), "offset") + 1).alias("n_chars"))
+    run = F.regexp_extract("folder", r"run=(\d+)$", 1).cast("long").alias("run")
+    return lines.groupBy(run).agg(F.count(F.lit(1)).alias("n_lines"), (F.max("offset") + F.max_by(F.length("line"), "offset") + 1).alias("n_chars"))
 
 
-@query("a02_source_pushed", """
-select file, row_number() over (partition by file order by line_no) - 1 as line_no, coalesce(role, '') || '|' || coalesce(length(text), 0) as line, count(*) over (partition by file)::varchar as turns
-from v_chat qualify last_value(role) over (partition by file order by line_no rows between unbounded preceding and unbounded following) = 'user'""")
+@query("a02_source_pushed", f"""
+with {TURNS}
+select run, row_number() over (partition by run order by file, line_no) - 1 as line_no, line, count(*) over (partition by run)::varchar as turns
+from t qualify last_value(role) over (partition by run order by file, line_no rows between unbounded preceding and unbounded following) = 'user'""")
 def a02_source(spark, sf):
     """Lines of the runs with one override; logs of other runs are not opened."""
     lines = sweep_source.sweep_lines(spark, turn_tree(spark, sf), params="last,turns", **TURN_LOGS).where("override_last = 'user'")
-    file = F.regexp_extract("folder", r"file=(\d+)$", 1).cast("long").alias("file")
-    return sweep_source.numbered(lines).select(file, "line_no", "line", F.col("override_turns").alias("turns"))
+    run = F.regexp_extract("folder", r"run=(\d+)$", 1).cast("long").alias("run")
+    return sweep_source.numbered(lines).select(run, "line_no", "line", F.col("override_turns").alias("turns"))
 
 
 @query("k04_load_runs", "select file, count(*) as n_lines from v_chat group by file")
@@ -129,6 +132,28 @@ def a12(spark, sf):
     return spark.read.parquet(out).drop("signature")
 
 
+@query("k01_ingest_again", f"""
+with {FIELDS},
+e as (select folder, 'step' as metric, line_no, step as value from f where event_type = 'view'
+      union all select folder, 'view_value', line_no, val from f where event_type = 'view' union all select folder, 'value', line_no, val from f)
+select folder, metric, row_number() over (partition by folder, metric order by line_no) - 1 as pos, value from e""")
+def k01_again(spark, sf):
+    """Two thirds of the runs are ingested, some of them with other lines; then all logs are there and the changed ones are read again."""
+    root, out = work_dir(spark, "k01a"), work_dir(spark, "k01a-out")
+    log = cut(fx.log_lines(spark, sf).select("folder", "line_no", "line"))
+    spec = SweepSpec(result_groups={"view": ResultGroup("event", [VIEW]), "any": ResultGroup("event", [ANY])}, default_result_group=["view", "any"])
+
+    def put(rows):
+        ordered = rows.repartition("folder").sortWithinPartitions("folder", "line_no").select("folder", "line")
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").text(f"{root}/runs")
+
+    put(log.where("folder % 3 <> 0").withColumn("line", F.when(F.col("folder") % 5 == 0, F.concat("line", F.lit("9"))).otherwise(F.col("line"))))
+    ingest_again(spark, f"{root}/runs", spec, out, logs="*.txt")
+    put(log.where("folder % 3 = 0 or folder % 5 = 0"))
+    found = ingest_again(spark, f"{root}/runs", spec, out, logs="*.txt")
+    return found.select(F.regexp_extract("folder", r"folder=(\d+)$", 1).cast("long").alias("folder"), "metric", "pos", "value")
+
+
 @query("k01_ingest_events", f"""
 with {FIELDS},
 m as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by folder order by line_no) as sec from f),

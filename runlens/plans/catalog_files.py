@@ -48,9 +48,9 @@ def a02(spark, sf):
 
 
 def turn_tree(spark, sf) -> str:
-    """A run folder for every 64 conversations with its log, one turn a line, and an override file that holds who speaks last."""
+    """A run folder for every 16 conversations with its log, one turn a line, and an override file that holds who speaks last."""
     root = work_dir(spark, "turns")
-    chat = fx.chat(spark, sf).withColumn("run", F.expr("file div 64"))
+    chat = fx.chat(spark, sf).withColumn("run", F.expr("file div 16"))
     log = chat.select(F.lit("log").alias("kind"), "run", "file", "line_no", F.concat_ws("|", "file", F.coalesce("role", F.lit("")), F.coalesce(F.length("text"), F.lit(0)).cast("string")).alias("line"))
     last = chat.groupBy("run").agg(F.max_by("role", F.struct("file", "line_no")).alias("role"), F.count(F.lit(1)).alias("n"))
     items = F.posexplode(F.array(F.concat(F.lit("- last="), "role"), F.concat(F.lit("- 'turns="), "n", F.lit("' # counted")))).alias("line_no", "line")
@@ -62,7 +62,7 @@ def turn_tree(spark, sf) -> str:
 
 TURN_LOGS = {"logs": "kind=log/*.txt", "overrides": "kind=conf/*.txt"}
 TURNS = """
-t as (select file // 64 as run, file, line_no, role, file || '|' || coalesce(role, '') || '|' || coalesce(length(text), 0) as line from v_chat)"""
+t as (select file // 16 as run, file, line_no, role, file || '|' || coalesce(role, '') || '|' || coalesce(length(text), 0) as line from v_chat)"""
 
 
 @query("a01_source", f"with {TURNS} select run, count(*) as n_lines, sum(length(line) + 1)::bigint as n_chars from t group by run")

@@ -86,7 +86,7 @@ def test_run_against_plain_python(spark, sf, tmp_path, monkeypatch):
     texts = [{r["doc_id"]: r["text"] for r in t.select("doc_id", "text").collect()} for t in (spark.read.parquet(f"{tmp_path}/documents.parquet"), *seen)]
     gone = set(texts[0]) - set(texts[1])
     judged = [d for d in texts[0] if d in labels]
-    assert sum((labels[d] == 1) == (d in gone) for d in judged) >= 0.97 * len(judged) and not gone & {10_001, 10_002, 10_003}
+    assert sum((labels[d] == 1) == (d in gone) for d in judged) >= 0.95 * len(judged) and not gone & {10_001, 10_002, 10_003}
     assert set(texts[2]) == plain_representatives(texts[1].items()) and not set(texts[2]) & {10_001, 10_002}
     wanted = [shingles(t) for t in items]
     assert set(texts[3]) == set(texts[2]) - plain_dirty(texts[2].items(), wanted) and 10_003 in set(texts[2]) - set(texts[3])

@@ -51,3 +51,27 @@ def test_a_broken_pattern_is_told_apart(spark):
     commands = spark.createDataFrame([("cancel_regex", "("), ("cancel_regex", "run.sh x"), ("find_regex", "y$"), ("find_regex", None)], "name string, arg string")
     got = {(r["job_id"], r["action"]) for r in jobs.apply_commands(commands, rows, rows.select("job_id")).collect()}
     assert got == {(None, "invalid"), (1, "cancel"), (2, "find")}
+
+
+def test_patterns_of_ids_meet_few_texts(spark, monkeypatch):
+    """Numbered names share all their short grams: candidates must not grow with the square of the names."""
+    names = spark.range(3000).select("id", F.concat(F.lit("run.sh --name=n"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("t"))
+    parsed = patterns.parse_patterns(names.select(F.concat(F.substring("t", 8, 30), F.lit("( |$)")).alias("pattern")))
+    assert {r["valid"] for r in parsed.collect()} == {True}
+    tried = []
+    candidates = patterns._candidates
+    monkeypatch.setattr(patterns, "_candidates", lambda *a: tried.append(candidates(*a)) or tried[0])
+    assert patterns.match_patterns(names, "t", ["id"], parsed).count() == 3000
+    assert tried[0].count() <= 4 * 3000
+
+
+def test_equal_texts_are_exploded_once_and_never_broadcast(spark):
+    """The planner takes exploded grams for as small as the file they come from; 50,000 rows of two texts are two texts."""
+    rows = spark.range(50_000).select("id", F.when(F.col("id") % 2 == 0, "sbatch run.sh 1-URGENT").otherwise("sbatch run.sh 5-LOW").alias("t"))
+    parsed = patterns.parse_patterns(spark.createDataFrame([("1-URGENT$",), ("sbatch",), ("5-L.W",)], "pattern string"))
+    hits = patterns.match_patterns(rows, "t", ["id"], parsed)
+    assert {r["pattern"]: r["count"] for r in hits.groupBy("pattern").count().collect()} == {"1-URGENT$": 25_000, "sbatch": 50_000, "5-L.W": 25_000}
+    own = rows.select(F.col("t").alias("_text")).distinct().withColumn("_id", F.xxhash64("_text"))
+    plan = patterns._candidates(own, parsed.where("size(grams[0]) > 0"), [4, 8])._jdf.queryExecution().executedPlan().toString()
+    built = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert built and all("LeftAnti, BuildRight" in line for line in built)

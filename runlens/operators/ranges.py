@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, block_of
 
@@ -52,6 +53,8 @@ def _stitched(local: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
 
 #: Ids of one bitmap: the length of Spark's bitmap aggregates.
 BITMAP_BITS = 15
+#: Bitmaps whose runs are held in memory at a time.
+RUNS_AT_ONCE = 32
 
 
 def id_bitmaps(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
@@ -73,23 +76,30 @@ def bitmap_size(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sets.groupBy(*keys).agg(F.sum(F.bitmap_count("ids")).alias("n"))
 
 
-def _runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Runs of ones in each bitmap, as first and last bit."""
-    for bitmaps in batches:
-        out = []
-        for bits in bitmaps:
-            ones = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(np.int8)
-            edge = np.diff(np.r_[0, ones, 0])
-            out.append([{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1)])
-        yield pd.Series(out, dtype=object)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ones in each bitmap, as first and last bit, a row for each; a few bitmaps at a time, for one may hold 2**14 runs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, RUNS_AT_ONCE):
+            part = batch.slice(at, RUNS_AT_ONCE)
+            lo, hi, row = [], [], []
+            for i, bits in enumerate(part.column("ids")):
+                ones = np.unpackbits(np.frombuffer(bits.as_buffer(), dtype=np.uint8), bitorder="little").astype(np.int8)
+                edge = np.diff(np.r_[0, ones, 0])
+                lo.append(np.flatnonzero(edge == 1))
+                hi.append(np.flatnonzero(edge == -1) - 1)
+                row.append(np.full(len(lo[-1]), i))
+            kept = part.select([c for c in part.schema.names if c != "ids"]).take(pa.array(np.concatenate(row)))
+            found = [pa.array(np.concatenate(x).astype(np.int32)) for x in (lo, hi)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*kept.schema.names, "_lo", "_hi"])
 
 
 def bitmap_ranges(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Maximal runs of consecutive ids per group, as ``lo``/``hi`` rows, read off the words of the bitmaps."""
-    runs = F.pandas_udf(_runs, "array<struct<lo:int,hi:int>>")
+    bitmaps = sets.select(*keys, "bucket", "ids")
+    fields = [f for f in bitmaps.schema.fields if f.name != "ids"]
+    each = bitmaps.mapInArrow(_runs, StructType([*fields, StructField("_lo", IntegerType()), StructField("_hi", IntegerType())]))
     base = F.shiftleft("bucket", BITMAP_BITS)
-    each = sets.select(*keys, "bucket", F.explode(runs("ids")).alias("r"))
-    return _stitched(each.select(*keys, (base + F.col("r.lo")).alias("lo"), (base + F.col("r.hi")).alias("hi")), keys, BITMAP_BITS)
+    return _stitched(each.select(*keys, (base + F.col("_lo")).alias("lo"), (base + F.col("_hi")).alias("hi")), keys, BITMAP_BITS)
 
 
 def range_piece() -> Column:

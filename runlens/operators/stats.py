@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from runlens.operators.blocks import BLOCK, DEFAULT_BITS, with_halo
 from runlens.operators.keys import KEY, join_keys, packed
 from runlens.operators.reduce import clean
+from runlens.session import cut
+
+#: So many groups' brackets may be broadcast.
+FEW_GROUPS = 100_000
 
 # Fixed value: added under the root of the standard error.
 VARIANCE_FLOOR = 1e-6
@@ -25,7 +29,8 @@ def describe_values(df: DataFrame, value: str, by: Sequence[str] = (), accuracy:
 
     The median takes two passes. A mergeable quantile sketch brackets it; the second pass counts the rows
     below the bracket and, by distinct value, the few rows inside. Ranks are then read off the bracket. A
-    group is never sorted or collected as a whole. For a group whose bracket misses the median, a third pass
+    group is never sorted or collected as a whole: the brackets of few groups go to the rows, not the rows to a task for
+    each group. Sketches are checkpointed, since the second pass reads them. For a group whose bracket misses the median, a third pass
     reads the ranks off all its distinct values.
 
     Missing values are skipped. A group of missing values only has n = 0 and NULLs, and so has an ungrouped
@@ -38,13 +43,14 @@ def describe_values(df: DataFrame, value: str, by: Sequence[str] = (), accuracy:
         F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_q"),
     ]
     # a hidden constant key lets the ungrouped case join without a cross product
-    sketch = rows.groupBy(KEY).agg(*measures) if by else rows.agg(*measures).withColumn(KEY, F.lit(1))
+    sketch = cut(rows.groupBy(KEY).agg(*measures) if by else rows.agg(*measures).withColumn(KEY, F.lit(1)))
+    sent = F.broadcast if sketch.count() <= FEW_GROUPS else lambda few: few
     known = rows.where(F.col("_v").isNotNull())
     brackets = sketch.select(KEY, "n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    found = _median_ranks(known, brackets)
-    missed = brackets.join(found.where("_median is not null"), KEY, "left_anti").where("n > 0")
+    found = cut(_median_ranks(known, sent(brackets)).where("_median is not null"))
+    missed = brackets.join(found, KEY, "left_anti").where("n > 0")
     whole = missed.select(KEY, "n", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
-    medians = found.where("_median is not null").unionByName(_median_ranks(known, whole))
+    medians = found if missed.isEmpty() else found.unionByName(_median_ranks(known, sent(whole)))
     keys = [F.col(KEY)[k].alias(k) for k in by]
     return sketch.join(medians, KEY, "left").select(*keys, "n", "min", "max", "mean", F.col("_median").alias("median"))
 

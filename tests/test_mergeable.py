@@ -95,3 +95,45 @@ def test_bitmaps_hold_any_ids(spark):
     plan = ranges.id_bitmaps(half[0], ["g"], "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_bitmap_construct_agg") >= 1 and "Window" not in plan
     assert ranges.bitmap_ranges(ranges.id_bitmaps(half[0].limit(0), ["g"], "id"), ["g"]).count() == 0
+
+
+def test_runs_of_bitmaps_come_in_small_pieces(spark):
+    """A full batch of bitmaps with every second id holds 10,000 x 2**14 runs; no more than a few bitmaps' may be in memory."""
+    import pyarrow as pa
+
+    bits = bytes([0b01010101]) * 4096
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([bits] * 200)], names=["bucket", "ids"])
+    sizes = [b.num_rows for b in ranges._runs(iter([batch]))]
+    assert sum(sizes) == 200 << 14 and max(sizes) <= ranges.RUNS_AT_ONCE << 14
+    df = spark.createDataFrame([("a", i) for i in (0, 1, 2, 5, 32767, 32768, 70000)] + [(None, 7), (None, -1)], "g string, id long")
+    got = {tuple(r) for r in ranges.bitmap_ranges(ranges.id_bitmaps(df, ["g"], "id"), ["g"]).collect()}
+    assert got == {("a", 0, 2), ("a", 5, 5), ("a", 32767, 32768), ("a", 70000, 70000), (None, 7, 7), (None, -1, -1)}
+
+
+def test_describe_sends_brackets_to_the_rows(spark, monkeypatch):
+    """Two groups must not mean two tasks that hold all rows."""
+    seen = []
+    ranks = stats._median_ranks
+    monkeypatch.setattr(stats, "_median_ranks", lambda known, brackets: seen.append(ranks(known, brackets)) or seen[-1])
+    monkeypatch.setattr(stats, "cut", lambda df: df)
+    df = spark.range(200_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = {r["g"]: (r["n"], r["median"]) for r in stats.describe_values(df, "v", ["g"]).collect()}
+        assert len(seen) == 1 and "SortMergeJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {0: (100_000, 99_999.0), 1: (100_000, 100_000.0)}
+
+
+def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from runlens import session
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    (tmp_path / "a.parquet").write_bytes(b"x" * 10_000)
+    monkeypatch.setattr(session, "SHARE_BYTES", 100)
+    session.size_shuffles(spark, str(tmp_path))
+    assert spark.conf.get(name) == "100"
+    monkeypatch.setattr(session, "SHARE_BYTES", 10_000)
+    session.size_shuffles(spark, str(tmp_path))
+    assert spark.conf.get(name, None) is None

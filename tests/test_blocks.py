@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from runlens.operators import curves, logs, ranges, stats, topk
+from runlens.operators import blocks, curves, logs, ranges, stats, topk
 from runlens.operators.blocks import block_of, dense_positions, running_count
 
 
@@ -202,3 +202,37 @@ def test_slots_of_rising_and_tied_series(spark):
             for s, vs in values.items():
                 want = plain_topk(vs, k)
                 assert [got.get((s, i)) for i in range(cut_at, len(vs))] == want[cut_at:], (s, k, bits, cut_at)
+
+
+def test_huge_series_are_looked_for_once(spark, monkeypatch):
+    """A large table without a huge series is read once, for its counts, and neither joined nor cut."""
+    rows = spark.range(3000).select((F.col("id") % 300).alias("run_id"), F.lit("m").alias("metric"), (F.col("id") / 300).cast("long").alias("pos"), F.rand(3).alias("value"))
+    monkeypatch.setattr(blocks, "HOT_ROWS", 1000)
+    flagged = topk.topk_admission(rows, 2)
+    assert "Join" not in flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert flagged.count() == 3000
+
+
+def test_slots_across_arrow_batches(spark):
+    """Series that reach over batches, NULL keys among them, keep the slots of a plain walk."""
+    rows = [(run, "m", p, float((p * 7919 + (run or 5) * 31) % 97)) for run in (None, 1, 2, 3) for p in range(200)]
+    want = {}
+    for run in (None, 1, 2, 3):
+        held = []
+        for r in (r for r in rows if r[0] == run):
+            if len(held) < 3:
+                held.append(r[3])
+                want[run, r[2]] = len(held) - 1
+            elif r[3] > min(held):
+                slot = held.index(min(held))
+                held[slot] = r[3]
+                want[run, r[2]] = slot
+    df = spark.createDataFrame(rows, "run_id long, metric string, pos long, value double")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "7")
+    try:
+        admitted = topk.topk_admission(df, 3).where("admitted").drop("admitted", "worst")
+        got = {(r["run_id"], r["pos"]): r["slot"] for r in topk.assign_slots(admitted, 3).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == want

@@ -1,8 +1,9 @@
-"""Series reduced from one sort, against plain Python."""
+"""Series reduced from one sort, in batch and live, against plain Python."""
 
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from runlens.operators import reduce
 from runlens.plans.spec import MetricOptions
+from runlens.streaming import core
+from runlens.streaming import points as live_points
 
 POINTS = "run_id bigint, metric string, pos int, value double"
 DEFAULT, OPTIONS = MetricOptions(topk_mean=2), {"b": MetricOptions(topk_mean=3, descending=True)}
@@ -82,3 +85,19 @@ def test_far_blocks_send_only_their_best(spark, monkeypatch):
     p = spark.range(1000).select(F.lit(1).cast("long").alias("run_id"), F.lit("a").alias("metric"), F.col("id").alias("pos"), (F.col("id") * 7919 % 1009).cast("double").alias("value"))
     sent = reduce.series_points(p, ["run_id", "metric"], DEFAULT, {}).agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("n")).first()
     assert sent["n"] == 1000 and sent["rows"] <= 8 + 2 * 32
+
+
+@pytest.mark.parametrize("snapshot", [2, 50])
+def test_leaderboard_over_batches(spark, rows, tmp_path, snapshot, monkeypatch):
+    monkeypatch.setattr(core, "SNAPSHOT", snapshot)
+    monkeypatch.setattr(live_points, "SNAPSHOT", snapshot)
+    known = [r for r in rows if r[0] is not None]
+    base, p = str(tmp_path), spark.createDataFrame(known, POINTS)
+    for part in ("pos >= 20", "pos between 2 and 9 or pos is null", "pos between 10 and 19", "pos < 2"):
+        p.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        live_points.live_leaderboard(spark.readStream.schema(POINTS).parquet(f"{base}/in"), f"{base}/out", f"{base}/cp", DEFAULT, OPTIONS).awaitTermination()
+    got = live_points.read_leaderboard(spark, f"{base}/out", DEFAULT, OPTIONS).collect()
+    assert len(got) == len({r[:2] for r in known})
+    assert all(cells(g) == rounded(plain(known, g["run_id"], g["metric"])) for g in got)
+    # only a snapshot writes the batch's points a second time
+    assert os.path.exists(f"{base}/out/_fresh") == (snapshot == 2)

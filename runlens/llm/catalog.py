@@ -147,7 +147,36 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_paragraphs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _removed(linededup.dedup_paragraphs(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query(
+    "op8_window_dedup",
+    r"""
+    with w as (select doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as p from documents),
+    a as (select doc_id, w, unnest(case when len(w) >= 40 then range(0, len(w) - 39) else [] end) as b from w),
+    u as (select doc_id, b, array_to_string(w[b + 1 : b + 40], ' ') as s from a),
+    f as (select s, min(doc_id) as kept from u group by s),
+    g as (select doc_id, b, kept from u join f using (s) where doc_id > kept),
+    x as (select distinct doc_id, unnest(range(b, b + 40)) as i from g),
+    e as (select doc_id, unnest(p) as piece, unnest(range(len(p))) as i from w where doc_id in (select doc_id from g)),
+    o as (select e.*, x.i is not null as gone, sum(length(piece)) over (partition by e.doc_id order by e.i) as upto from e left join x on x.doc_id = e.doc_id and x.i = e.i),
+    r as (select *, i - row_number() over (partition by doc_id, gone order by i) as island from o),
+    sp as (select doc_id, min(upto - length(piece))::bigint as start, sum(length(piece))::bigint as n from r where gone group by doc_id, island),
+    t as (select doc_id, count(*) as n_removed, string_agg(start || '+' || n, ',' order by start) as removed_spans from sp group by doc_id),
+    c as (select doc_id, coalesce(string_agg(piece, '' order by i) filter (not gone), '') as kept_text, max(upto)::bigint as upto from o group by doc_id),
+    k as (select doc_id, string_agg(distinct kept::varchar, ',' order by kept::varchar) as kept_doc_ids from g group by doc_id)
+    select d.doc_id, coalesce(n_removed, 0) as n_removed, case when n_removed is null then text else kept_text || substr(text, upto + 1) end as clean_text,
+        coalesce(removed_spans, '') as removed_spans, coalesce(kept_doc_ids, '') as kept_doc_ids
+    from documents d left join t using (doc_id) left join c using (doc_id) left join k using (doc_id)
+    """,
+)
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op8_line_dedup``, with a paragraph beginning at every word."""
+    return _removed(linededup.dedup_paragraphs(read(spark, sf_dir, "documents").select("doc_id", "text"), every=True))
+
+
+def _removed(found: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))), ",")
     ids = F.array_join(F.sort_array(F.transform("kept_doc_ids", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "clean_text", F.coalesce(spans, F.lit("")).alias("removed_spans"), ids.alias("kept_doc_ids"))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -142,6 +143,72 @@ def test_paragraph_dedup(frame, documents, monkeypatch):
     assert linededup.dedup_paragraphs(frame([], DOC)).count() == 0
 
 
+def plain_every(docs, size=40):
+    """As ``plain_dedup``, of the paragraphs that begin at every word: words that go, and who keeps them."""
+    first, out = {}, {}
+    words = {(d, t): re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for d, t in docs}
+    held = {key: [tuple(w[i : i + size]) for i in range(len(w) - size + 1)] for key, w in words.items()}
+    for (d, _), all_of in held.items():
+        for s in all_of:
+            first[s] = min(first.get(s, (True, 0)), (d is None, d or 0))
+    for (d, t), all_of in held.items():
+        gone = {i: first[s][1] for i, s in enumerate(all_of) if first[s] < (d is None, d or 0)}
+        cover = {j for i in gone for j in range(i, i + size)}
+        kept = [w for j, w in enumerate(words[d, t]) if j not in cover]
+        out[d, t] = kept, sum(1 for j in cover if j - 1 not in cover), sorted(set(gone.values()))
+    return out
+
+
+def check_every(rows, docs, size):
+    want = plain_every(docs, size)
+    assert len(rows) == len(docs)
+    for r in rows:
+        kept, spans, ids = want[r["doc_id"], r["text"]]
+        assert (re.findall(r"[^\x20\x09-\x0D]+", (r["clean_text"] or "").lower()), len(r["removed"] or []), r["kept_doc_ids"]) == (kept, spans, ids)
+        assert r["text"] is None or len(r["text"]) == len(r["clean_text"]) + sum(s["length"] for s in r["removed"] or [])
+
+
+def test_every_paragraph_of_forty_words_is_met(frame, documents, monkeypatch):
+    rnd = random.Random(8)
+    many = lambda n: [rnd.choice("abcdefghé😀") * rnd.randint(1, 3) + rnd.choice("ijklmn") * rnd.randint(1, 6) for _ in range(n)]
+    docs = [(d, t) for d, t, _, _ in documents]
+    for i in range(60):  # passages of 40 words and a few more, wherever they begin
+        passage = many(40 + i % 3)
+        docs += [(5000 + i, " ".join(many(i) + passage + many(9))), (6000 + i, " ".join(many(13) + [w.upper() for w in passage] + many(i)))]
+    base = many(400)
+    docs += [(7000 + i, " ".join(base[:k] + ["new"] * (i % 2) + base[k + 1 :])) for i, k in enumerate(range(0, 400, 13))]
+    copy = " ".join(base[100:200])
+    docs += [(100, copy), (9000, copy), (9001, copy), (9001, copy), (9001, "x " + copy), (None, copy), (None, copy), (None, "y " + copy), (None, " ".join(many(50)))]
+    docs += [(9100, None), (9101, ""), (9102, " \n "), (9103, " ".join(many(39))), (9104, "same " * 300), (9105, "Same " * 90), (9106, "one two " * 200), (9107, "two one " * 90 + "three")]
+    df = frame(docs, DOC).repartition(3)
+    for share in (linededup.HOT_SHARE, 0.01, 1.0):
+        monkeypatch.setattr(linededup, "HOT_SHARE", share)
+        rows = linededup.dedup_paragraphs(df, every=True).collect()
+        check_every(rows, docs, 40)
+    assert all(r["removed"] for r in rows if 6000 <= (r["doc_id"] or 0) < 6060)
+    assert linededup.dedup_paragraphs(frame([], DOC), every=True).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 7])
+def test_every_paragraph_of_few_words(frame, size):
+    rnd = random.Random(size)
+    docs = [(rnd.choice([None, *range(40)]), " ".join(rnd.choice("abc" if i % 2 else "abcdefghijklmnopqrst") for _ in range(rnd.randint(0, 40)))) for i in range(60)]
+    check_every(linededup.dedup_paragraphs(frame(docs, DOC), size=size, every=True).collect(), docs, size)
+
+
+def test_stretches_do_not_depend_on_chunks(monkeypatch):
+    rnd = np.random.default_rng(3)
+    words = [rnd.integers(0, 9, n).tolist() for n in (40, 41, 500, 60, 45)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5, None, 6, 7, 8], "version": [1, 2, 3, 4, 5], "words": pa.array(words, pa.list_(pa.int64()))})
+    names = ["doc_id", "version", "low", "length", "anchor", "reading"]
+    got = []
+    for chunk in (1, 100, 1 << 20):
+        monkeypatch.setattr(linededup, "CHUNK", chunk)
+        got.append([r for b in linededup._find_stretches(40, names)([batch.slice(0, 2), batch.slice(2)]) for r in b.to_pylist()])
+    assert got[0] == got[1] == got[2]
+    assert [sum(r["length"] for r in got[0] if r["version"] == v) for v in range(1, 6)] == [len(w) - 39 for w in words]
+
+
 INSULTS = ["blargh", "zorkface", "snivel", "grubber"]
 
 

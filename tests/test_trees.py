@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import os
+import shutil
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from runlens import session
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog_files import chat_tree
 from runlens.sources import sweeps, sweep_source, trees
@@ -82,3 +86,45 @@ def test_chat_tree_holds_every_turn(spark, tmp_path):
     lines = sweeps.read_log_lines(spark, chat_tree(spark, str(tmp_path)), logs="*.txt")
     got = [(r["folder"].rsplit("=", 1)[1], r["line_no"], r["role"], r["text"]) for r in lines.select("folder", "line_no", F.get_json_object("line", "$.role").alias("role"), F.get_json_object("line", "$.text").alias("text")).orderBy("folder", "line_no").collect()]
     assert got == [(str(f), n, role, text) for f, n, role, text in rows] and fx.chat(spark, str(tmp_path)).count() == 3
+
+
+def test_the_package_is_sent_whatever_its_dates_and_names(spark, tmp_path, monkeypatch):
+    context, sent = spark.sparkContext, []
+    copy = shutil.copytree(os.path.dirname(session.__file__), tmp_path / "runlens", ignore=shutil.ignore_patterns("__pycache__"))
+    for folder, _, names in os.walk(copy):
+        for name in names:
+            os.utime(os.path.join(folder, name), (0, 0))  # before the first date of a zip entry
+    monkeypatch.setattr(session, "__file__", str(copy / "session.py"))
+    monkeypatch.setattr(context, "addPyFile", sent.append)
+    for _ in range(2):
+        monkeypatch.setattr(context, "_runlens_shipped", False, raising=False)
+        session.ship_package(spark)
+    names = [os.path.basename(path) for path in sent]
+    assert len({*names, "runlens.zip"}) == 3  # Spark refuses a second file of a name
+    assert "runlens/sources/trees.py" in zipfile.ZipFile(sent[0]).namelist()
+
+
+def _blind(path):
+    def run(batches):
+        raise OSError("no such mount here")
+
+    return run
+
+
+def test_a_folder_that_tasks_do_not_see_is_left_to_spark(spark, tree, tmp_path, monkeypatch):
+    def look():
+        lines = sweeps.read_log_lines(spark, tree, logs="*.log").select("folder", "line_no", "line")
+        loaded = sweeps.load_runs(spark, [f"{tree}/*/*.log"], lambda p, c: {"path": p, "n": len(c)} if len(c) else None, "path string, n bigint")
+        return [sorted(map(tuple, d.collect())) for d in (lines, sweeps.discover_runs(spark, f"{tree}/*"), loaded)]
+
+    want = look()
+    monkeypatch.setattr(spark.sparkContext, "_runlens_seen", {}, raising=False)
+    monkeypatch.setattr(trees, "_looker", _blind)
+    with pytest.warns(UserWarning, match="tasks cannot look"):
+        assert not trees.opens(spark, tree)
+    monkeypatch.setattr(trees, "_lister", None)  # nothing is listed by tasks
+    assert look() == want
+    rows = spark.range(6).select((F.col("id") % 3).alias("run"), F.col("id").alias("n"), F.col("id").cast("string").alias("line"))
+    trees.write_logs(rows, str(tmp_path / "w"), "run", ["n"])
+    got = {(r["folder"].rsplit("=", 1)[1], r["line_no"], r["line"]) for r in sweeps.read_log_lines(spark, str(tmp_path / "w"), logs="*.txt").collect()}
+    assert got == {(str(i % 3), i // 3, str(i)) for i in range(6)}

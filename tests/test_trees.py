@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runlens import session
 from runlens.plans import fixtures as fx
+from runlens.plans.catalog import QUERIES
 from runlens.plans.catalog_files import chat_tree
 from runlens.sources import sweeps, sweep_source, trees
 
@@ -128,3 +129,20 @@ def test_a_folder_that_tasks_do_not_see_is_left_to_spark(spark, tree, tmp_path,
     trees.write_logs(rows, str(tmp_path / "w"), "run", ["n"])
     got = {(r["folder"].rsplit("=", 1)[1], r["line_no"], r["line"]) for r in sweeps.read_log_lines(spark, str(tmp_path / "w"), logs="*.txt").collect()}
     assert got == {(str(i % 3), i // 3, str(i)) for i in range(6)}
+
+
+def test_keys_that_are_null_or_negative(spark, tmp_path):
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (-4, 0, "user", "c"), (2**53 + 1, 0, "user", "d")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    lines = QUERIES["a02_read_log_lines"](spark, str(tmp_path)).select("file", "line_no", "role", "text").collect()
+    assert {tuple(r) for r in lines} == set(turns) and len(lines) == len(turns)
+    runs = QUERIES["k04_load_runs"](spark, str(tmp_path)).select("file", "n_lines").collect()
+    assert {tuple(r) for r in runs} == {(None, 2), (-4, 1), (2**53 + 1, 1)}
+    events = [(user, n, kind, float(n)) for user in (None, -3, 5) for n, kind in enumerate(["view", "click"])]
+    events = spark.createDataFrame(events, "user_id long, event_id long, event_type string, value double")
+    events.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("k01_ingest_folder", "k01_ingest_again"):
+        found = QUERIES[name](spark, str(tmp_path)).groupBy("folder", "metric").agg(F.sum("value").alias("total")).collect()
+        # the first call's choice of runs by their number leaves out those without one
+        assert {tuple(r) for r in found if r["folder"] is not None} == {(k, m, v) for k in (-3, 5) for m, v in (("step", 0.0), ("view_value", 0.0), ("value", 1.0))}
+        assert name != "k01_ingest_folder" or {(r["metric"], r["total"]) for r in found if r["folder"] is None} == {("step", 0.0), ("view_value", 0.0), ("value", 1.0)}
